@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itemforge.llm import kd_sharding
+from itemforge.llm import jaccard_join, kd_sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,14 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard_documents(_docs(spark, sf_dir), shards=8)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": op1_kd_sharding,
+        "op4_jaccard_join": op4_jaccard_join,
     }
 
 
