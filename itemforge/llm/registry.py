@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itemforge.llm import jaccard_join, kd_sharding
+from itemforge.llm import jaccard_join, kd_sharding, sentence_spans
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,15 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_docs(spark, sf_dir))
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.digest(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": op1_kd_sharding,
         "op4_jaccard_join": op4_jaccard_join,
+        "op9_sentence_spans": op9_sentence_spans,
     }
 
 

@@ -49,12 +49,13 @@ def _inverse(at: np.ndarray, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of byte ranges of one buffer; equal bytes have equal hashes in every buffer."""
+    """Hashes of ranges of one buffer; equal ranges have equal hashes in every buffer."""
 
-    def __init__(self, data: np.ndarray):
-        self.n = len(data)
+    def __init__(self, values: np.ndarray):
+        """values: bytes, or hashes of words."""
+        self.n = len(values)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(self.n), out=self.sums[1:])
+        np.cumsum((_BYTE[values] if values.dtype == np.uint8 else values) * _power(self.n), out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * _inverse(start, self.n) + (end - start).astype(np.uint64))
