@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itemforge.llm import jaccard_join, kd_sharding, sentence_spans
+from itemforge.llm import decontamination, jaccard_join, kd_sharding, sentence_spans
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +25,16 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.digest(_docs(spark, sf_dir))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": op1_kd_sharding,
         "op4_jaccard_join": op4_jaccard_join,
         "op9_sentence_spans": op9_sentence_spans,
+        "op10_decontamination": op10_decontamination,
     }
 
 
