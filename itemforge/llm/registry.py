@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itemforge.llm import decontamination, jaccard_join, kd_sharding, sentence_spans
+from itemforge.llm import decontamination, jaccard_join, kd_sharding, language_id, sentence_spans, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(_docs(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": op1_kd_sharding,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_language_id": op5_language_id,
+        "op6_toxicity": op6_toxicity,
         "op9_sentence_spans": op9_sentence_spans,
         "op10_decontamination": op10_decontamination,
     }
