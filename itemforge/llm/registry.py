@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itemforge.llm import decontamination, jaccard_join, kd_sharding, language_id, sentence_spans, toxicity
+from itemforge.llm import decontamination, jaccard_join, kd_sharding, language_id, license_scan, sentence_spans, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_docs(spark, sf_dir))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": op1_kd_sharding,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
+        "op7_license_scan": op7_license_scan,
+        "op8_simhash": op8_simhash,
         "op9_sentence_spans": op9_sentence_spans,
         "op10_decontamination": op10_decontamination,
     }
