@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itemforge.llm import decontamination, jaccard_join, kd_sharding, language_id, license_scan, sentence_spans, simhash, toxicity
+from itemforge.llm import decontamination, jaccard_join, kd_sharding, language_id, license_scan, piece_sampling, sentence_spans, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard_documents(_docs(spark, sf_dir), shards=8)
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.digest(_docs(spark, sf_dir), piece_sampling.load_vocabulary())
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_docs(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": op1_kd_sharding,
+        "op2_piece_sampling": op2_piece_sampling,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
