@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itemforge.llm import decontamination, jaccard_join, kd_sharding, language_id, license_scan, piece_sampling, sentence_spans, simhash, toxicity
+from itemforge.llm import decontamination, jaccard_join, kd_sharding, language_id, license_scan, piece_sampling, pitman_yor, sentence_spans, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.digest(_docs(spark, sf_dir), piece_sampling.load_vocabulary())
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_docs(spark, sf_dir))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_docs(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": op1_kd_sharding,
         "op2_piece_sampling": op2_piece_sampling,
+        "op3_pitman_yor": op3_pitman_yor,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
