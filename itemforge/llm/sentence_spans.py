@@ -10,8 +10,8 @@ documents; of equal runs the first by (doc_id, position) stays, and every unit t
 covers is removed.
 
 Map tasks send each hash once with its first place, so a run that a third of all documents hold
-reaches a reducer as one row for each task. The table of repeated runs is sent to all executors
-only up to BROADCAST_ROWS rows, and joined by shuffle beyond.
+reaches a reducer as one row for each task. The table of repeated runs grows with the corpus and
+is joined by shuffle (skewed keys are split by adaptive execution), never collected.
 
 Defined cases: null and empty texts and rows with a null doc_id stay as they are and are not
 compared; rows that share a doc_id count as one document (the same run at the same place is not a
@@ -33,7 +33,6 @@ from itemforge.llm.storage import materialise
 from itemforge.llm.words import RangeHash, Texts, U, mix, slices
 
 MIN_UNITS, MIN_WORDS, LONG_WORDS = 2, 25, 25
-BROADCAST_ROWS = 500_000
 SPANS_PER_PART = 2_000_000
 FLUSH_SPANS = 1_000_000
 _CLASS = np.zeros(256, np.uint8)
@@ -175,16 +174,13 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, spans (array of first unit, end unit), kept_in (ids of the documents that keep the first occurrence)."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (40 * SPANS_PER_PART))
     known = materialise(repeated_runs(docs, parts), "spans-repeated")
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     hits = _runs(docs).join(known, "h").where("doc_id <> first_doc or unit <> first_unit")
     return hits.groupBy("doc_id").agg(F.collect_set(F.struct("unit", "to")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("kept_in"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with their columns; text without the units of repeated runs. Adds n_units, n_removed, kept_in."""
-    spans = materialise(removed_spans(docs), "spans-removed")
-    side = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("kept_in").alias("_kept"))
-    side = F.broadcast(side) if (spans.agg(F.sum(F.size("spans") + F.size("kept_in"))).first()[0] or 0) <= BROADCAST_ROWS else side
+    side = materialise(removed_spans(docs), "spans-removed").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("kept_in").alias("_kept"))
     joined = docs.join(side, docs.doc_id == side._id, "left").drop("_id")
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_units int, n_removed int, kept_in array<long>"
