@@ -1 +1,5 @@
+"""Registered queries; each module has QUERIES and ORACLES."""
 
+from itemforge.plans import matching
+
+PLANS = [matching]
