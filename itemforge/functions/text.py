@@ -71,7 +71,7 @@ def canonical_standard(text: Column, legacy: bool = False) -> Column:
     """One spelling for each standard; '' for null. legacy: drops the digit after a glued ОСТ1, in ГОСТ1 too."""
     glued = (r"ОСТ\s*1(\d)", "ОСТ 1 ") if legacy else (r"(?<!Г)ОСТ\s*1\s*(?=\d)", "ОСТ 1 ")
     out = F.trim(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, *glued)
+    out = F.regexp_replace(F.regexp_replace(out, *glued), r"(?<!Г)ОСТ\s*1\s+", "ОСТ 1 ")
     return F.regexp_replace(out, r"[\s ]+", " ")
 
 

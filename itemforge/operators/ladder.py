@@ -48,22 +48,27 @@ def _distinct(catalogue: DataFrame) -> DataFrame:
     with_tokens = catalogue.withColumn("cand_tokens", text.number_tokens(F.col("cand_name")))
     return with_tokens.groupBy("std", "item_type", "attrs", "cand_tokens").agg(F.min("cand_ord").alias("cand_ord"), F.min_by("ens_code", "cand_ord").alias("ens_code"), F.min_by("cand_name", "cand_ord").alias("cand_name"))
 
+def _bag_key() -> F.Column:
+    return F.md5(F.to_json(F.struct("std", "item_type", "params")))
+
+
 def scored(names: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
-    """names (name, std, item_type, params) scored by the parameters keys against all candidates of their block.
+    """bag, cand_ord, score, exact_count: each distinct bag of parameters against all candidates of its block.
 
-    Names with the same parameters are scored once; winners get their attributes back by the block
-    and their place in the catalogue.
+    Bags are dealt evenly over all cores before the join: the blocks are few and of very different
+    sizes, and pairs cost more than rows.
     """
-    asked = names.select("std", "item_type", "params", scoring.flat_params(keys).alias("p")).dropDuplicates(["std", "item_type", "params"])
+    spark = names.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    asked = names.select("std", "item_type", "params").distinct().select(_bag_key().alias("bag"), "std", "item_type", scoring.flat_params(keys).alias("p")).repartition(tasks, "bag")
     offered = _distinct(catalogue).select("std", "item_type", "cand_ord", "cand_tokens", scoring.flat_attrs(keys).alias("c"))
-    return scoring.score_pairs(asked.join(offered, ["std", "item_type"]), keys).drop("cand_tokens")
+    return scoring.score_pairs(asked.join(offered, ["std", "item_type"]), keys).select("bag", "cand_ord", "score", "exact_count")
 
 
 def best_candidates(names: DataFrame, catalogue: DataFrame, keys: list[str], n: int = 1) -> DataFrame:
     """names with the n best candidates each: cand columns, score, exact_count, rank."""
-    asked = scored(names, catalogue, keys).withColumn("asked", F.struct("std", "item_type", "params"))
-    top = scoring.best(asked, "asked", n).select("std", "item_type", "params", "cand_ord", "score", "exact_count", "rank")
-    return names.join(top, ["std", "item_type", "params"]).join(_distinct(catalogue), ["std", "item_type", "cand_ord"])
+    top = scoring.best(scored(names, catalogue, keys), "bag", n)
+    return names.withColumn("bag", _bag_key()).join(top, "bag").drop("bag").join(_distinct(catalogue), ["std", "item_type", "cand_ord"])
 
 
 def match(names: DataFrame, masks: DataFrame, catalogue: DataFrame) -> DataFrame:

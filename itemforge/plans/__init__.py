@@ -1,5 +1,5 @@
 """Registered queries; each module has QUERIES and ORACLES."""
 
-from itemforge.plans import matching
+from itemforge.plans import matching, store
 
-PLANS = [matching]
+PLANS = [matching, store]
