@@ -1,5 +1,5 @@
 """Registered queries; each module has QUERIES and ORACLES."""
 
-from itemforge.plans import matching, store
+from itemforge.plans import matching, parsing, store
 
-PLANS = [matching, store]
+PLANS = [matching, store, parsing]
