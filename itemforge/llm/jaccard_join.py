@@ -3,17 +3,22 @@
 Two sets link when their Jaccard coefficient is t = NUM/DEN at least. Equal sets are one class and
 only one of its rows, its representative, goes on.
 
-1. Every representative sends its smallest n - floor(0.8 t n) token hashes to partitions of the
-   token space. If J(q, s) >= t, then at least 0.2 t max(...) of these are common to both (the
-   larger hashes of the one whose range ends first can supply at most floor(0.8 t n)), so a set
-   with fewer than ceil(0.2 t^2 n) tokens that anybody else has sent too can link with nothing: it
-   leaves here. Copies of a set count once, so a large group of copies makes no pairs.
-2. The rest is partitioned into groups: MinHash proposes one older partner for each set, the link
+1. Every representative sends its token hashes, 40 bits of them, to the partitions of the token
+   space. A token that no other set has can't be common to two, so a set needs ceil(t n) tokens that
+   others have; sets with fewer leave here. Copies of a set count once, so a large group of copies
+   makes no pairs. (Shortened hashes can only make a set stay; links are verified on 64 bits.)
+2. The rest is partitioned into groups: MinHash proposes one partner for each set, the one whose
+   tokens are spread most widely, as copies are nearer to their origin than to each other; the link
    is verified exactly, and verified links make the groups, each connected in itself.
-3. The token-group matrix has a row for each token that several groups' sets sent: the groups whose
-   union holds it. For each query set and other group, the matrix row counts bound the overlap with
-   any member from above; only groups that reach ceil(0.2 t^2 n) are opened, their members bounded
-   in the same way and by size, and verified exactly.
+3. The token-group matrix: the tokens of all sets are ordered from rare to common. The overlap of
+   sets that link is t (n_a + n_b) / (1 + t) at least: t n_a or more of the larger one, 2 t / (1 + t)
+   n_b or more of the smaller one. The smaller one is indexed by so many of its first shared tokens
+   that fewer than that are left, the larger one asks by so many of its own; they have one of these
+   in common. A row of the matrix is a token with the groups of all sets that are indexed by it. A
+   query set meets the groups in its rows; the number of its tokens in the union of a group's tokens
+   bounds its overlap with any member from above; only groups that reach the least overlap are
+   opened, and in these the members that fit in size, have enough shared tokens and an indexed
+   token of the query are verified exactly.
 4. Components over all verified links.
 
 Within a group nothing is compared any more, which keeps a group of thousands of near copies
@@ -43,8 +48,9 @@ K, NUM, DEN = 5, 75, 100
 MINHASHES = 8
 #: MinHash values that a proposed partner shares at least.
 AGREE = 3
-FLUSH_TOKENS = 2_000_000
-TOKENS_PER_PART = 2_500_000
+FLUSH_TOKENS = 1_000_000
+TOKENS_PER_PART = 2_000_000
+SLICE = 1 << 20
 #: A table of ids up to this many rows (16 bytes each) is sent to all executors; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _SEEDS = mix(np.arange(1, MINHASHES + 1, dtype=np.uint64) * U(0xA0761D6478BD642F))
@@ -52,7 +58,7 @@ _SEEDS = mix(np.arange(1, MINHASHES + 1, dtype=np.uint64) * U(0xA0761D6478BD642F
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE):
             yield part, shingle_sets(part.column("text"), k)
 
 
@@ -68,18 +74,18 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
 
-def shared_tokens(docs: DataFrame, parts: int, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, tokens: for one document of each class the sent tokens that other classes sent too."""
+def shared_tokens(docs: DataFrame, parts: int, k: int) -> DataFrame:
+    """doc_id, n, tokens, spread (how many classes have each): for one document of each class the tokens that other classes have too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[tuple[int, int, int]] = []
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate(held)
+            mixed = mix(np.concatenate(held) ^ U(0x6A09E667F3BCC909))
             doc = np.repeat(np.arange(len(held), dtype=np.int64), [len(x) for x in held])
-            part = (mix(tokens) % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            tokens, part = (mixed >> U(24)).astype(np.int64), ((mixed & U(0xFFFFFF)) % U(parts)).astype(np.int64)
+            order = np.lexsort((tokens, part))
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             table = np.array(ids, np.int64)
             blobs, at = [], []
@@ -87,8 +93,10 @@ def shared_tokens(docs: DataFrame, parts: int, k: int, num: int, den: int) -> Da
                 rows = order[cut[p] : cut[p + 1]]
                 if len(rows):
                     own, local = np.unique(doc[rows], return_inverse=True)
-                    head = np.array([len(own), len(rows)], np.int64)
-                    blobs.append(head.tobytes() + table[own].tobytes() + tokens[rows].tobytes() + local.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes())
+                    steps = np.diff(tokens[rows], prepend=0)
+                    wide = int(steps.max() >= 1 << 32)
+                    head = np.array([len(own), len(rows), wide], np.int64)
+                    blobs.append(head.tobytes() + table[own].tobytes() + steps.astype(np.uint64 if wide else np.uint32).tobytes() + local.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes())
                     at.append(p)
             ids.clear()
             held.clear()
@@ -98,10 +106,9 @@ def shared_tokens(docs: DataFrame, parts: int, k: int, num: int, den: int) -> Da
         for piece, sets in _sets(batches, k):
             for d, s in zip(piece.column("doc_id").to_pylist(), sets, strict=True):
                 if len(s) and d is not None:
-                    sent = s[: len(s) - (8 * num * len(s)) // (10 * den)]
                     ids.append((d, int(mix(s).sum(dtype=np.uint64).view(np.int64)), len(s)))
-                    held.append(sent)
-                    count += len(sent)
+                    held.append(s)
+                    count += len(s)
             if count >= FLUSH_TOKENS:
                 yield flush()
                 count = 0
@@ -111,38 +118,52 @@ def shared_tokens(docs: DataFrame, parts: int, k: int, num: int, den: int) -> Da
     def meet(table: pa.Table) -> pa.Table:
         tokens, docs_, classes, sizes = [], [], [], []
         for x in table.column("blob").to_pylist():
-            n_docs, n = np.frombuffer(x, np.int64, 2).tolist()
-            own = np.frombuffer(x, np.int64, 3 * n_docs, 16).reshape(-1, 3)
-            tokens.append(np.frombuffer(x, np.uint64, n, 16 + 24 * n_docs))
-            local = np.frombuffer(x, np.uint32 if n_docs > 65535 else np.uint16, n, 16 + 24 * n_docs + 8 * n)
+            n_docs, n, wide = np.frombuffer(x, np.int64, 3).tolist()
+            own = np.frombuffer(x, np.int64, 3 * n_docs, 24).reshape(-1, 3)
+            at = 24 + 24 * n_docs
+            tokens.append(np.cumsum(np.frombuffer(x, np.uint64 if wide else np.uint32, n, at), dtype=np.int64))
+            local = np.frombuffer(x, np.uint32 if n_docs > 65535 else np.uint16, n, at + (8 if wide else 4) * n)
             docs_.append(own[local, 0])
             classes.append(own[local, 1])
             sizes.append(own[local, 2].astype(np.int32))
         t = np.concatenate(tokens)
+        tokens.clear()
         order = np.argsort(t, kind="stable")
         same = t[order[1:]] == t[order[:-1]]
         rows = order[np.append(same, False) | np.append(False, same)]  # tokens that came more than once
-        t, d, c, n = t[rows], np.concatenate(docs_)[rows], np.concatenate(classes)[rows], np.concatenate(sizes)[rows]
+        del order, same
+        t, d = t[rows], np.concatenate(docs_)[rows]
+        docs_.clear()
+        c, n = np.concatenate(classes)[rows], np.concatenate(sizes)[rows]
+        classes.clear()
         order = np.lexsort((d, c, t))
         t, d, c, n = t[order], d[order], c[order], n[order]
         first = np.ones(len(t), bool)  # the smallest id of each class: it is the same for all tokens of the class
         first[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
         t, d, n = t[first], d[first], n[first]
-        same = t[1:] == t[:-1]
-        rows = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(t) else np.zeros(0, int)
+        begin = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, int)
+        spread = np.repeat(np.diff(np.append(begin, len(t))), np.diff(np.append(begin, len(t))))
+        rows = np.flatnonzero(spread > 1)
         rows = rows[np.argsort(d[rows], kind="stable")]
-        t, d, n = t[rows], d[rows], n[rows]
+        t, d, n, spread = t[rows], d[rows], n[rows], spread[rows]
         start = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, int)
         offsets = pa.array(np.append(start, len(d)).astype(np.int32))
-        return pa.table({"doc_id": d[start], "n": n[start].astype(np.int64), "tokens": pa.ListArray.from_arrays(offsets, pa.array(t.view(np.int64)))})
+        name = np.int64(table.column("part")[0].as_py() if len(table) else 0) << 40
+        pairs = pa.StructArray.from_arrays([pa.array(spread.astype(np.int32)), pa.array(t | name)], names=["spread", "token"])
+        return pa.table({"doc_id": d[start], "n": n[start].astype(np.int64), "tokens": pa.ListArray.from_arrays(offsets, pairs)})
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "part int, blob binary")
-    return sent.groupBy("part").applyInArrow(meet, "doc_id long, n long, tokens array<long>")
+    return sent.groupBy("part").applyInArrow(meet, "doc_id long, n long, tokens array<struct<spread: int, token: long>>")
 
 
-def _needed(n: str, num: int, den: int) -> F.Column:
-    """Least number of sent tokens that a set of size n shares with any partner."""
-    return F.expr(f"greatest(1L, ({2 * num * num} * {n} + {10 * den * den - 1}) div {10 * den * den})")
+def _needed(n: str, num: int, den: int) -> str:
+    """Least overlap of a set of size n with any partner."""
+    return f"(({num} * {n} + {den - 1}) div {den})"
+
+
+def _overlap(a: str, b: str, num: int, den: int) -> str:
+    """Least overlap of sets of these sizes that link."""
+    return f"(({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -167,39 +188,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def near_links(docs: DataFrame, total: int, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """id, label: the component of every document, one for each class, that has a link. total: tokens of all sets."""
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (10 * den - 8 * num) // (10 * den) // TOKENS_PER_PART)
-    found = shared_tokens(docs, parts, k, num, den).groupBy("doc_id", "n").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    live = materialise(found.where(F.size("tokens") >= _needed("n", num, den)), "jaccard-live")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TOKENS_PER_PART)
+    found = shared_tokens(docs, parts, k).groupBy("doc_id", "n").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    live = materialise(found.where(f"size(tokens) >= {_needed('n', num, den)}").withColumn("tokens", F.array_sort("tokens")), "jaccard-live")
+
+    ids = live.select("doc_id")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
             low = np.array([[mix(s ^ x).min() if len(s) else 0 for x in _SEEDS] for s in sets], np.uint64).reshape(-1, MINHASHES)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(list(low.view(np.int64)), pa.list_(pa.int64())), binary(sets)], names=["doc_id", "low", "tokens"])
 
-    ids = live.select("doc_id")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     sets = materialise(texts.mapInArrow(sets_of, "doc_id long, low array<long>, tokens binary").dropDuplicates(["doc_id"]), "jaccard-sets")
 
-    low = sets.select("doc_id", F.posexplode("low").alias("i", "value"))
-    lead = low.groupBy("i", "value").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").drop("last")
-    votes = low.join(lead, ["i", "value"]).where("doc_id > b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= AGREE)
+    central = live.select("doc_id", F.struct((F.aggregate("tokens", F.lit(0).cast("long"), lambda x, e: x + e.spread) / F.col("n")).alias("spread"), (-F.col("doc_id")).alias("old")).alias("rank"))
+    low = sets.join(central, "doc_id").select("doc_id", "rank", F.posexplode("low").alias("i", "value"))
+    lead = low.groupBy("i", "value").agg(F.max_by("doc_id", "rank").alias("b"), F.max("rank").alias("top"), F.count("*").alias("size")).where("size > 1").drop("size")
+    votes = low.join(lead, ["i", "value"]).where("rank < top").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= AGREE)
     first = votes.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
     near = materialise(_verified(first, sets, num, den), "jaccard-links")
     groups = components(near)
 
-    held = live.join(groups, live.doc_id == groups.id, "left").select("doc_id", "n", F.coalesce("label", "doc_id").alias("group"), "tokens")
-    held = materialise(held.select("doc_id", "n", "group", F.explode("tokens").alias("token")), "jaccard-tokens")
-    several = held.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("token")
-    open_ = materialise(held.join(several, "token"), "jaccard-open")
-    matrix = open_.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    bounds = open_.join(matrix, "token").where("group < other").groupBy(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), "other")
-    fits = F.expr(f"low * {num} <= n_a * {den} and high * {den} >= n_a * {num}")
-    queries = materialise(bounds.agg(F.count("*").alias("bound"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("bound") >= _needed("n_a", num, den)).where(fits).select("a", "n_a", "other"), "jaccard-queries")
-    mine = open_.select(F.col("doc_id").alias("a"), "token").join(queries, "a")
-    theirs = open_.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("other"), "token")
-    pairs = mine.join(theirs, ["other", "token"]).where(f"n_a * {num} <= n_b * {den} and n_b * {num} <= n_a * {den}").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("bound"))
-    pairs = pairs.where((F.col("bound") >= _needed("n_a", num, den)) & (F.col("bound") >= _needed("n_b", num, den))).select("a", "b")
+    held = live.join(groups, live.doc_id == groups.id, "left").select("doc_id", "n", F.size("tokens").alias("r"), F.coalesce("label", "doc_id").alias("group"), F.transform("tokens", lambda e: e.token).alias("tokens"))
+    held = materialise(held, "jaccard-held")
+    ranked = held.select("doc_id", "n", "r", "group", F.posexplode(F.expr(f"slice(tokens, 1, cast(r - {_needed('n', num, den)} + 1 as int))")).alias("place", "token"))
+    # the larger set of a pair asks, by the tokens above; the smaller one is indexed by fewer, as their overlap is 2 t / (1 + t) of it at least
+    indexed = ranked.withColumn("indexed", F.expr(f"place <= r - {_overlap('n', 'n', num, den)}"))
+    several = indexed.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.max("indexed").alias("any")).where("least < most and any").select("token")
+    index = materialise(indexed.join(several, "token").drop("place"), "jaccard-index")
+    matrix = index.where("indexed").groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    met = index.join(matrix, "token").where("group <> other and low <= n").where(f"n * {num} <= high * {den}")
+    met = met.withColumn("need", F.expr(_overlap("n", f"greatest(low, {_needed('n', num, den)})", num, den))).where("need <= r")
+    met = materialise(met.groupBy(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), "other").agg(F.min("need").alias("need")), "jaccard-met")
+    asked = held.join(met.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.explode("tokens").alias("token"))
+    union = held.join(met.select(F.col("other").alias("group")).distinct(), "group", "left_semi").select(F.col("group").alias("other"), F.explode("tokens").alias("token")).distinct()
+    bounds = met.join(asked, "a").join(union, ["other", "token"]).groupBy("a", "n_a", "other", "need").agg(F.count("*").alias("bound"))
+    queries = materialise(bounds.where("bound >= need").select("a", "n_a", "other"), "jaccard-queries")
+    mine = index.select(F.col("doc_id").alias("a"), F.col("r").alias("r_a"), "token").join(queries, "a")
+    theirs = index.where("indexed").select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b"), F.col("group").alias("other"), "token")
+    pairs = mine.join(theirs, ["other", "token"]).where(f"n_a * {num} <= n_b * {den} and (n_b < n_a or n_b = n_a and b < a)").where(f"least(r_a, r_b) >= {_overlap('n_a', 'n_b', num, den)}").select("a", "b").distinct()
     far = materialise(_verified(pairs, sets, num, den), "jaccard-links")
     return components(near.union(far)) if far.limit(1).count() else groups
 
