@@ -12,7 +12,10 @@ A template of one shingle lies in WINDOW / STRIDE windows of which it is a WINDO
 is retrieved with probability collision(1 / WINDOW, BANDS * WINDOW // STRIDE), 0.99; longer ones
 have windows with a Jaccard coefficient of 1 and are retrieved for certain when unchanged.
 
-Defined cases: null, empty and short texts match nothing; rows that share a doc_id are one
+A template of fewer than K words is one shingle of all its words. It is sought at every word, by the
+hash of the run of so many words that starts there; a hit holds the whole template.
+
+Defined cases: a template without words can't be found and raises ValueError; null, empty and short texts match nothing; rows that share a doc_id are one
 document; a null doc_id is carried through as one document; an empty table gives an empty result;
 columns other than doc_id and text are not read.
 """
@@ -41,6 +44,8 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
+#: Notices of fewer than K words, found as a whole only.
+SHORT_TEMPLATES = {"all-rights-reserved": "All rights reserved."}
 _RANDOM = random.Random(20240607)
 MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(BANDS)]
 
@@ -54,11 +59,20 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _shingles(text: Column) -> Column:
-    """Hashes of all runs of K words, in order."""
-    run = lambda ws, i: F.xxhash64(*[F.get(ws, i + j) for j in range(K)])
-    some = lambda ws: F.when(F.size(ws) >= K, F.transform(F.sequence(F.lit(0), F.size(ws) - K), lambda i: run(ws, i))).otherwise(F.array().cast("array<long>"))
-    return let(_words(text), some)
+def _run(words: Column, at: Column, n: int) -> Column:
+    return F.xxhash64(*[F.get(words, at + j) for j in range(n)])
+
+
+def _shingles(words: Column, n: int = K) -> Column:
+    """Hashes of all runs of n words, in order."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: _run(words, i, n))).otherwise(F.array().cast("array<long>"))
+
+
+def _short(words: Column, n: int, values: list[int]) -> Column:
+    """at, band, value of the runs of n words that are a whole template of n words; their band is that of no window."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    held = F.filter(starts, lambda i: _run(words, i, n).isin(*values))
+    return F.transform(held, lambda i: F.struct(i.alias("at"), F.lit(BANDS + n).alias("band"), _run(words, i, n).alias("value")))
 
 
 def _minimum(shingles: Column, at: Column, mask: int) -> Column:
@@ -66,35 +80,50 @@ def _minimum(shingles: Column, at: Column, mask: int) -> Column:
 
 
 def template_bands(df: DataFrame, templates: dict[str, str]) -> tuple[DataFrame, list[tuple]]:
-    """Templates with their shingles, and (template, band, minimum) of all of their windows: a few rows for each template word."""
+    """Templates with their shingles, and (template, band, minimum) of all of their windows: a few rows for each template word.
+
+    A template of n < K words has band BANDS + n and the hash of its words.
+    """
     spark = df.sparkSession
     quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "\\'")) for k, v in templates.items())
     rows = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(license_id, text)")
-    rows = rows.select("license_id", _shingles(F.col("text")).alias("template")).where("size(template) > 0")
-    windows = rows.select("license_id", "template", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("template") - WINDOW))).alias("at"))
+    rows = rows.select("license_id", _words(F.col("text")).alias("words"))
+    empty = [r.license_id for r in rows.where("size(words) = 0").select("license_id").collect()]
+    if empty:
+        raise ValueError(f"templates without words can't be found: {', '.join(empty)}")
+    whole = reduce(lambda c, n: c.when(F.size("words") == n, F.array(_run(F.col("words"), F.lit(0), n))), range(1, K), F.when(F.size("words") >= K, _shingles(F.col("words"))))
+    rows = rows.select("license_id", F.size("words").alias("n"), whole.alias("template"))
+    windows = rows.where(f"n >= {K}").select("license_id", "template", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("template") - WINDOW))).alias("at"))
     each = F.array(*[F.struct(F.lit(b).alias("band"), _minimum(F.col("template"), F.col("at"), m).alias("value")) for b, m in enumerate(MASKS)])
-    bands = [tuple(r) for r in windows.select("license_id", F.inline(each)).distinct().collect()]
+    short = rows.where(f"n < {K}").select("license_id", (F.col("n") + BANDS).alias("band"), F.get("template", F.lit(0)).alias("value"))
+    bands = [tuple(r) for r in windows.select("license_id", F.inline(each)).distinct().union(short).collect()]
     return rows.select("license_id", F.array_distinct("template").alias("template")), bands
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
     """doc_id, license_id, first_word, places, containment: a row for each document and template that it holds."""
-    rows, bands = template_bands(docs, templates or TEMPLATES)
+    rows, bands = template_bands(docs, templates or TEMPLATES | SHORT_TEMPLATES)
     values = [[v for _, b, v in bands if b == i] or [0] for i in range(BANDS)]
     hit = lambda sh, at: reduce(Column.__or__, [_minimum(sh, at, m).isin(*v) for m, v in zip(MASKS, values, strict=True)])
+    lengths = {n: [v for _, b, v in bands if b == BANDS + n] for n in range(1, K)}
+    none = F.array().cast("array<struct<at: int, band: int, value: long>>")
     # (starts) every STRIDE-th shingle, and the last window
-    found = lambda sh: F.struct(sh.alias("shingles"), F.when(F.size(sh) > 0, F.filter(F.sequence(F.lit(0), F.size(sh) - 1, F.lit(STRIDE)), lambda at: hit(sh, at))).alias("places"))
-    held = docs.select("doc_id", let(_shingles(F.col("text")), found).alias("f")).where("size(f.places) > 0").select("doc_id", "f.shingles", "f.places")
+    starts = lambda sh: F.filter(F.sequence(F.lit(0), F.size(sh) - 1, F.lit(STRIDE)), lambda at: hit(sh, at))
+    each = lambda sh, at: F.array(*[F.struct(at.alias("at"), F.lit(b).alias("band"), _minimum(sh, at, m).alias("value")) for b, m in enumerate(MASKS)])
+    places = lambda sh: F.when(F.size(sh) > 0, F.flatten(F.transform(starts(sh), lambda at: each(sh, at)))).otherwise(none)
+    short = lambda ws: [_short(ws, n, v) for n, v in lengths.items() if v]
+    found = lambda ws: let(_shingles(ws), lambda sh: F.struct(sh.alias("shingles"), F.concat(places(sh), *short(ws)).alias("places")))
+    held = docs.select("doc_id", let(_words(F.col("text")), found).alias("f")).where("size(f.places) > 0").select("doc_id", "f.shingles", "f.places")
     spark = docs.sparkSession
     table = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {b}, {v if v > -(1 << 63) else v + 1}L)" for t, b, v in bands) + " AS t(license_id, band, value)")
-    windows = held.select("doc_id", "shingles", F.explode("places").alias("at"))
-    probes = windows.select("doc_id", "shingles", "at", F.inline(F.array(*[F.struct(F.lit(b).alias("band"), _minimum(F.col("shingles"), F.col("at"), m).alias("value")) for b, m in enumerate(MASKS)])))
+    probes = held.select("doc_id", "shingles", F.inline("places"))
     # a constant number of rows on the side of the templates
-    candidates = probes.join(F.broadcast(table), ["band", "value"]).drop("band", "value").join(F.broadcast(rows), "license_id")
+    candidates = probes.join(F.broadcast(table), ["band", "value"]).drop("value").join(F.broadcast(rows), "license_id")
     size = F.size("template")
     start = F.greatest(F.lit(0), F.col("at") - size)
     around = F.slice("shingles", start + 1, F.col("at") - start + WINDOW + size)
     common = F.size(F.array_intersect(around, "template"))
     first = start + F.array_position(F.transform(around, lambda x: F.array_contains("template", x)), True) - 1
-    exact = candidates.select("doc_id", "license_id", first.cast("long").alias("first_word"), (common / size).alias("containment")).where(F.col("containment") >= contained)
+    first, share = (F.when(F.col("band") > BANDS, whole).otherwise(part) for whole, part in ((F.col("at"), first), (F.lit(1.0), common / size)))
+    exact = candidates.select("doc_id", "license_id", first.cast("long").alias("first_word"), share.alias("containment")).where(F.col("containment") >= contained)
     return exact.groupBy("doc_id", "license_id").agg(F.min("first_word").alias("first_word"), F.countDistinct("first_word").alias("places"), F.max("containment").alias("containment"))

@@ -280,3 +280,15 @@ def test_empty_tables(spark, nothing):
     assert simhash.fingerprint_documents(nothing).count() == 0
     assert license_scan.scan(nothing).count() == 0
     assert piece_sampling.digest(nothing, piece_sampling.load_vocabulary()).count() == 0
+
+
+def test_license_short(spark):
+    rows = [(1, "A story. All rights reserved. The end of it."), (2, "all RIGHTS\nreserved"), (3, "All rights are reserved."), (4, "ALL RIGHTS RESERVED all rights reserved"), (5, "Rights reserved"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license_id, r.first_word, r.places, r.containment) for r in license_scan.scan(df).collect()}
+    assert got == {(1, "all-rights-reserved", 2, 1, 1.0), (2, "all-rights-reserved", 0, 1, 1.0), (4, "all-rights-reserved", 0, 2, 1.0)}
+    own = {"one": "Copyleft", "four": "Free for all uses", "six": "No rights are reserved by anyone"}
+    df = spark.createDataFrame([(1, "copyleft; free for all uses"), (2, "This is free for all. No rights are reserved by anyone"), (3, "free for all")], "doc_id long, text string")
+    assert {(r.doc_id, r.license_id) for r in license_scan.scan(df, own).collect()} == {(1, "one"), (1, "four"), (2, "six")}
+    with pytest.raises(ValueError, match="none"):
+        license_scan.scan(df, {"none": "..."})
