@@ -1,28 +1,30 @@
-"""Operator 9: removal of repeated sentence spans.
+"""Operator 9: removal of repeated spans of words.
 
-A unit is a sentence: it ends after a word that ends in . ! or ? (quotes and brackets may follow),
-before a line feed and at the end of the text. A sentence of more than LONG_WORDS words is cut
-further after commas, semicolons and colons and after words chosen by their hash, so that texts
-without full stops have units too. From each unit the shortest run of MIN_UNITS units or more with
-MIN_WORDS words or more is hashed, and so is the shortest such run that ends with each unit; words
-are compared without regard to white space and the case of A-Z. Runs are joined over all
-documents; of equal runs the first by (doc_id, position) stays, and every unit that any other one
-covers is removed.
+A unit is a word; words are compared without regard to white space and the case of A-Z. Every window
+of MIN_WORDS words that occurs at several places stays at the first of them by (doc_id, position),
+and every word that a later one covers is removed. A common passage of MIN_WORDS words or more is
+covered by its windows from its first word to its last, so it goes whole, wherever it starts and ends
+and whatever stands around it.
 
-Map tasks send each hash once with its first place, so a run that a third of all documents hold
-reaches a reducer as one row for each task. The table of repeated runs grows with the corpus and
-is joined by shuffle (skewed keys are split by adaptive execution), never collected.
+Windows are as many as words, so most are ruled out first. The anchor of a window is the run of K
+words in it that has the least hash. It depends on the words of the window alone, so equal windows
+have equal anchors, and a window whose anchor occurs nowhere else is not repeated. Neighbouring
+windows share anchors: about one for 7 words. Then the windows of repeated anchors are compared.
+
+Map tasks send hashes with their places, packed for each partition of the hash space; partitions
+grow in number with the corpus, and a hash has one row of bytes for each map task and partition, not
+one for each place. Nothing that grows with the corpus is collected.
 
 Defined cases: null and empty texts and rows with a null doc_id stay as they are and are not
-compared; rows that share a doc_id count as one document (the same run at the same place is not a
-repetition); runs repeated inside one document lose all but their first; a text all of whose units
+compared; rows that share a doc_id count as one document (the same window at the same place is not a
+repetition); windows repeated inside one document lose all but their first; a text all of whose words
 go becomes empty; an empty table gives an empty result. Other columns pass through unread, unless
 their name is that of a column of the result of removed_spans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,60 +34,56 @@ from pyspark.sql import functions as F
 from itemforge.llm.storage import materialise
 from itemforge.llm.words import RangeHash, Texts, U, mix, slices
 
-MIN_UNITS, MIN_WORDS, LONG_WORDS = 2, 25, 25
+K, MIN_WORDS = 13, 25
 SPANS_PER_PART = 2_000_000
 FLUSH_SPANS = 1_000_000
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[list(b".!?")] = 1
-_CLASS[list(b",;:")] = 2
-_CLASS[list(b"\"')]}")] = 3
+#: Up to so many ids of documents are sent to all executors, so that only their texts are shuffled.
+BROADCAST_ROWS = 1_000_000
+Places = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 class Units:
-    """Units of the texts of a column: first word, document, and the runs that are compared."""
+    """Units (words) of the texts of a column: document, and the windows that are compared."""
 
     def __init__(self, column: pa.Array):
         t = self.texts = Texts(column)
-        words, n = t.hashes(), len(t.start)
-        self.n_words = n
-        line = np.cumsum(t.data == 10)
-        last = np.zeros(n, bool)
-        if n:
-            last[t.first[1:][np.diff(t.first) > 0] - 1] = True
-            last[:-1] |= line[t.start[1:]] > line[t.end[:-1] - 1]
-        at = t.end - 1
-        for _ in range(3):  # behind closing quotes and brackets
-            at = np.where((_CLASS[t.data[at]] == 3) & (at > t.start), at - 1, at) if n else at
-        kind = _CLASS[t.data[at]] if n else np.zeros(0, np.uint8)
-        stop = last | (kind == 1)
-        ends = np.flatnonzero(stop)
-        long = np.repeat(np.diff(ends, prepend=-1) > LONG_WORDS, np.diff(ends, prepend=-1))
-        stop |= long & ((kind == 2) | (mix(words) % U(16) == 0))
-        self.end = np.flatnonzero(stop) + 1  # in words
-        self.begin = np.append(0, self.end[:-1])[: len(self.end)]
-        self.doc = t.doc[self.begin] if n else np.zeros(0, int)
+        self.hash = RangeHash(t.hashes())
+        self.begin = np.arange(len(t.start))
+        self.end = self.begin + 1
         #: Units of document i: first[i] to first[i + 1].
-        self.first = np.searchsorted(self.doc, np.arange(t.n + 1))
-        self.words = words
+        self.doc, self.first = t.doc, t.first
+
+    def windows(self) -> np.ndarray:
+        """First unit of each window."""
+        start = np.arange(max(0, len(self.begin) - MIN_WORDS + 1))
+        return start[self.doc[start] == self.doc[start + MIN_WORDS - 1]]
+
+    def anchors(self) -> np.ndarray:
+        """First unit of the anchor of the window at each unit (wherever a document ends); of equal hashes the first."""
+        least = np.arange(max(0, len(self.begin) - K + 1))
+        grams = self.hash(least, least + K)
+        less = lambda a, by: np.where(grams[a[by:]] < grams[a[:-by]], a[by:], a[:-by])
+        size, width = 1, MIN_WORDS - K + 1
+        while 2 * size <= width:
+            least, size = less(least, size), 2 * size
+        return less(least, width - size) if size < width else least
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, first unit, end unit of each run."""
-        m = len(self.end)
-        if not m:
-            return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
-        unit, low, high = np.arange(m), self.first[self.doc], self.first[self.doc + 1]
-        ahead = np.maximum(np.searchsorted(self.end, self.begin + MIN_WORDS) + 1, unit + MIN_UNITS)
-        back = np.minimum(np.searchsorted(self.begin, self.end - MIN_WORDS, side="right") - 1, unit + 1 - MIN_UNITS)
-        start = np.concatenate((unit[ahead <= high], back[back >= low]))
-        end = np.concatenate((ahead[ahead <= high], unit[back >= low] + 1))
-        key = np.unique(start * (m + 1) + end)
-        start, end = key // (m + 1), key % (m + 1)
-        return RangeHash(self.words)(self.begin[start], self.end[end - 1]), start, end
+        """Hash, first unit, end unit of each window."""
+        start = self.windows()
+        return self.hash(start, start + MIN_WORDS), start, start + MIN_WORDS
+
+    def at(self, places: pa.Array) -> np.ndarray:
+        """The units at the places (counted from 0 in their document) that are listed for each document."""
+        count = pa.compute.list_value_length(places).fill_null(0).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(count)), count)
+        unit = self.first[doc] + pa.compute.list_flatten(places).to_numpy(zero_copy_only=False).astype(np.int64)
+        return unit[unit < self.first[doc + 1]]
 
     def without(self, gone: np.ndarray) -> pa.Array:
         """The texts without the units that are marked."""
         t = self.texts
-        from_ = t.start[self.begin]
+        from_ = t.start
         to = np.append(from_[1:], len(t.raw)) if len(from_) else from_
         to = np.minimum(to, t.offsets[self.doc + 1]) if len(from_) else to
         edge = np.zeros(len(t.raw) + 1, np.int64)
@@ -96,42 +94,65 @@ class Units:
         return pa.Array.from_buffers(pa.large_binary(), t.n, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(t.raw[keep].tobytes())]).cast(pa.string())
 
 
-def repeated_runs(docs: DataFrame, parts: int) -> DataFrame:
-    """h, first_doc, first_unit of every run that occurs at several places."""
+def _placed(piece: pa.RecordBatch, units: Units, hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, doc_id, place in the document."""
+    ids, doc = piece.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False), units.doc[start]
+    return hashes, ids[doc], start - units.first[doc]
+
+
+def _anchors(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    units = Units(piece.column("text"))
+    start = np.unique(units.anchors()[units.windows()])
+    return _placed(piece, units, units.hash(start, start + K), start)
+
+
+def _windows(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows whose anchors are at the places that the piece lists."""
+    units = Units(piece.column("text"))
+    marked = np.zeros(len(units.begin), bool)
+    marked[units.at(piece.column("places"))] = True
+    start = units.windows()
+    start = start[marked[units.anchors()[start]]]
+    return _placed(piece, units, units.hash(start, start + MIN_WORDS), start)
+
+
+def repeated(rows: DataFrame, parts: int, places: Places, later: bool) -> DataFrame:
+    """doc_id, places, kept: the places with a hash that occurs at several places, and the documents of its first one.
+
+    later: without the first place of each hash.
+    """
+
+    def split(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in range(parts):
+            x = order[cut[p] : cut[p + 1]]
+            if len(x):
+                yield p, b"".join(c[x].tobytes() for c in columns)
+
+    def opened(table: pa.Table, *kinds: type) -> list[np.ndarray]:
+        cols, width = [[] for _ in kinds], sum(np.dtype(k).itemsize for k in kinds)
+        for x in table.column("blob").to_pylist():
+            n, at = len(x) // width, 0
+            for to, kind in zip(cols, kinds, strict=True):
+                to.append(np.frombuffer(x, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+        return [np.concatenate(c) for c in cols]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            h, d, u, more = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, d, u = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((u, d, h))
-            h, d, u, more = h[order], d[order], u[order], more[order]
-            first = np.append(True, h[1:] != h[:-1])
-            other = np.append(False, (h[1:] == h[:-1]) & ((d[1:] != d[:-1]) | (u[1:] != u[:-1]))) | more
-            start = np.flatnonzero(first)
-            several = np.logical_or.reduceat(other, start)
-            h, d, u = h[start], d[start], u[start]
-            part = (mix(h) % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            blobs, at = [], []
-            for p in range(parts):
-                x = order[cut[p] : cut[p + 1]]
-                if len(x):
-                    blobs.append(h[x].tobytes() + d[x].tobytes() + u[x].astype(np.int32).tobytes() + several[x].tobytes())
-                    at.append(p)
+            at, blobs = zip(*split((mix(h) % U(parts)).astype(np.int64), h, d, u.astype(np.int32)), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
         count = 0
         for batch in batches:
             for piece in slices(batch):
-                units = Units(piece.column("text"))
-                h, start, _ = units.spans()
-                ids = piece.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-                doc = units.doc[start] if len(start) else start
-                held.append((h, ids[doc], start - units.first[doc] if len(start) else start, np.zeros(len(h), bool)))
-                count += len(h)
+                held.append(places(piece))
+                count += len(held[-1][0])
                 if count >= FLUSH_SPANS:
                     yield flush()
                     count = 0
@@ -139,47 +160,60 @@ def repeated_runs(docs: DataFrame, parts: int) -> DataFrame:
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        cols: tuple[list, ...] = ([], [], [], [])
-        for x in table.column("blob").to_pylist():
-            n = len(x) // 21
-            for to, kind, at in zip(cols, (np.uint64, np.int64, np.int32, np.bool_), (0, 8 * n, 16 * n, 20 * n), strict=True):
-                to.append(np.frombuffer(x, kind, n, at))
-        h, d, u, several = map(np.concatenate, cols)
+        h, d, u = opened(table, np.uint64, np.int64, np.int32)
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        order = order[np.append(same, False) | np.append(False, same)]  # hashes that came more than once
+        h, d, u = h[order], d[order], u[order]
         order = np.lexsort((u, d, h))
-        h, d, u, several = h[order], d[order], u[order], several[order]
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        differ = np.append(False, (h[1:] == h[:-1]) & ((d[1:] != d[:-1]) | (u[1:] != u[:-1])))
-        keep = start[np.logical_or.reduceat(several | differ, start)]
-        return pa.table({"h": h[keep].view(np.int64), "first_doc": d[keep], "first_unit": u[keep]})
-
-    sent = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(send, "part int, blob binary")
-    return sent.groupBy("part").applyInArrow(meet, "h long, first_doc long, first_unit int")
-
-
-def _runs(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch):
-                units = Units(piece.column("text"))
-                h, start, end = units.spans()
-                ids = piece.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-                doc = units.doc[start] if len(start) else start
-                low = units.first[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array((start - low).astype(np.int32)), pa.array((end - low).astype(np.int32))], names=["h", "doc_id", "unit", "to"])
-
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "h long, doc_id long, unit int, to int")
+        h, d, u = h[order], d[order], u[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
+        size = np.diff(np.append(start, len(h)))
+        first = np.repeat(d[start], size)
+        other = (d != first) | (u != np.repeat(u[start], size))
+        some = other if later or not len(h) else np.repeat(np.logical_or.reduceat(other, start), size)
+        d, u, first = d[some], u[some], first[some]
+        at, blobs = zip(*split((mix(d.view(np.uint64)) % U(parts)).astype(np.int64), d, u, first), strict=True) if len(d) else ((), ())
+        return pa.table({"part": pa.array(at, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        d, u, first = opened(table, np.int64, np.int32, np.int64)
+
+        def lists(values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+            """Documents, and the different values of each."""
+            order = np.lexsort((values, d))
+            doc, value = d[order], values[order]
+            new = np.append(True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))
+            doc, value = doc[new], value[new]
+            start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            return doc[start], pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), pa.array(value))
+
+        doc, places_ = lists(u)
+        return pa.table({"doc_id": doc, "places": places_, "kept": lists(first)[1]})
+
+    sent = rows.mapInArrow(send, "part int, blob binary")
+    met = sent.groupBy("part").applyInArrow(meet, "part int, blob binary")
+    return met.groupBy("part").applyInArrow(gather, "doc_id long, places array<int>, kept array<long>")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (array of first unit, end unit), kept_in (ids of the documents that keep the first occurrence)."""
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (40 * SPANS_PER_PART))
-    known = materialise(repeated_runs(docs, parts), "spans-repeated")
-    hits = _runs(docs).join(known, "h").where("doc_id <> first_doc or unit <> first_unit")
-    return hits.groupBy("doc_id").agg(F.collect_set(F.struct("unit", "to")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("kept_in"))
+    """doc_id, spans (first unit of each window of MIN_WORDS units to remove), kept_in (ids of the documents that keep the first occurrence)."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (40 * SPANS_PER_PART))
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    anchors = repeated(texts, parts, _anchors, later=False).select("doc_id", "places")
+    anchors = materialise(anchors, "spans-anchors")
+    size = anchors.agg(F.count("*").alias("docs"), F.sum(F.size("places")).alias("places")).first()
+    if size.docs <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(anchors.select("doc_id")), "doc_id", "left_semi")
+    # an anchor is that of so many windows at most
+    parts = max(least, (size.places or 0) * (MIN_WORDS - K + 1) // SPANS_PER_PART)
+    hits = repeated(texts.join(anchors, "doc_id").select("doc_id", "text", "places"), parts, _windows, later=True)
+    return hits.select("doc_id", F.col("places").alias("spans"), F.col("kept").alias("kept_in"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with their columns; text without the units of repeated runs. Adds n_units, n_removed, kept_in."""
+    """docs with their columns; text without the words of repeated windows. Adds n_units, n_removed, kept_in."""
     side = materialise(removed_spans(docs), "spans-removed").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("kept_in").alias("_kept"))
     joined = docs.join(side, docs.doc_id == side._id, "left").drop("_id")
     names = docs.columns
@@ -189,10 +223,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in slices(batch):
                 units = Units(piece.column("text"))
-                gone = np.zeros(len(units.end), bool)
-                for i, found in enumerate(piece.column("_spans").to_pylist()):
-                    for x in found or ():
-                        gone[units.first[i] + x["unit"] : units.first[i] + x["to"]] = True
+                start = units.at(piece.column("_spans"))
+                edge = np.zeros(len(units.end) + 1, np.int64)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, np.minimum(start + MIN_WORDS, units.first[1:][units.doc[start]]), -1)
+                gone = np.cumsum(edge)[:-1] > 0
                 per = np.append(0, np.cumsum(gone))
                 removed = per[units.first[1:]] - per[units.first[:-1]]
                 text = pa.compute.if_else(pa.array(removed > 0), units.without(gone), piece.column("text").cast(pa.string()))

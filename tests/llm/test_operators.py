@@ -292,3 +292,28 @@ def test_license_short(spark):
     assert {(r.doc_id, r.license_id) for r in license_scan.scan(df, own).collect()} == {(1, "one"), (1, "four"), (2, "six")}
     with pytest.raises(ValueError, match="none"):
         license_scan.scan(df, {"none": "..."})
+
+
+def test_spans_inside_sentences(spark):
+    """Passages pasted in the middle of sentences, with edits between them, go from the first word to the last."""
+    rng = np.random.default_rng(11)
+    fresh = iter(f"w{i}" for i in rng.permutation(1_000_000))
+    text = lambda n: [next(fresh) for _ in range(n)]
+    rows, left = [], {}
+    for i in range(60):
+        n, point = int(rng.integers(51, 61)), int(rng.integers(0, 20))
+        passage = text(n)
+        passage[point + 10] += "." if i % 3 == 0 else "," if i % 3 == 1 else ""
+        before, after, edit = text(int(rng.integers(0, 9))), text(int(rng.integers(1, 9))), text(1)
+        rows.append((2 * i, " ".join(text(7) + passage + text(5))))
+        twice = passage + edit + passage if i % 2 else passage
+        rows.append((2 * i + 1, " ".join(before + twice + after)))
+        left[2 * i + 1] = (before + edit + after if i % 2 else before + after, 2 * n if i % 2 else n)
+    short = text(24)
+    rows += [(1000 + i, " ".join(text(30) + short + text(30))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in sentence_spans.deduplicate(df).collect()}
+    for d, t in rows:
+        words, n = left.get(d, (t.split(), 0))
+        assert (got[d].text.split(), got[d].n_removed) == (words, n)
+        assert got[d].kept_in == ([d - 1] if n else None)
