@@ -1,4 +1,4 @@
-"""The matching ladder: exact name, parameter signature, weighted score, coating variants.
+"""The matching ladder: exact name, parameter signature, weighted score.
 
 Distinct names are matched once and joined back by whoever holds the rows. A name that one step
 solves does not reach the next, and scored pairs exist once for each distinct set of attributes in a
