@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Tables made in this process and not deleted yet, oldest first.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="itemforge-")
@@ -26,4 +34,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/itemforge/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made() -> int:
+    """A mark for drop_since."""
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, mark: int, keep_last: bool = False) -> None:
+    """Delete the tables made since the mark; nothing may read them any more."""
+    gone = _MADE[mark : len(_MADE) - 1 if keep_last else len(_MADE)]
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _MADE.remove(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are deleted at the end; what is needed after it is written elsewhere or collected."""
+    mark = made()
+    try:
+        yield
+    finally:
+        drop_since(spark, mark)
+
+
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives value on any executor; its classes travel by value, as the executors have no copy of this package."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
