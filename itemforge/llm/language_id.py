@@ -1,18 +1,22 @@
 """Operator 5: language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads runs of letters (A-Z as a-z, bytes from 0x80 up as they are) in pieces of up to
-PIECE bytes in both directions, labels every byte and is trained by backpropagation through time
-in numpy. The probabilities of a document are the mean over all of its labelled bytes. As a piece's
-labels do not depend on its surroundings, each distinct piece of a batch is run once, and a bounded
-table keeps the sums of those seen before.
+The network reads the bytes of a text (A-Z as a-z) as they run, spaces, digits and signs included, in
+both directions, labels every byte and is trained by backpropagation through time in numpy. Long
+texts are read in windows of WINDOW bytes that overlap by MARGIN bytes on either side: a byte takes
+its label from the window in which it is not in a margin, so each has read MARGIN bytes or more of
+its surroundings in both directions. Places before and behind the text are a byte of their own. The
+probabilities of a document are the mean over the labels of its letters; bytes of no letter say
+nothing about a language but for what stands around them, and a text may have any number of them.
 
 Training reads TRAIN_DOCS labelled documents of each language at most, those with the smallest
 hash of doc_id, and only rows that are not held out.
 
 Defined cases: texts that are null, empty or without a letter get `und` and score 0; with no
-labelled row every other text gets `und` and score 0 too; a null doc_id is not held out; a row with
-a null lang is not learned from; repeated rows are each answered; an empty table gives an empty
-result; columns other than doc_id, text and lang are not read, or pass through.
+labelled row every other text gets `und` and score 0 too; equal probabilities go to the language that
+sorts first; a null doc_id is not held out; a row with a null lang is not learned from; repeated rows
+are each answered, and learned from once; very long texts are read whole, PASS windows at a time; an
+empty table gives an empty result; columns other than doc_id, text and lang are not read, or pass
+through, but for those with the name of a result's column, which the result's replaces.
 """
 
 from __future__ import annotations
@@ -21,26 +25,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemforge.llm.columns import ddl, free, without
+from itemforge.llm.sampling import remainder, smallest, with_texts
+from itemforge.llm.storage import share
 from itemforge.llm.words import Texts, slices
 
-HIDDEN, PIECE = 12, 24
-TRAIN_DOCS, STEPS, BATCH, RATE = 250, 700, 192, 0.01
-KEPT_PIECES = 400_000
-UNKNOWN = "und"
+HIDDEN, WINDOW, MARGIN, PASS = 12, 96, 12, 1024
+TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH, RATE = 250, 4000, 350, 64, 0.015
+SLICE = 1 << 20
+UNKNOWN, OUTSIDE = "und", 256
 NO_LETTER = np.ones(256, bool)
 NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
-
-
-def remainder(by: int) -> Column:
-    """crc32 of doc_id as text, modulo by; 0 for a null doc_id."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % by, F.lit(0))
+_ALL = np.zeros(256, bool)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 class ByteNetwork:
@@ -50,19 +57,20 @@ class ByteNetwork:
         rng = np.random.Generator(np.random.PCG64(seed))
         h, c = HIDDEN, len(labels)
         self.labels = labels
-        self.p = {"x": rng.normal(0, 0.3, (2, 256, 3 * h)), "u": rng.normal(0, h**-0.5, (2, h, 3 * h)), "v": rng.normal(0, 0.3, (2, h, c)), "b": np.zeros(c)}
+        self.p = {"x": rng.normal(0, 0.3, (2, 257, 3 * h)), "u": rng.normal(0, h**-0.5, (2, h, 3 * h)), "v": rng.normal(0, 0.3, (2, h, c)), "b": np.zeros(c)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def forward(self, bytes_: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """bytes_: n pieces of one length; log-free class probabilities n x length x classes."""
+        """bytes_: n windows of one length; class probabilities length x n x classes."""
         n, length = bytes_.shape
         h, u, x = HIDDEN, self.p["u"], self.p["x"]
-        state = np.zeros((2, n, h), np.float32)
-        states = np.empty((2, length, n, h), np.float32)
+        state = np.zeros((2, n, h), x.dtype)
+        states = np.empty((2, length, n, h), x.dtype)
         for t in range(length):
             gate = np.stack((x[0][bytes_[:, t]], x[1][bytes_[:, length - 1 - t]]))
             a = state @ u
-            zr = _sigmoid(gate[..., : 2 * h] + a[..., : 2 * h])
+            gate[..., : 2 * h] += a[..., : 2 * h]
+            zr = _sigmoid(gate[..., : 2 * h])
             z, r = zr[..., :h], zr[..., h:]
             new = np.tanh(gate[..., 2 * h :] + r * a[..., 2 * h :])
             if keep is not None:
@@ -73,21 +81,24 @@ class ByteNetwork:
         out = np.exp(out - out.max(axis=-1, keepdims=True))
         if keep is not None:
             keep.append(states)
-        return out / out.sum(axis=-1, keepdims=True)  # length x n x classes
+        return out / out.sum(axis=-1, keepdims=True)
 
-    def gradient(self, bytes_: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, bytes_: np.ndarray, label: np.ndarray, counted: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean loss over the bytes that are counted (n x length)."""
         keep: list = []
         prob = self.forward(bytes_, keep)
         states, (n, length), h = keep.pop(), bytes_.shape, HIDDEN
+        weight = np.ones((length, n, 1), prob.dtype) if counted is None else counted.T[..., None].astype(prob.dtype)
         d = prob
         d[:, np.arange(n), label] -= 1
-        d /= n * length
+        d *= weight / max(1, weight.sum())
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         g["b"] = d.sum(axis=(0, 1))
         g["v"] = np.stack([states[i].reshape(-1, h).T @ d.reshape(n * length, -1) for i in (0, 1)])
         back = np.stack([d @ self.p["v"][i].T for i in (0, 1)])
-        carried = np.zeros((2, n, h), np.float32)
+        carried = np.zeros((2, n, h), prob.dtype)
         ut = self.p["u"].transpose(0, 2, 1)
+        steps = np.empty((2, length, n, 3 * h), prob.dtype)
         for t in range(length - 1, -1, -1):
             before, z, r, new, an = keep[t]
             dh = carried + np.stack((back[0, t], back[1, length - 1 - t]))
@@ -98,23 +109,22 @@ class ByteNetwork:
             carried = dh * z + da @ ut
             g["u"] += before.transpose(0, 2, 1) @ da
             dg = np.concatenate((dz, dr, dn), axis=-1)
-            for i, column in ((0, t), (1, length - 1 - t)):
-                hot = np.zeros((256, n), np.float32)
-                hot[bytes_[:, column], np.arange(n)] = 1
-                g["x"][i] += hot @ dg[i]
+            steps[0, t], steps[1, length - 1 - t] = dg[0], dg[1]
+        order = np.argsort(flat := bytes_.T.ravel(), kind="stable")
+        start = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+        for i in (0, 1):
+            g["x"][i][flat[order][start]] = np.add.reduceat(steps[i].reshape(n * length, -1)[order], start)
         return g
 
-    def fit(self, pieces: dict[int, tuple[np.ndarray, np.ndarray]], seed: int = 7) -> ByteNetwork:
-        """pieces: length -> (bytes, labels)."""
+    def fit(self, bytes_: np.ndarray, label: np.ndarray, seed: int = 7) -> ByteNetwork:
+        """bytes_: windows; places outside of a text are not counted."""
         rng = np.random.Generator(np.random.PCG64(seed))
-        lengths = sorted(pieces)
-        weight = np.array([n * len(pieces[n][1]) for n in lengths], float)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for step in range(1, STEPS + 1):
-            bytes_, label = pieces[lengths[rng.choice(len(lengths), p=weight / weight.sum())]]
-            rows = rng.integers(0, len(label), min(BATCH, len(label)))
-            g = self.gradient(bytes_[rows], label[rows])
-            rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
+            rows = rng.integers(0, len(label), BATCH)
+            g = self.gradient(bytes_[rows], label[rows], bytes_[rows] != OUTSIDE)
+            norm = float(np.sqrt(sum((d * d).sum() for d in g.values())))
+            rate = RATE * min(1, 2 * (1 - step / (STEPS + 1))) * min(1.0, 1.0 / (norm + 1e-9))
             for k, d in g.items():
                 m[k] = 0.9 * m[k] + 0.1 * d
                 v[k] = 0.99 * v[k] + 0.01 * d * d
@@ -122,107 +132,84 @@ class ByteNetwork:
         return self
 
 
-class Pieces:
-    """Runs of letters of a column, cut into pieces of up to PIECE bytes."""
+class Windows:
+    """Overlapping windows over the bytes of a column's texts."""
 
     def __init__(self, column: pa.Array):
-        t = self.texts = Texts(column, other=NO_LETTER)
-        t.hashes()
-        count = -(-(t.end - t.start) // PIECE)
-        word = np.repeat(np.arange(len(count)), count)
-        part = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-        self.start = t.start[word] + part * PIECE
-        self.size = np.minimum(self.start + PIECE, t.end[word]) - self.start
-        self.doc = t.doc[word]
-        self.hash = t.ranges(self.start, self.start + self.size)
-
-    def bytes_of(self, rows: np.ndarray, length: int) -> np.ndarray:
-        return self.texts.data[self.start[rows][:, None] + np.arange(length)]
+        t = Texts(column, other=_ALL)
+        self.data, size = t.data.astype(np.int16), np.diff(t.offsets)
+        step = WINDOW - 2 * MARGIN
+        count = -(-size // step)
+        self.doc = np.repeat(np.arange(t.n), count)
+        at = np.arange(len(self.doc)) - np.repeat(np.cumsum(count) - count, count)
+        #: First byte, in the text's place, whose label the window gives, and the end of these.
+        self.low, self.high = t.offsets[:-1][self.doc], t.offsets[1:][self.doc]
+        self.start = self.low + at * step
+
+    def bytes_of(self, rows: np.ndarray) -> np.ndarray:
+        place = self.start[rows][:, None] - MARGIN + np.arange(WINDOW)
+        inside = (place >= self.low[rows][:, None]) & (place < self.high[rows][:, None])
+        return np.where(inside, self.data[np.where(inside, place, 0)], np.int16(OUTSIDE))
+
+    def letters(self, bytes_: np.ndarray) -> np.ndarray:
+        """Which of the bytes that are not in a margin are letters."""
+        own = bytes_[:, MARGIN : WINDOW - MARGIN]
+        return (own != OUTSIDE) & ~np.append(NO_LETTER, True)[own]
 
 
 def train(docs: DataFrame) -> ByteNetwork | None:
     """docs: doc_id, text, lang; None without a labelled row."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(remainder(3) != 1)
-    rows = labelled.withColumn("rank", rank).where(F.col("rank") <= TRAIN_DOCS).orderBy("lang", "rank").select("text", "lang").toArrow()
+    labelled = docs.where("lang is not null and text is not null").where(remainder(3) != 1)
+    rows = with_texts(labelled, smallest(labelled, "lang", TRAIN_DOCS), "lang").toArrow()
     labels = sorted(set(rows.column("lang").to_pylist()))
-    if not labels:
-        return None
     texts = rows.column("text").combine_chunks()
-    pieces = Pieces(texts if isinstance(texts, pa.Array) else pa.array([], pa.string()))
-    lang = np.searchsorted(labels, np.array(rows.column("lang").to_pylist()))
-    label = lang[pieces.doc] if len(pieces.doc) else np.zeros(0, int)
-    if not len(label):
+    windows = Windows(texts if isinstance(texts, pa.Array) else pa.array([], pa.string()))
+    if not len(windows.doc):
         return None
-    # the same number of bytes from each language, with repetition
+    label = np.searchsorted(labels, np.array(rows.column("lang").to_pylist()))[windows.doc]
+    # as many windows of each language, with repetition
     rng = np.random.Generator(np.random.PCG64(11))
     rows_of = [np.flatnonzero(label == c) for c in range(len(labels))]
-    most = min(60_000, max(map(len, rows_of)))
-    chosen = np.concatenate([rng.choice(r, most) for r in rows_of if len(r)])
-    by_length = {}
-    for n in range(1, PIECE + 1):
-        own = chosen[pieces.size[chosen] == n]
-        if len(own):
-            by_length[n] = pieces.bytes_of(own, n), label[own]
-    return ByteNetwork(labels).fit(by_length)
-
-
-class Labeller:
-    """Runs the network over batches; remembers the class sums of pieces in a bounded table."""
-
-    def __init__(self, net: ByteNetwork):
-        self.net = net
-        self.known, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(net.labels)), np.float32)
-
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the summed probabilities of its bytes and their number."""
-        p = Pieces(column)
-        distinct, at, back = np.unique(p.hash, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, distinct)
-        held = np.append(self.known, np.uint64(0))[place] == distinct if len(self.known) else np.zeros(len(distinct), bool)
-        sums = np.empty((len(distinct), len(self.net.labels)), np.float32)
-        sums[held] = self.sums[place[held]]
-        todo = np.flatnonzero(~held)
-        size = p.size[at[todo]]
-        for n in np.unique(size).tolist():
-            own = todo[size == n]
-            for a in range(0, len(own), 8192):
-                rows = own[a : a + 8192]
-                sums[rows] = self.net.forward(p.bytes_of(at[rows], n)).sum(axis=0)
-        if len(self.known) + len(todo) > KEPT_PIECES:
-            self.known, self.sums = distinct[:KEPT_PIECES], sums[:KEPT_PIECES]
-        else:
-            order = np.argsort(merged := np.concatenate((self.known, distinct[todo])), kind="stable")
-            self.known, self.sums = merged[order], np.concatenate((self.sums, sums[todo]))[order]
-        total, count = np.zeros((len(column), sums.shape[1])), np.zeros(len(column), np.int64)
-        if len(back):
-            start = np.flatnonzero(np.append(True, p.doc[1:] != p.doc[:-1]))
-            total[p.doc[start]] = np.add.reduceat(sums[back].astype(np.float64), start, axis=0)
-            count[p.doc[start]] = np.add.reduceat(p.size, start)
-        return total, count
+    chosen = np.concatenate([rng.choice(r, TRAIN_WINDOWS) for r in rows_of if len(r)])
+    return ByteNetwork(labels).fit(windows.bytes_of(chosen), label[chosen])
+
+
+def label_sums(net: ByteNetwork, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the summed probabilities of its letters' labels, and the number of letters."""
+    w = Windows(column)
+    total, count = np.zeros((len(column), len(net.labels))), np.zeros(len(column), np.int64)
+    for a in range(0, len(w.doc), PASS):
+        rows = np.arange(a, min(a + PASS, len(w.doc)))
+        bytes_ = w.bytes_of(rows)
+        letters = w.letters(bytes_)
+        prob = net.forward(bytes_)[MARGIN : WINDOW - MARGIN]
+        np.add.at(total, w.doc[rows], np.einsum("tnc,nt->nc", prob, letters.astype(prob.dtype)))
+        np.add.at(count, w.doc[rows], letters.sum(axis=1))
+    return total, count
 
 
 def identify(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
     """docs with lang_pred and score added."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    marked = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    docs = without(docs, "lang_pred", "score")
+    names, letter = docs.columns, free(docs, "_letter")
+    marked = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    shared = share(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(net) if net else None
+        own = shared()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE):
                 pred, score = [UNKNOWN] * piece.num_rows, np.zeros(piece.num_rows)
-                if labeller:
-                    total, count = labeller(piece.column("text"))
-                    ok = np.flatnonzero((count > 0) & piece.column("_letter").to_numpy(zero_copy_only=False).astype(bool))
+                if own:
+                    total, count = label_sums(own, piece.column("text"))
+                    ok = np.flatnonzero((count > 0) & piece.column(letter).to_numpy(zero_copy_only=False).astype(bool))
                     best = total.argmax(axis=1)
                     score[ok] = np.clip(total[ok, best[ok]] / count[ok], 0, 1)
                     for i in ok.tolist():
-                        pred[i] = net.labels[best[i]]
+                        pred[i] = own.labels[best[i]]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(run, ddl(docs, "lang_pred string, score double"))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
