@@ -13,13 +13,16 @@ RADIUS is over three standard deviations beyond the distance expected of a windo
 similarity of NUM / DEN that is also off by half a step and half a class.
 
 Items go to the executors in blocks of ITEMS_PER_PASS: a pass over the texts for each block, no
-shuffle, so that neither side has to fit into memory. Items of over MAX_WORDS words count as their
-consecutive pieces of that length (the last one overlapping). Items of fewer than K words are met
-by an equal run of words; items without words match nothing.
+shuffle, so that neither side has to fit into memory; the driver holds the benchmark alone, and a
+benchmark of a million items costs some 250 passes. Items of any length are one window each (vote
+lanes get wider with the window) and are verified whole. Items of fewer than K words are met by an
+equal run of words; items without words match nothing.
 
 Defined cases: null and empty texts are clean; a text shorter than a class's window is one window;
-a null doc_id is carried through; repeated rows are each answered; an empty table or benchmark
-gives an empty result (nothing removed); other columns are not read, or pass through.
+very long texts are taken one at a time; of several places of an item in a text the one with the
+highest similarity counts, the first of equal ones; a null doc_id is carried through; repeated rows
+are each answered; an empty table or benchmark gives an empty result (nothing removed); other columns
+are not read, or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,38 +35,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemforge.llm.storage import share
 from itemforge.llm.words import Texts, U, mix, runs, slices
 
 K, NUM, DEN = 5, 75, 100
 BITS, RADIUS, BLOCKS = 64, 19, 4
-GROWTH, STEP, MAX_WORDS = 1.2, 8, 240
+GROWTH, STEP = 1.2, 8
 ITEMS_PER_PASS = 4096
 #: Bytes of text at a time: the arrays of a class then stay in a core's cache.
 SLICE = 1 << 19
-_ONES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
 _NEAR = [x for x in range(1 << 16) if x.bit_count() <= RADIUS // BLOCKS]
 
 
-def _lanes(terms: np.ndarray) -> np.ndarray:
-    """8 x n: byte b of lane j is bit 8 b + j of the term's hash."""
+def _width(n: int) -> int:
+    """Bits of a lane that counts up to n votes."""
+    return 8 if n <= 254 else 16 if n <= 65534 else 32
+
+
+def _ones(width: int) -> np.uint64:
+    return U(sum(1 << i for i in range(0, 64, width)))
+
+
+def _lanes(terms: np.ndarray, width: int) -> np.ndarray:
+    """width x n: lane l of row j is bit width l + j of the term's hash."""
     h = mix(terms ^ U(0x51ED270B35A4F7C3))
-    return np.stack([(h >> U(j)) & _ONES for j in range(8)])
+    return np.stack([(h >> U(j)) & _ones(width) for j in range(width)])
 
 
-def _fold(votes: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-    """Bits whose votes are more than half of n terms (n <= 254)."""
-    add = (U(127) - np.asarray(n, np.uint64) // U(2)) * _ONES
+def _fold(votes: np.ndarray, n: np.ndarray | int, width: int) -> np.ndarray:
+    """Bits whose votes are more than half of n terms (n <= 2^width - 2)."""
+    half = U((1 << (width - 1)) - 1)
+    add = (half - np.asarray(n, np.uint64) // U(2)) * _ones(width)
     out = np.zeros(votes.shape[1:], np.uint64)
-    for j in range(8):
-        # votes + 127 - floor(n / 2) reaches 128 for more than floor(n / 2) votes; votes over 127 keep their own top bit
-        low = ((votes[j] & ~_TOPS) + (add & ~_TOPS)) | (votes[j] & _TOPS)
-        out |= ((low & _TOPS) >> U(7)) << U(j)
+    for j in range(width):
+        # a lane reaches its top bit for more than floor(n / 2) votes, and never goes beyond
+        out |= (((votes[j] + add) >> U(width - 1)) & _ones(width)) << U(j)
     return out
 
 
 def simhash(words: np.ndarray) -> int:
     pairs = runs(words, 2)
-    return int(_fold(_lanes(pairs).sum(axis=1, dtype=np.uint64)[:, None], len(pairs))[0]) if len(pairs) else 0
+    width = _width(len(pairs))
+    return int(_fold(_lanes(pairs, width).sum(axis=1, dtype=np.uint64)[:, None], len(pairs), width)[0]) if len(pairs) else 0
 
 
 def _class_of(n: int) -> int:
@@ -83,13 +96,12 @@ class Items:
             own = words[texts.first[i] : texts.first[i + 1]]
             if 0 < len(own) < K:
                 self.short.setdefault(len(own), {}).setdefault(int(runs(own, len(own))[0]), []).append(name)
-            for at in range(0, len(own), MAX_WORDS) if len(own) >= K else ():
-                piece = own[at : at + MAX_WORDS] if at + MAX_WORDS <= len(own) else own[-MAX_WORDS:]
-                self.classes.setdefault(_class_of(len(piece)), []).append(len(self.ids))
+            if len(own) >= K:
+                self.classes.setdefault(_class_of(len(own)), []).append(len(self.ids))
                 self.ids.append(name)
-                self.words.append(len(piece))
-                self.shingles.append(runs(piece, K))
-                self.prints.append(simhash(piece))
+                self.words.append(len(own))
+                self.shingles.append(runs(own, K))
+                self.prints.append(simhash(own))
         self.prints = np.array(self.prints, np.uint64)
         self.any = np.unique(np.concatenate(self.shingles)) if self.shingles else np.zeros(0, np.uint64)
         #: (class, up to 64 items, a table of item bits for each block)
@@ -123,8 +135,7 @@ def _hits(column: pa.Array, items: Items) -> list[tuple[int, object, int, float]
                 found.setdefault((int(t.doc[p]), name), (p - int(t.first[t.doc[p]]), 1.0))
     if not n or not items.tables:
         return [(d, name, p, s) for (d, name), (p, s) in found.items()]
-    votes = np.zeros((8, n + 1), np.uint64)
-    np.cumsum(_lanes(np.append(runs(words, 2), U(0))), axis=1, out=votes[:, 1:], dtype=np.uint64)
+    pairs, votes, wide = np.append(runs(words, 2), U(0)), None, 0
     whole = runs(words, K)
     known = np.append(0, np.cumsum(np.isin(whole, items.any)))
     low, high = t.first[:-1], t.first[1:]
@@ -140,7 +151,11 @@ def _hits(column: pa.Array, items: Items) -> list[tuple[int, object, int, float]
             top = np.repeat(high, count)
             first = np.maximum(np.minimum(first, top - size), np.repeat(low, count))
             last = np.minimum(first + size, top)
-            windows[size] = first, last, _fold(votes[:, last - 1] - votes[:, first], last - first - 1)
+            if _width(size) != wide:
+                wide = _width(size)
+                votes = np.zeros((wide, n + 1), np.uint64)
+                np.cumsum(_lanes(pairs, wide), axis=1, out=votes[:, 1:], dtype=np.uint64)
+            windows[size] = first, last, _fold(votes[:, last - 1] - votes[:, first], last - first - 1, wide)
         first, last, prints = windows[size]
         mask = tables[0][(prints & U(0xFFFF)).astype(np.int64)]
         for b in range(1, BLOCKS):
@@ -167,19 +182,18 @@ def _hits(column: pa.Array, items: Items) -> list[tuple[int, object, int, float]
         a, b = int(at[0]), int(at[-1]) + span - K + 1
         inside = np.append(0, np.cumsum(np.isin(whole[a:b], own)))
         upper = inside[at - a + span - K + 1] - inside[at - a]
-        order = np.argsort(-upper, kind="stable")
+        order, best = np.argsort(-upper, kind="stable"), 0
         for o in order.tolist():
-            if DEN * upper[o] < NUM * len(own):
+            if DEN * upper[o] < NUM * len(own) or upper[o] <= best:  # all places have as many shingles: more in common is more similar
                 break
             if x not in counters:
                 counters[x] = Counter(own.tolist())
             p = int(at[o])
             common, union = _similarity(whole[p : p + span - K + 1], counters[x], len(own))
-            if DEN * common >= NUM * union:
-                key = (d, items.ids[x])
+            if DEN * common >= NUM * union and common > best:
+                key, best = (d, items.ids[x]), common
                 if key not in found or found[key][1] < common / union:
                     found[key] = (p - lo, common / union)
-                break
     return sorted(((d, name, p, s) for (d, name), (p, s) in found.items()), key=lambda r: (r[0], str(r[1])))
 
 
@@ -193,12 +207,13 @@ def contaminations(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, similarity: one row for each document and item that it holds."""
     out = None
     for items in _passes(bench):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared = share(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared()
             for batch in batches:
                 for piece in slices(batch, limit=SLICE):
-                    hits = _hits(piece.column("text"), shared.value)
+                    hits = _hits(piece.column("text"), own)
                     ids = piece.column("doc_id").cast(pa.int64()).to_pylist()
                     cols = list(zip(*hits, strict=True)) or [(), (), (), ()]
                     yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64())], names=["doc_id", "item_id", "first_word", "similarity"])
@@ -212,13 +227,14 @@ def contaminations(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
     for items in _passes(bench):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared = share(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared()
             for batch in batches:
                 for piece in slices(batch, limit=SLICE):
                     clean = np.ones(piece.num_rows, bool)
-                    clean[[d for d, *_ in _hits(piece.column("text"), shared.value)]] = False
+                    clean[[d for d, *_ in _hits(piece.column("text"), own)]] = False
                     yield piece.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
