@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from itemforge.llm import components, decontamination, jaccard_join, kd_sharding, language_id, license_scan, piece_sampling, pitman_yor, sentence_spans, simhash, toxicity
+from itemforge.llm import components, decontamination, jaccard_join, kd_sharding, language_id, license_scan, piece_sampling, pitman_yor, sampling, sentence_spans, simhash, toxicity
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -47,24 +47,49 @@ def test_jaccard_brute(docs, corpus):
     assert got == {d: (len(s), find(d)) for d, s in sets.items()}
 
 
+def sentences_of(text):
+    """Lists of words, by an own reading of the rules."""
+    out = []
+    for line in (text or "").split("\n"):
+        own = []
+        for w in WORD.findall(line.encode()):
+            own.append(re.sub(rb"[A-Z]", lambda m: m[0].lower(), w))
+            if re.search(rb"[.!?][\"')\]}]{0,2}$", w):
+                out.append(own)
+                own = []
+        out.append(own)
+    return [x for x in out if x]
+
+
 def test_spans_brute(docs, corpus):
-    units = {}
-    for d, t, *_ in corpus:
-        u = sentence_spans.Units(pa.array([t], pa.string()))
-        h, start, end = u.spans()
-        units[d] = (len(u.end), list(zip(h.tolist(), start.tolist(), end.tolist(), strict=True)))
-    first = {}
-    for d in sorted(units):
-        for h, s, _ in sorted(units[d][1], key=lambda x: x[1]):
-            first.setdefault(h, (d, s))
-    want = {d: len({x for h, s, e in runs if first[h] != (d, s) for x in range(s, e)}) for d, (_, runs) in units.items()}
-    got = {r.doc_id: r for r in sentence_spans.deduplicate(docs).collect()}
+    first, places = {}, {}
+    for d, t, *_ in sorted(corpus):
+        cuts = sentences_of(t)
+        words, begin = [w for x in cuts for w in x], np.cumsum([0, *map(len, cuts)])
+        own = [(tuple(words[i : i + 25]), i) for i in range(len(words) - 24)]
+        for i in range(len(cuts)):
+            j = next((j for j in range(i + 2, len(cuts) + 1) if begin[j] - begin[i] >= 16), None)
+            if j:
+                own.append((("run", *words[begin[i] : begin[j]]), int(begin[i])))
+        for key, at in sorted(own, key=lambda x: x[1]):
+            if first.setdefault(key, (d, at)) != (d, at):
+                places.setdefault(d, set()).update(range(at, at + len(key) - (key[0] == "run")))
+    want = {d: len(places.get(d, ())) for d, *_ in corpus}
+    got = {r.doc_id: r for r in sentence_spans.deduplicate(docs.selectExpr("*", "1 as _id", "2 as _Runs", "3 as N_units")).collect()}
     assert {d: r.n_removed for d, r in got.items()} == want
     texts = {d: t for d, t, *_ in corpus}
     assert all(got[d].text == texts[d] for d, n in want.items() if not n)
     shared = [d for d, t, *_ in corpus if t and "Shared passage" in t]
     assert ["Shared passage begins" in got[d].text for d in shared] == [True] + [False] * (len(shared) - 1)
-    assert set(got[shared[0]].asDict()) >= {"part", "source"}
+    assert set(got[shared[0]].asDict()) >= {"part", "source", "_id", "_Runs"}
+
+
+def test_short_sentence_runs(spark):
+    """Runs of several sentences go whole though they have fewer words than a window; a single sentence stays."""
+    run = "The first one has eight words in it. Then (a second one) that has nine of them!"
+    rows = [(1, f"Own words here. {run} More of it"), (2, f"Other text.\n{run}\nand its end"), (3, "The first one has eight words in it. Something else."), (4, f"{run} Once more. {run} Bye.")]
+    got = {r.doc_id: r.text.split() for r in sentence_spans.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1].split(), 2: "Other text. and its end".split(), 3: rows[2][1].split(), 4: "Once more. Bye.".split()}
 
 
 def test_decontamination_brute(spark, docs, corpus):
@@ -98,26 +123,40 @@ def test_pieces_round_trip(docs, corpus):
     v = piece_sampling.load_vocabulary()
     rows = piece_sampling.decode(piece_sampling.encode(docs, v), v).collect()
     assert all(r.decoded == r.text for r in rows)
-    odd = ["a▁b  c\x00\n\t é😀", "▁", " ", "x" * 3000, "", None]
+    decoder = piece_sampling.Decoder(v)
+    odd = ["a▁b  c\x00\n\t é😀", "▁", " ", "x" * 3000, "", None, "long " * 40_000]
     for text in odd:
         ids, off = piece_sampling.sample(piece_sampling.Lattices(v), pa.array([text], pa.string()), np.array([5]))
-        assert piece_sampling.decode_bytes(ids, off, piece_sampling._raw(v)) == [(text or "").encode()]
+        assert decoder(ids, off) == [(text or "").encode()]
     again = {r.doc_id: r.ids for r in piece_sampling.encode(docs.repartition(7), v).collect()}
     assert again == {r.doc_id: r.ids for r in rows}
-
-
-def test_pieces_distribution():
-    """Sampled segmentations of a short word have the lattice's exact probabilities."""
-    v = piece_sampling.Vocabulary([(i, b, False) for i, b in enumerate([b"a", b"b", b"ab", b"ba", b"aba"])] + [(10 + i, bytes([i]), True) for i in range(256)])
-    score = {bytes(k): s for k, s in ((b"a", 0), (b"b", 1), (b"ab", 2), (b"ba", 3), (b"aba", 4))}
-    weight = lambda seg: np.exp(sum(-np.log(score[p] + 100.0) for p in seg))
-    segs = [(b"aba",), (b"ab", b"a"), (b"a", b"ba"), (b"a", b"b", b"a")]
-    n = 20000
-    ids, off = piece_sampling.sample(piece_sampling.Lattices(v), pa.array(["aba"] * n), np.arange(n))
-    raw = piece_sampling._raw(v)
-    seen = Counter(tuple(raw[i] for i in ids[a:b]) for a, b in zip(off[:-1], off[1:], strict=True))
-    total = sum(map(weight, segs))
-    assert abs(seen[(b"aba",)] / n - weight(segs[0]) / total) < 0.01
+    with pytest.raises(FileNotFoundError, match="nowhere"):
+        piece_sampling.load_vocabulary("/nowhere/x.model")
+
+
+def segmentations(word, pieces):
+    return [()] if not word else [(p, *rest) for p in pieces if word.startswith(p) for rest in segmentations(word[len(p) :], pieces)]
+
+
+@pytest.mark.parametrize("own", [None, {0: -1.0, 1: -2.5, 2: -1.2, 3: -3.0, 4: -2.0, 5: -2.0}])
+def test_pieces_distribution(own):
+    """Sampled segmentations have the lattice's exact probabilities, all of them; also over inner spaces and with a model's own scores."""
+    names = [b"a", b"b", b"ab", b"ba", b"aba", b"a b"]
+    v = piece_sampling.Vocabulary([(i, b, False) for i, b in enumerate(names)] + [(10 + i, bytes([i]), True) for i in range(256)], scores=own)
+    score = own or {i: -np.log(i + 100.0) for i in range(len(names))}
+    scores = {b: score[i] for i, b in enumerate(names)}
+    for word in (b"aba", b"ab a bab"):
+        single = {bytes([c]) for c in word}
+        # a byte piece stands beside a plain piece of the same byte
+        ways = {}
+        for seg in segmentations(word, list(dict.fromkeys([*names, *single]))):
+            ways[seg] = np.exp(sum(np.logaddexp(scores[p], v.byte_score) if p in scores and len(p) == 1 else scores.get(p, v.byte_score) for p in seg))
+        total, n = sum(ways.values()), 40_000
+        ids, off = piece_sampling.sample(piece_sampling.Lattices(v), pa.array([word.decode()] * n), np.arange(n))
+        raw = v.raw
+        seen = Counter(tuple(raw[i] for i in ids[a:b]) for a, b in zip(off[:-1], off[1:], strict=True))
+        assert set(seen) <= set(ways)
+        assert max(abs(seen[s] / n - w / total) for s, w in ways.items()) < 0.01
 
 
 def test_pitman_yor(docs, corpus, spark):
@@ -184,13 +223,47 @@ def test_language_and_toxicity(spark):
     assert {r.lang_pred for r in language_id.predictions(d.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def test_windows_label_every_byte():
+    """Windows cover each byte once, and a label depends on the margin's surroundings alone."""
+    texts = ["x" * n for n in (1, 71, 72, 73, 500)] + ["", None, "ä1 b" * 90]
+    w = language_id.Windows(pa.array(texts, pa.string()))
+    own = w.bytes_of(np.arange(len(w.doc)))[:, language_id.MARGIN : language_id.WINDOW - language_id.MARGIN]
+    sizes = np.bincount(w.doc, weights=(own != language_id.OUTSIDE).sum(axis=1), minlength=len(texts))
+    assert sizes.tolist() == [len((t or "").encode()) for t in texts]
+    assert bytes(own[w.doc == 7][own[w.doc == 7] != language_id.OUTSIDE].astype(np.uint8)) == texts[7].encode()
+    _, count = language_id.label_sums(language_id.ByteNetwork(["a", "b"]), pa.array(texts, pa.string()))
+    assert count.tolist() == [1, 71, 72, 73, 500, 0, 0, 3 * 90]
+
+
+def test_clashing_columns(spark, docs):
+    """Own columns with the name of a result's column are replaced; others stay."""
+    own = docs.selectExpr("doc_id", "text", "lang", "7 as score", "8 as Lang_Pred", "9 as _letter", "10 as ids", "11 as decoded", "12 as predicted").limit(30)
+    net = language_id.train(docs)
+    found = language_id.identify(own, net)
+    assert sorted(found.columns) == sorted(["doc_id", "text", "lang", "_letter", "ids", "decoded", "predicted", "lang_pred", "score"]) and found.where("_letter = 9").count() == 30
+    v = piece_sampling.load_vocabulary()
+    back = piece_sampling.decode(piece_sampling.encode(own, v), v)
+    assert back.where("decoded <=> text and score = 7").count() == 30
+    labels = docs.selectExpr("doc_id", "cast(part % 2 as int) as toxic")
+    assert toxicity.score(own, toxicity.train(docs, labels)).where("score between 0 and 1 and predicted in (0, 1) and ids = 10").count() == 30
+
+
+def test_sample_is_smallest(spark):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "if(id % 100 = 0, 'b', 'a') as g")
+    rows = rows.union(rows.where("doc_id < 5"))
+    got = sampling.smallest(rows, "g", 300)
+    want = rows.distinct().selectExpr("*", "row_number() over (partition by g order by pmod(xxhash64(doc_id), 1073741824), xxhash64(doc_id)) as r").where("r <= 300").drop("r")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_gradient_of_network():
     net = language_id.ByteNetwork(["a", "b", "c"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, y = np.array([[1, 2, 3, 4], [4, 3, 9, 1]], np.uint8), np.array([0, 2])
-    loss = lambda: -np.log(net.forward(x)[:, np.arange(2), y]).mean()
-    g = net.gradient(x, y)
-    for k, at in (("u", (1, 2, 5)), ("x", (0, 3, 7)), ("x", (1, 1, 30)), ("v", (1, 3, 1)), ("b", (2,))):
+    x, y = np.array([[1, 2, 3, 4], [4, 3, 9, 256]]), np.array([0, 2])
+    counted = x != 256
+    loss = lambda: -np.log(net.forward(x)[:, np.arange(2), y])[counted.T].mean()
+    g = net.gradient(x, y, counted)
+    for k, at in (("u", (1, 2, 5)), ("x", (0, 3, 7)), ("x", (1, 1, 30)), ("x", (0, 256, 2)), ("v", (1, 3, 1)), ("b", (2,))):
         keep = net.p[k][at]
         net.p[k][at] = keep + 1e-3
         up = loss()
