@@ -33,7 +33,7 @@ from itemforge.llm.sampling import remainder, smallest, with_texts
 from itemforge.llm.storage import share
 from itemforge.llm.words import Texts, slices
 
-HIDDEN, WINDOW, MARGIN, PASS = 12, 96, 12, 1024
+HIDDEN, WINDOW, MARGIN, PASS = 12, 128, 12, 512
 TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH, RATE = 250, 4000, 350, 64, 0.015
 SLICE = 1 << 20
 UNKNOWN, OUTSIDE = "und", 256
@@ -61,59 +61,67 @@ class ByteNetwork:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def forward(self, bytes_: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """bytes_: n windows of one length; class probabilities length x n x classes."""
+        """bytes_: n windows of one length; class probabilities length x classes x n. Windows are the last axis throughout."""
         n, length = bytes_.shape
-        h, u, x = HIDDEN, self.p["u"], self.p["x"]
-        state = np.zeros((2, n, h), x.dtype)
-        states = np.empty((2, length, n, h), x.dtype)
+        h, kind, columns = HIDDEN, self.p["x"].dtype, np.ascontiguousarray(bytes_.T)
+        x, u = (np.ascontiguousarray(self.p[k].transpose(0, 2, 1)) for k in "xu")
+        state = np.zeros((2, h, n), kind)
+        states = np.empty((2, length, h, n), kind)
+        gate = np.empty((2, 3 * h, n), kind)
         for t in range(length):
-            gate = np.stack((x[0][bytes_[:, t]], x[1][bytes_[:, length - 1 - t]]))
-            a = state @ u
-            gate[..., : 2 * h] += a[..., : 2 * h]
-            zr = _sigmoid(gate[..., : 2 * h])
-            z, r = zr[..., :h], zr[..., h:]
-            new = np.tanh(gate[..., 2 * h :] + r * a[..., 2 * h :])
+            np.take(x[0], columns[t], axis=1, out=gate[0], mode="clip")
+            np.take(x[1], columns[length - 1 - t], axis=1, out=gate[1], mode="clip")
+            a = u @ state
+            zr = _sigmoid(gate[:, : 2 * h] + a[:, : 2 * h])
+            z, r, an = zr[:, :h], zr[:, h:], a[:, 2 * h :]
+            new = r * an
+            new += gate[:, 2 * h :]
+            np.tanh(new, out=new)
             if keep is not None:
-                keep.append((state, z, r, new, a[..., 2 * h :]))
-            state = new + z * (state - new)
+                keep.append((state, z, r, new, an))
+            state = state - new
+            state *= z
+            state += new
             states[0, t], states[1, length - 1 - t] = state[0], state[1]
-        out = states[0] @ self.p["v"][0] + states[1] @ self.p["v"][1] + self.p["b"]
-        out = np.exp(out - out.max(axis=-1, keepdims=True))
+        out = self.p["v"][0].T @ states[0]
+        out += self.p["v"][1].T @ states[1]
+        out += self.p["b"][:, None]
+        out -= out.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(axis=1, keepdims=True)
         if keep is not None:
             keep.append(states)
-        return out / out.sum(axis=-1, keepdims=True)
+        return out
 
     def gradient(self, bytes_: np.ndarray, label: np.ndarray, counted: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean loss over the bytes that are counted (n x length)."""
         keep: list = []
-        prob = self.forward(bytes_, keep)
+        d = self.forward(bytes_, keep)
         states, (n, length), h = keep.pop(), bytes_.shape, HIDDEN
-        weight = np.ones((length, n, 1), prob.dtype) if counted is None else counted.T[..., None].astype(prob.dtype)
-        d = prob
-        d[:, np.arange(n), label] -= 1
+        weight = np.ones((length, 1, n), d.dtype) if counted is None else counted.T[:, None].astype(d.dtype)
+        d[:, label, np.arange(n)] -= 1
         d *= weight / max(1, weight.sum())
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["b"] = d.sum(axis=(0, 1))
-        g["v"] = np.stack([states[i].reshape(-1, h).T @ d.reshape(n * length, -1) for i in (0, 1)])
-        back = np.stack([d @ self.p["v"][i].T for i in (0, 1)])
-        carried = np.zeros((2, n, h), prob.dtype)
-        ut = self.p["u"].transpose(0, 2, 1)
-        steps = np.empty((2, length, n, 3 * h), prob.dtype)
+        g["b"] = d.sum(axis=(0, 2))
+        g["v"] = np.stack([(states[i] @ d.transpose(0, 2, 1)).sum(axis=0) for i in (0, 1)])
+        back = np.stack([self.p["v"][i] @ d for i in (0, 1)])
+        carried = np.zeros((2, h, n), d.dtype)
+        steps = np.empty((2, length, 3 * h, n), d.dtype)
         for t in range(length - 1, -1, -1):
             before, z, r, new, an = keep[t]
             dh = carried + np.stack((back[0, t], back[1, length - 1 - t]))
             dn = dh * (1 - z) * (1 - new * new)
             dz = dh * (before - new) * z * (1 - z)
             dr = dn * an * r * (1 - r)
-            da = np.concatenate((dz, dr, dn * r), axis=-1)
-            carried = dh * z + da @ ut
-            g["u"] += before.transpose(0, 2, 1) @ da
-            dg = np.concatenate((dz, dr, dn), axis=-1)
-            steps[0, t], steps[1, length - 1 - t] = dg[0], dg[1]
+            da = np.concatenate((dz, dr, dn * r), axis=1)
+            carried = dh * z + self.p["u"] @ da
+            g["u"] += before @ da.transpose(0, 2, 1)
+            steps[0, t], steps[1, length - 1 - t] = (np.concatenate((dz[i], dr[i], dn[i])) for i in (0, 1))
         order = np.argsort(flat := bytes_.T.ravel(), kind="stable")
         start = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
         for i in (0, 1):
-            g["x"][i][flat[order][start]] = np.add.reduceat(steps[i].reshape(n * length, -1)[order], start)
+            rows = steps[i].transpose(0, 2, 1).reshape(n * length, -1)
+            g["x"][i][flat[order][start]] = np.add.reduceat(rows[order], start)
         return g
 
     def fit(self, bytes_: np.ndarray, label: np.ndarray, seed: int = 7) -> ByteNetwork:
@@ -183,7 +191,7 @@ def label_sums(net: ByteNetwork, column: pa.Array) -> tuple[np.ndarray, np.ndarr
         bytes_ = w.bytes_of(rows)
         letters = w.letters(bytes_)
         prob = net.forward(bytes_)[MARGIN : WINDOW - MARGIN]
-        np.add.at(total, w.doc[rows], np.einsum("tnc,nt->nc", prob, letters.astype(prob.dtype)))
+        np.add.at(total, w.doc[rows], (prob * letters.T[:, None]).sum(axis=0).T)
         np.add.at(count, w.doc[rows], letters.sum(axis=1))
     return total, count
 

@@ -261,7 +261,7 @@ def test_gradient_of_network():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x, y = np.array([[1, 2, 3, 4], [4, 3, 9, 256]]), np.array([0, 2])
     counted = x != 256
-    loss = lambda: -np.log(net.forward(x)[:, np.arange(2), y])[counted.T].mean()
+    loss = lambda: -np.log(net.forward(x)[:, y, np.arange(2)])[counted.T].mean()
     g = net.gradient(x, y, counted)
     for k, at in (("u", (1, 2, 5)), ("x", (0, 3, 7)), ("x", (1, 1, 30)), ("x", (0, 256, 2)), ("v", (1, 3, 1)), ("b", (2,))):
         keep = net.p[k][at]
