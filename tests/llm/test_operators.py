@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from itemforge.llm import components, decontamination, jaccard_join, kd_sharding, language_id, license_scan, piece_sampling, pitman_yor, sampling, sentence_spans, simhash, toxicity
+from itemforge.llm import components, decontamination, jaccard_join, kd_sharding, language_id, license_scan, piece_sampling, pitman_yor, sampling, sentence_spans, simhash, stirling, toxicity
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -176,27 +176,85 @@ def test_pitman_yor(docs, corpus, spark):
     assert pitman_yor.score(docs.limit(0)).count() == 0
 
 
-def test_pitman_yor_sums_to_one():
+def sent_blob(rows):
+    """A blob of (context, word, n, learn), as a map task sends it."""
+    words, contexts = (np.unique(np.array(c, np.uint64)) for c in zip(*[(r[1], r[0]) for r in rows], strict=True))
+    rows = sorted(rows)
+    size = [sum(r[0] == c for r in rows) for c in contexts]
+    return pitman_yor.pack(words, contexts, np.array(size), np.searchsorted(words, np.array([r[1] for r in rows], np.uint64)), np.array([r[2] for r in rows]), np.array([int(r[3]) for r in rows]), np.arange(2), np.array([False, True]))
+
+
+@pytest.mark.parametrize("hot", [[], [7]])
+def test_restaurants_sum_to_one(hot):
     rng = np.random.default_rng(3)
-    words = pitman_yor.Words(np.sort(rng.integers(1, 1 << 62, 50).astype(np.uint64)), rng.integers(0, 50, 400), rng.integers(0, 3, 400) * 257, np.ones(400) * rng.integers(1, 90, 400))
-    totals = pitman_yor.Totals(int(words.n.sum()), 50)
+    rows = [(c, w, int(rng.integers(1, 900)), bool(rng.random() < 0.8)) for c in (5, 7, 9, 11) for w in range(20, 70) if rng.random() < 0.5]
+    own = pitman_yor.Restaurants([sent_blob(rows[:40]), sent_blob(rows[40:])], np.array(hot, np.uint64))
+    root = rng.dirichlet(np.ones(len(own.words)))
+    at = own.contexts.searchsorted(7)
+    own.open(root, np.array([[own.customers()[at], own.dishes()[at]]]))
     for i in range(3):
-        words.resample(totals, i)
-        totals = pitman_yor.Totals(int(words.n.sum()), 50)
-        for level, c, n, t in words.sums():
-            totals.n[level][c], totals.t[level][c] = n, t
-    for context in (0, 257, 514, 99):
-        p = words.predict(totals, np.arange(-1, 50), np.full(51, context))
-        assert p.sum() == pytest.approx(1) and (p > 0).all()
-
-
-def test_stirling_conditional():
-    """Two customers: one table with weight 1 - d, two with (theta + d T) p."""
-    d, theta, p = pitman_yor.DISCOUNT[2], pitman_yor.STRENGTH[2], 0.2
-    n = 40000
-    t = pitman_yor.seat(2, np.full(n, 2.0), np.zeros(n), np.full(n, p), np.arange(n).astype(np.uint64))
-    two = (theta + d) * p
-    assert abs((t == 2).mean() - two / (two + 1 - d)) < 0.01
+        own.sweep(i)
+        for v in range(len(own.contexts)):
+            p = own.predict(np.full(len(own.words), v), np.arange(len(own.words)))
+            assert p.sum() == pytest.approx(1) and (p > 0).all()
+    assert (own.t >= 1).all() and (own.t <= own.n).all() and (own.t[own.n > 100] > 1).any()
+
+
+@pytest.mark.parametrize("n", [2, 32, 33, 100, 256, 257, 1000])
+@pytest.mark.parametrize(("others", "parent"), [(0, 0.3), (10, 0.01), (3000, 0.05)])
+def test_seating_is_exact(n, others, parent):
+    """Histogram of the drawn table numbers against the conditional from the full recurrence."""
+    d, strength = 0.75, 5.0
+    s = np.full(n + 1, -np.inf)
+    s[0] = 0
+    t = np.arange(1, n + 1)
+    for m in range(n):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            stay = np.where(m - t * d > 0, s[1:] + np.log(m - t * d), -np.inf)
+        s = np.append(-np.inf, np.logaddexp(s[:-1], stay))
+    w = s[1:] + np.cumsum(np.log(strength + d * (others + np.arange(n))) + np.log(parent))
+    want = np.exp(w - w.max())
+    want /= want.sum()
+    k = 20_000
+    got = stirling.seat(d, strength, np.full(k, float(n)), np.full(k, float(others)), np.full(k, parent), np.arange(k).astype(np.uint64) * np.uint64(77)).astype(int)
+    seen = np.bincount(got, minlength=n + 1)[1:] / k
+    assert np.abs(np.cumsum(seen) - np.cumsum(want)).max() < 0.02
+    assert got.mean() == pytest.approx((want * t).sum(), rel=0.02)
+
+
+def test_stirling_far_out():
+    """Beyond the table of the recurrence the logarithm is within 0.04."""
+    n = 900
+    s = np.full(n + 1, -np.inf)
+    s[0] = 0
+    t = np.arange(1, n + 1)
+    for m in range(n):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            stay = np.where(m - t * 0.6 > 0, s[1:] + np.log(m - t * 0.6), -np.inf)
+        s = np.append(-np.inf, np.logaddexp(s[:-1], stay))
+    got = stirling.log_stirling(np.full(n - 5, n), t[: n - 5], 0.6)
+    assert np.abs(got - s[1 : n - 4]).max() < 0.04
+
+
+def test_model_sums_to_one_and_learns(spark):
+    """Over all words and one unknown the probabilities after each context are 1; repeated texts are likelier than fresh ones."""
+    words = ["ab", "cd", "ef", "gh"]
+    train = [(i, f"{words[i % 4]} {words[(i * i) % 4]} {words[(i // 3) % 4]}") for i in range(60)]
+    probes = [(1000 + i, w) for i, w in enumerate([*words, "zz", ""])]
+    ids = [d for d in range(2000, 3000) if zlib.crc32(str(d).encode()) % 7 == 2][: len(probes)]
+    df = spark.createDataFrame([*train, *((d, t) for d, (_, t) in zip(ids, probes, strict=True))], "doc_id long, text string")
+    got = {r.doc_id: r for r in pitman_yor.score(df).collect()}
+    end = {w: 10 ** got[d].score for d, (_, w) in zip(ids, probes, strict=True)}
+    # a one-word text is p(word | start) p(end | word): all of them and the empty one cover no more than 1
+    assert 0 < sum(end.values()) < 1
+    rng = np.random.default_rng(5)
+    fresh = lambda n: " ".join(str(x) for x in rng.choice([f"w{i}" for i in range(300)], n))
+    texts = [fresh(40) for _ in range(150)]
+    held = [d for d in range(10_000, 20_000) if zlib.crc32(str(d).encode()) % 7 == 2][:40]
+    learn = [d for d in range(10_000) if zlib.crc32(str(d).encode()) % 7 != 2][:150]
+    rows = [*zip(learn, texts, strict=True), *zip(held[:20], texts[:20], strict=True), *((d, fresh(40)) for d in held[20:])]
+    got = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[d].score - got[d].base_score for d in held[:20]) > max(got[d].score - got[d].base_score for d in held[20:])
 
 
 def test_language_and_toxicity(spark):
