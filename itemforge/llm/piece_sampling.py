@@ -1,13 +1,15 @@
 """Operator 2: SentencePiece encoding by forward filtering and backward sampling; lossless decoding.
 
-Pieces come from a public SentencePiece model; a piece's log-probability is that of a Zipf law over
-the model's order of pieces, so every piece has one whatever the model's kind. The space mark of
+Pieces come from a public SentencePiece model. The scores of a unigram model are its pieces'
+log-probabilities and are taken as they are; those of a BPE model are only ranks, so there a piece has
+the log-probability of a Zipf law over the ranks (tokenizers are not trained here). The space mark of
 the model stands for 0x20, and the byte pieces cover every other byte, so that the lattice of any
 text has a path and the pieces' bytes in a row are the text, white space and control characters
 included; a space mark in the text itself is covered by byte pieces.
 
-No piece goes over a place where a space follows another character (load_vocabulary splits such
-pieces off), so a text's lattice is a chain of independent lattices, its chunks. Forward filtering
+Where no piece of the model goes over a place at which a space follows another character (so in the
+default model), a text's lattice is a chain of independent lattices, its chunks; with a model that
+has such pieces each text is one chunk. Forward filtering
 sums over all paths of a chunk up to each byte, once for each distinct chunk; backward sampling
 draws, from the chunk's end, a piece with its share of the filtered probability. Draws are a hash of
 (seed, row key, place in the text, step): the same row gives the same pieces however it is
@@ -15,12 +17,15 @@ partitioned, and equal texts under other keys differ.
 
 Defined cases: null texts give null ids and decode to null; empty texts give no ids; a null key is
 0; rows with equal keys and texts give equal pieces; an empty table gives an empty result; columns
-other than the key and text are not read, or pass through. Very long chunks cost time in
-proportion to their length.
+other than the key and text are not read, or pass through, but for one with the name of a result's
+column, which the result's replaces. Equal shares at a node go to the piece that is longest. Texts are
+taken in slices of SLICE bytes or one text, and lattices are built BLOCK bytes of chunks at a time: a
+very long text without a space costs some 200 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,31 +34,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemforge.llm.columns import ddl, without
+from itemforge.llm.storage import share
 from itemforge.llm.words import RangeHash, Texts, U, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, ALPHA = 17, 1.0
-KEPT_EDGES = 5_000_000
+#: Edges of lattices that a task remembers (16 bytes each), bytes of text at a time, bytes of new chunks at a time.
+KEPT_EDGES, SLICE, BLOCK = 1_500_000, 1 << 19, 1 << 16
 MARK = "▁"
 
 
 class Vocabulary:
     """Bytes, ids and log-probabilities of the pieces; arrays of a size that the model fixes."""
 
-    def __init__(self, pieces: list[tuple[int, bytes, bool]], alpha: float = ALPHA):
-        """pieces: (id, bytes, whether it stands for one raw byte)."""
+    def __init__(self, pieces: list[tuple[int, bytes, bool]], alpha: float = ALPHA, scores: dict[int, float] | None = None):
+        """pieces: (id, bytes, whether it stands for one raw byte); scores: log-probabilities by id, else a Zipf law over the ids."""
         self.raw = {i: b for i, b, _ in pieces}
         plain = [(i, b) for i, b, single in pieces if not single and b]
         rank = {i: r for r, (i, _) in enumerate(sorted(plain))}
-        score = lambda i: -alpha * np.log(rank[i] + 100.0)
+        score = (lambda i: alpha * scores[i]) if scores else (lambda i: -alpha * np.log(rank[i] + 100.0))
         self.byte_id = np.zeros(256, np.int32)
         for i, b, single in pieces:
             if single:
                 self.byte_id[b[0]] = i
         #: A byte piece is likelier than no path only.
-        self.byte_score = -alpha * np.log(100.0 * (len(plain) + 100.0))
-        inner = lambda b: b.find(b" ", 1) > 0 and not b[: b.find(b" ", 1)].strip(b" ") == b""
-        plain = [(i, b) for i, b in plain if not inner(b)]
+        self.byte_score = min((score(i) for i, _ in plain), default=0.0) - alpha * np.log(100.0)
+        #: Whether no piece goes over a place at which a space follows another character.
+        self.splits = not any(b" " in b.lstrip(b" ") for _, b in plain)
         data = np.frombuffer(b"".join(b for _, b in plain), np.uint8)
         end = np.cumsum([len(b) for _, b in plain])
         start = end - [len(b) for _, b in plain]
@@ -73,6 +81,8 @@ def load_vocabulary(model: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
     """Reads the model on the driver; executors get arrays."""
     import sentencepiece
 
+    if not os.path.isfile(model):
+        raise FileNotFoundError(f"no SentencePiece model at {model}; give the path of one")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     pieces = []
     for i in range(sp.get_piece_size()):
@@ -80,7 +90,9 @@ def load_vocabulary(model: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
             pieces.append((i, bytes([int(sp.id_to_piece(i)[3:5], 16)]), True))
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             pieces.append((i, sp.id_to_piece(i).replace(MARK, " ").encode(), False))
-    return Vocabulary(pieces, alpha)
+    values = {i: sp.get_score(i) for i, _, single in pieces if not single}
+    ranked = all(float(v).is_integer() for v in values.values())
+    return Vocabulary(pieces, alpha, None if ranked else values)
 
 
 _NOTHING = np.zeros(256, bool)
@@ -160,11 +172,12 @@ class Lattices:
         return np.where(self.known[x] == hashes, self.base[x], -1)
 
 
-def chunks(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of the chunks: they begin with a text and before each space that follows another character."""
+def chunks(t: Texts, splits: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of the chunks: they begin with a text and, if it splits, before each space that follows another character."""
     head = np.zeros(len(t.raw) + 1, bool)
-    space = t.raw == 32
-    head[1:-1] = space[1:] & ~space[:-1]
+    if splits:
+        space = t.raw == 32
+        head[1:-1] = space[1:] & ~space[:-1]
     lengths = np.diff(t.offsets)
     head[t.offsets[:-1][lengths > 0]] = True
     head[-1] = False
@@ -175,7 +188,7 @@ def chunks(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sample(lattices: Lattices, column: pa.Array, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row and the offsets of each text."""
     t = Texts(column, lower=False, other=_NOTHING)
-    start, end, doc = chunks(t)
+    start, end, doc = chunks(t, lattices.v.splits)
     if not len(start):
         return np.zeros(0, np.int32), np.zeros(t.n + 1, np.int64)
     ranges = RangeHash(t.raw)
@@ -183,9 +196,10 @@ def sample(lattices: Lattices, column: pa.Array, keys: np.ndarray, seed: int = S
     distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
     if len(lattices.size) > KEPT_EDGES:
         lattices.reset()
-    new = lattices.bases(distinct) < 0
-    if new.any():
-        lattices.add(distinct[new], t.raw, ranges, start[at[new]], end[at[new]])
+    new = np.flatnonzero(lattices.bases(distinct) < 0)
+    block = np.cumsum(end[at[new]] - start[at[new]]) // BLOCK
+    for own in np.split(new, np.flatnonzero(np.diff(block)) + 1) if len(new) else ():
+        lattices.add(distinct[own], t.raw, ranges, start[at[own]], end[at[own]])
     base = lattices.bases(distinct)[back]
     draw = mix(mix(keys.astype(np.uint64)[doc] + U(seed * 0x9E3779B97F4A7C15 % (1 << 64))) ^ (start - t.offsets[doc]).astype(np.uint64))
     left, live, found = (end - start), np.arange(len(start)), []
@@ -213,58 +227,68 @@ def _keys(column: pa.Array) -> np.ndarray:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """docs with ids (array of int) added."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>"
+    docs = without(docs, "ids")
+    names, shared = docs.columns, share(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(vocabulary)
+        lattices = Lattices(shared())
         for batch in batches:
-            for piece in slices(batch, limit=4 << 20):
+            for piece in slices(batch, limit=SLICE):
                 ids, offsets = sample(lattices, piece.column("text"), _keys(piece.column(key)), seed)
                 null = piece.column("text").is_null()
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(null.to_numpy(zero_copy_only=False), False)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), lists], names=[*names, "ids"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, ddl(docs, "ids array<int>"))
 
 
-def decode_bytes(ids: np.ndarray, offsets: np.ndarray, raw: list[bytes]) -> list[bytes]:
-    values = [raw[i] for i in ids.tolist()]
-    return [b"".join(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+class Decoder:
+    """Bytes of sequences of ids."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        raw = [vocabulary.raw.get(i, b"") for i in range(max(vocabulary.raw, default=-1) + 1)]
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        self.size = np.array([len(b) for b in raw], np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
-def _raw(vocabulary: Vocabulary) -> list[bytes]:
-    return [vocabulary.raw.get(i, b"") for i in range(max(vocabulary.raw, default=-1) + 1)]
+    def __call__(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """offsets: where each sequence begins in ids, and the end of the last."""
+        size = self.size[ids]
+        ends = np.append(0, np.cumsum(size))
+        place = np.repeat(self.start[ids] - ends[:-1], size) + np.arange(ends[-1])
+        out, at = self.data[place].tobytes(), ends[offsets].tolist()
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """encoded (with ids) with decoded added: the texts that the ids stand for."""
-    names = encoded.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string"
-    raw = _raw(vocabulary)
+    encoded = without(encoded, "decoded")
+    names, shared = encoded.columns, share(encoded.sparkSession, Decoder(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = shared()
         for batch in batches:
             lists = batch.column("ids")
             sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            out = decode_bytes(lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes)), raw)
+            out = decoder(lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes)).astype(np.int64))
             null = lists.is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([None if n else x.decode() for x, n in zip(out, null, strict=True)], pa.string())], names=[*names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, ddl(encoded, "decoded string"))
 
 
 def digest(docs: DataFrame, vocabulary: Vocabulary, seed: int = SEED) -> DataFrame:
     """doc_id, n_bytes, n_pieces, ids_crc32 (of the ids as little-endian 32-bit), decoded_crc32, lossless of every row."""
-    raw = _raw(vocabulary)
+    shared = share(docs.sparkSession, (vocabulary, Decoder(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(vocabulary)
+        own_vocabulary, decoder = shared()
+        lattices = Lattices(own_vocabulary)
         for batch in batches:
-            for piece in slices(batch.select(["doc_id", "text"]), limit=4 << 20):
+            for piece in slices(batch.select(["doc_id", "text"]), limit=SLICE):
                 texts = piece.column("text").cast(pa.large_binary())
                 ids, offsets = sample(lattices, texts, _keys(piece.column("doc_id")), seed)
-                back = decode_bytes(ids, offsets, raw)
+                back = decoder(ids, offsets)
                 own = texts.to_pylist()
                 spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
