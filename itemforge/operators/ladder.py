@@ -1,13 +1,14 @@
-"""The matching ladder: exact name, parameter signature, weighted score.
+"""The matching ladder: exact name, coating substitution, parameter signature, weighted score, coating variants.
 
 Distinct names are matched once and joined back by whoever holds the rows. A name that one step
 solves does not reach the next, and scored pairs exist once for each distinct set of attributes in a
-block (standard, item type).
+block (standard, item type). Names whose block the catalogue does not have take the first block, in
+its order, with the same type whose standard holds theirs or the other way round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions import coating, text
@@ -25,22 +26,47 @@ def extract(names: DataFrame) -> DataFrame:
     return found.withColumn("std", F.when(F.col("found").isNotNull(), text.canonical_standard(F.col("found.full_name")))).withColumn("item_type", text.item_type(F.col("clean"))).drop("found")
 
 
+def _never_null(*names: str) -> list[Column]:
+    """Join keys that are never null: the optimizer then has no null test to push below a distinct, where an extraction would run again on every row."""
+    return [F.coalesce(F.col(n), F.lit("")).alias(f"_{n}") for n in names]
+
+
 def exact_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     """names joined to the first catalogue row of their block with the same key."""
-    keyed = catalogue.withColumn("key", text.name_key(text.clean_input(F.col("cand_name")))).groupBy("std", "item_type", "key").agg(F.min_by(F.struct("ens_code", "cand_name", "attrs", "cand_ord"), "cand_ord").alias("c"))
-    return names.withColumn("key", text.name_key(F.col("clean"))).join(keyed, ["std", "item_type", "key"]).select(*[F.col(c) for c in names.columns], "c.*")
+    keyed = catalogue.withColumn("key", text.name_key(text.clean_input(F.col("cand_name")))).where("std is not null and item_type is not null and key is not null")
+    keyed = keyed.groupBy("std", "item_type", "key").agg(F.min_by(F.struct("ens_code", "cand_name", "attrs", "cand_ord"), "cand_ord").alias("c"))
+    right = keyed.select(*_never_null("std", "item_type", "key"), "c")
+    left = names.withColumn("key", text.name_key(F.col("clean"))).select("*", *_never_null("std", "item_type", "key"))
+    return left.join(right, ["_std", "_item_type", "_key"]).select(*[F.col(c) for c in names.columns], "c.*")
 
 
 def signatures(names: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """names whose sorted parameter values, at least four of them, equal those of a candidate."""
+    """names whose sorted parameter values, at least four of them, equal those of a candidate.
+
+    The lists of keys that occur are few, one for each kind of mask: each candidate is read once by
+    each list of its block, and names meet candidates by list and values.
+    """
     enough = names.where(F.size("params") >= SIGNATURE_LEAST).withColumn("sorted", F.array_sort("params"))
-    pairs = enough.join(_distinct(catalogue), ["std", "item_type"])
-    mine = F.transform("sorted", lambda e: e.v)
-    theirs = F.transform("sorted", lambda e: field_value(F.col("attrs"), e.k))
-    ratio = F.size("sorted") / F.size(F.filter("attrs", lambda e: e.v != ""))
-    hits = pairs.where((F.array_join(mine, " ") == F.array_join(theirs, " ")) & ~F.exists(theirs, F.isnull) & (ratio >= SIGNATURE_RATIO))
-    w = Window.partitionBy("name").orderBy("cand_ord")
-    return hits.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank", "sorted")
+    enough = enough.withColumn("keys", F.transform("sorted", lambda e: e.k)).withColumn("values", F.array_join(F.transform("sorted", lambda e: e.v), " "))
+    lists = enough.select("std", "item_type", "keys").distinct()
+    offered = lists.join(_distinct(catalogue), ["std", "item_type"]).withColumn("theirs", F.transform("keys", lambda k: field_value(F.col("attrs"), k)))
+    ratio = F.size("keys") / F.size(F.filter("attrs", lambda e: e.v != ""))
+    offered = offered.where(~F.exists("theirs", F.isnull) & (ratio >= SIGNATURE_RATIO)).withColumn("values", F.array_join("theirs", " ")).drop("theirs")
+    first = offered.groupBy("std", "item_type", "keys", "values").agg(F.min_by(F.struct("cand_ord", "ens_code", "cand_name", "attrs", "cand_tokens"), "cand_ord").alias("c"))
+    return enough.join(first, ["std", "item_type", "keys", "values"]).select(*[F.col(c) for c in names.columns], "c.*")
+
+
+def blocks(names: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """names (std, item_type) with block_std and block_type, the block of the catalogue that they are compared with.
+
+    Blocks are as many as standards and types, not as rows.
+    """
+    have = catalogue.groupBy("std", "item_type").agg(F.min("cand_ord").alias("ord")).toDF("block_std", "block_type", "ord").where("block_std is not null and block_type is not null")
+    asked = names.select("std", "item_type").distinct().where("std is not null and item_type is not null")
+    near = asked.join(have, F.lower("item_type") == F.lower("block_type")).where("contains(block_std, std) or contains(std, block_std)")
+    rank = F.struct((F.col("std") != F.col("block_std")) | (F.col("item_type") != F.col("block_type")), "ord")
+    found = near.groupBy("std", "item_type").agg(F.min_by(F.struct("block_std", "block_type"), rank).alias("b")).select(*_never_null("std", "item_type"), "b.*")
+    return names.select("*", *_never_null("std", "item_type")).join(found, ["_std", "_item_type"], "left").drop("_std", "_item_type")
 
 
 def _distinct(catalogue: DataFrame) -> DataFrame:
@@ -48,7 +74,8 @@ def _distinct(catalogue: DataFrame) -> DataFrame:
     with_tokens = catalogue.withColumn("cand_tokens", text.number_tokens(F.col("cand_name")))
     return with_tokens.groupBy("std", "item_type", "attrs", "cand_tokens").agg(F.min("cand_ord").alias("cand_ord"), F.min_by("ens_code", "cand_ord").alias("ens_code"), F.min_by("cand_name", "cand_ord").alias("cand_name"))
 
-def _bag_key() -> F.Column:
+
+def _bag_key() -> Column:
     return F.md5(F.to_json(F.struct("std", "item_type", "params")))
 
 
@@ -71,23 +98,63 @@ def best_candidates(names: DataFrame, catalogue: DataFrame, keys: list[str], n:
     return names.withColumn("bag", _bag_key()).join(top, "bag").drop("bag").join(_distinct(catalogue), ["std", "item_type", "cand_ord"])
 
 
+def _coating(params: Column) -> Column:
+    return F.get(F.filter(params, lambda e: e.k == scoring.COATING), 0).v
+
+
+def _with_coating(value: Column) -> Column:
+    return F.transform("params", lambda e: F.struct(e.k.alias("k"), F.when(e.k == scoring.COATING, value).otherwise(e.v).alias("v")))
+
+
+def substitutions(best: DataFrame) -> DataFrame:
+    """best (params, attrs of the best candidate by the parameters as they are) with corrected and material where a rule replaces the coating."""
+    material = F.coalesce(field_value(F.col("attrs"), F.lit("марка_материала")), field_value(F.col("attrs"), F.lit("марка_стали")))
+    return best.withColumn("corrected", coating.substituted(material, _coating(F.col("params")))).withColumn("material", F.when(F.col("corrected").isNotNull(), material))
+
+
+def by_variants(names: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
+    """names without a scored candidate by the first other spelling of their coating that has one."""
+    spelled = names.select("*", F.posexplode(coating.variants(_coating(F.col("params")))).alias("spelling", "v")).where("spelling > 0")
+    spelled = spelled.withColumn("params", _with_coating(F.col("v"))).drop("v")
+    found = best_candidates(spelled, catalogue, keys)
+    w = Window.partitionBy("name").orderBy("spelling")
+    return found.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first", "spelling")
+
+
 def match(names: DataFrame, masks: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """name, std, item_type, mask_id, params, ens_code, ens_name, match_type, score, confidence, success for every distinct name."""
+    """One row for every distinct name: its extraction, the candidate found, how, and whether that is enough.
+
+    name, std, item_type, mask_id, level, params, ens_code, ens_name, ens_attrs, ens_params, match_type, score,
+    confidence, success, original, corrected, material (of a replaced coating), detail.
+    """
     parsed = M.parse(M.attach_masks(extract(names.select("name").distinct()), masks), masks, "clean")
     parsed = parsed.select("name", "clean", "std", "item_type", "mask_id", F.coalesce("params", F.array().cast("array<struct<k: string, v: string>>")).alias("params"))
-    exact = exact_names(parsed, catalogue).withColumn("match_type", F.lit("exact_name")).withColumn("score", F.lit(1.0))
+    parsed = blocks(parsed, catalogue).select("name", "clean", F.struct("std", "item_type").alias("own"), "mask_id", "params", F.col("block_std").alias("std"), F.col("block_type").alias("item_type"))
+    # five steps read it; kept, it is extracted once
+    parsed = parsed.persist()
+    columns = ["name", "params", "ens_code", "cand_name", "attrs", "match_type", "score", "corrected", "material"]
+    none = [F.lit(None).cast("string").alias(c) for c in ("corrected", "material")]
+    exact = exact_names(parsed, catalogue).withColumn("match_type", F.lit("exact_name")).withColumn("score", F.lit(1.0)).select(*columns[:-2], *none)
     rest = parsed.join(exact.select("name"), "name", "left_anti")
-    same = signatures(rest, catalogue).withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0))
-    rest = rest.join(same.select("name"), "name", "left_anti")
     keys = M.param_names(masks)
-    fuzzy = best_candidates(rest.where(F.size("params") > 0), catalogue, keys).withColumn("match_type", F.lit("fuzzy"))
-    material = field_value(F.col("attrs"), F.lit("марка_материала"))
-    own = F.get(F.filter("params", lambda e: e.k == scoring.COATING), 0).v
-    fuzzy = fuzzy.withColumn("substituted", coating.substituted(material, own).isNotNull())
-    fuzzy = fuzzy.withColumn("match_type", F.when(F.col("substituted"), "exact_substitution").otherwise(F.col("match_type")))
-    columns = ["name", "ens_code", "cand_name", "attrs", "match_type", "score"]
-    found = exact.select(*columns, F.lit(False).alias("substituted")).unionByName(same.select(*columns, F.lit(False).alias("substituted"))).unionByName(fuzzy.select(*columns, F.coalesce("substituted", F.lit(False)).alias("substituted")))
-    joined = parsed.join(found, "name", "left").withColumn("substituted", F.coalesce("substituted", F.lit(False)))
+    trial = substitutions(best_candidates(rest.where(F.size("params") > 0), catalogue, keys)).persist()
+    replaced = trial.where("corrected is not null")
+    changed = rest.join(replaced.select("name", "corrected", "material"), "name").withColumn("params", _with_coating(F.col("corrected")))
+    rest = rest.select("*", *none).join(replaced.select("name"), "name", "left_anti").unionByName(changed)
+    same = signatures(rest, catalogue).withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0)).select(*columns)
+    again = best_candidates(changed, catalogue, keys).select(*[c for c in columns if c != "match_type"])
+    fuzzy = trial.where("corrected is null").select(*[c for c in columns if c != "match_type"]).unionByName(again).withColumn("match_type", F.lit("fuzzy"))
+    scored_ = fuzzy.join(same.select("name"), "name", "left_anti")
+    left = rest.join(same.select("name"), "name", "left_anti").join(fuzzy.select("name"), "name", "left_anti").where(F.size("params") > 0)
+    variant = by_variants(left, catalogue, keys).withColumn("match_type", F.lit("fuzzy_coating_variant")).withColumn("score", F.lit(0.8))
+    near = scored_.select(*columns).unionByName(variant.select(*columns))
+    swapped = F.col("corrected").isNotNull()
+    near = near.withColumn("match_type", F.when(swapped, "exact_substitution").otherwise(F.col("match_type"))).withColumn("score", F.when(swapped, 1.0).otherwise(F.col("score")))
+    found = exact.unionByName(same).unionByName(near.select(*columns)).withColumnRenamed("params", "used")
+    joined = parsed.join(found, "name", "left").withColumn("original", F.when(swapped, _coating(F.col("params")))).withColumn("params", F.coalesce("used", "params"))
+    joined = joined.withColumn("substituted", swapped)
     joined = joined.withColumn("detail", scoring.compare(scoring.asked(F.col("params")), scoring.offered(F.col("attrs")), text.number_tokens(F.col("cand_name"))))
     out = scoring.decide(joined)
-    return out.select("name", "std", "item_type", "mask_id", "params", "ens_code", F.col("cand_name").alias("ens_name"), "match_type", "score", "confidence", "success")
+    level = F.when(F.col("own.std").isNull() | F.col("own.item_type").isNull(), "llm_direct").otherwise("catalogue")
+    values = scoring.catalogue_params(F.col("params"), F.col("attrs"))
+    return out.select("name", "own.std", "own.item_type", "mask_id", level.alias("level"), "params", "ens_code", F.col("cand_name").alias("ens_name"), F.col("attrs").alias("ens_attrs"), values.alias("ens_params"), "match_type", "score", "confidence", "success", "original", "corrected", "material", "detail")

@@ -132,10 +132,51 @@ def decide(winners: DataFrame) -> DataFrame:
     other = F.exists("detail", lambda e: (e.status == "exact (in name)") & (e.k != COATING) & ~((e.k == LENGTH) & length_tolerated(e.v, e.value)))
     no_params = (F.col("match_type") == "exact_name") & (F.coalesce(F.size("params"), F.lit(0)) == 0)
     good = (raw >= SUCCESS) & ~no_params & ~missing & ((F.col("match_type") == "exact") | (~wrong & ~other))
-    out = winners.withColumn("confidence", F.when(F.col("match_type").isNull(), 0.0).when(F.col("substituted"), F.greatest(raw, F.lit(SUCCESS))).otherwise(raw))
+    sure = F.when(F.col("match_type").isNull(), 0.0).when(F.col("substituted"), F.greatest(raw, F.lit(SUCCESS))).otherwise(raw)
+    out = winners.withColumn("confidence", rounded(sure, 3))
     return out.withColumn("success", F.when(F.col("match_type").isNull(), False).when(F.col("substituted"), True).otherwise(F.coalesce(good, F.lit(False))))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half to even, on the decimal digits of the value."""
+    return F.bround(value, digits)
+
+
+#: Fields that are no parameters.
+TECHNICAL = ["код", "наименование", "полное_наименование", "наименование_типа", "нтд", "mdm_key", "guid"]
+
+
+def catalogue_params(params: Column, attrs: Column, parsed: Column | None = None) -> Column:
+    """Parameters of a candidate: the values of the keys that were asked for, its other fields that are not technical, and for what is missing or blank what its name says (parsed)."""
+    held = F.filter(F.transform(params, lambda e: F.struct(e.k.alias("k"), field_value(attrs, e.k).alias("v"))), lambda e: F.trim(e.v) != "")
+    more = lambda base, other: F.concat(base, F.filter(other, lambda e: (F.trim(e.v) != "") & ~F.exists(base, lambda b: b.k == e.k)))
+    rest = F.filter(attrs, lambda e: ~F.startswith(e.k, F.lit("_")) & ~F.lower(e.k).isin(TECHNICAL) & ~F.exists(params, lambda p: p.k == e.k))
+    own = let(held, lambda h: more(h, rest))
+    return own if parsed is None else let(own, lambda o: more(o, F.coalesce(parsed, F.array().cast("array<struct<k: string, v: string>>"))))
+
+
+def exact_detail(params: Column, attrs: Column, canonical: Column) -> Column:
+    """array<struct<k, v, value, status>> of a name that is equal: exact, mismatched or no_ens_value; coatings by code or tokens (canonical: code of a coating)."""
+
+    def one(e: Column) -> Column:
+        def told(c: Column) -> Column:
+            alike = (e.k == COATING) & ((F.lower(canonical) == F.lower(c)) | (F.size(F.array_except(tokens(e.v), tokens(c))) + F.size(F.array_except(tokens(c), tokens(e.v))) == 0))
+            same = F.coalesce(number(e.v) == number(c), F.trim(e.v) == F.trim(c)) | alike
+            return F.struct(e.k.alias("k"), e.v.alias("v"), c.alias("value"), F.when(c.isNull() | (F.trim(c) == ""), "no_ens_value").when(same, "exact").otherwise("mismatched").alias("status"))
+
+        return let(field_value(attrs, e.k), told)
+
+    return F.transform(F.filter(params, lambda e: e.v.isNotNull() & (e.v != "")), one)
+
+
+def visible_match(pairs: DataFrame) -> DataFrame:
+    """name, cand_ord, score of the best candidate by equal visible fields alone: pairs (name, cand_ord, params, attrs, visible: array of keys); the first of equal ones."""
+    mine = F.filter("params", lambda e: F.array_contains("visible", e.k) & (e.v != ""))
+    equal = F.size(F.filter(mine, lambda e: F.coalesce(lenient_equal(e.v, field_value(F.col("attrs"), e.k)), F.lit(False))))
+    rows = pairs.select("name", "cand_ord", F.coalesce(F.try_divide(equal, F.size(mine)), F.lit(0.0)).alias("score"))
+    return rows.where("score > 0").groupBy("name").agg(F.min_by(F.struct("cand_ord", "score"), F.struct(-F.col("score"), F.col("cand_ord"))).alias("b")).select("name", "b.*")
+
+
 def check_status(left: Column, right: Column) -> Column:
     """Five statuses of two parameter maps: both_empty, full_match, missing_in_input, missing_in_catalogue, mismatch."""
     a, b = F.map_keys(left), F.map_keys(right)
