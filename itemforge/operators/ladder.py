@@ -15,6 +15,7 @@ from itemforge.functions import coating, text
 from itemforge.functions.collections import field_value
 from itemforge.operators import masks as M
 from itemforge.operators import scoring
+from itemforge.operators.cut import cut
 
 SIGNATURE_LEAST, SIGNATURE_RATIO = 4, 0.70
 
@@ -82,14 +83,24 @@ def _bag_key() -> Column:
 def scored(names: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
     """bag, cand_ord, score, exact_count: each distinct bag of parameters against all candidates of its block.
 
-    Bags are dealt evenly over all cores before the join: the blocks are few and of very different
-    sizes, and pairs cost more than rows.
+    Blocks are few and of very different sizes, and pairs cost more than rows: bags are dealt by hash,
+    each share meets its own copy of the candidates, and both sides come in a fixed number of partitions
+    that their small size does not reduce.
+
+    Texts are compared once for each two that occur in a block; with what they add, a bag meets the
+    candidates of each text and only numbers are left to compare.
     """
     spark = names.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    asked = names.select("std", "item_type", "params").distinct().select(_bag_key().alias("bag"), "std", "item_type", scoring.flat_params(keys).alias("p")).repartition(tasks, "bag")
-    offered = _distinct(catalogue).select("std", "item_type", "cand_ord", "cand_tokens", scoring.flat_attrs(keys).alias("c"))
-    return scoring.score_pairs(asked.join(offered, ["std", "item_type"]), keys).select("bag", "cand_ord", "score", "exact_count")
+    asked = names.select("std", "item_type", "params").distinct().select(_bag_key().alias("bag"), "std", "item_type", scoring.flat_params(keys).alias("p")).withColumn("mine", scoring.text_key("p", keys))
+    offered = _distinct(catalogue).select("std", "item_type", "cand_ord", "cand_tokens", scoring.flat_attrs(keys).alias("c")).withColumn("theirs", scoring.text_key("c", keys))
+    some = lambda df, key, side: df.groupBy("std", "item_type", key).agg(F.first(side).alias(side))  # noqa: E731  equal texts by key
+    texts = scoring.text_scores(some(asked, "mine", "p").join(some(offered, "theirs", "c"), ["std", "item_type"]), keys)
+    on = ["deal", "std", "item_type", "theirs"]
+    met = asked.join(texts, ["std", "item_type", "mine"]).drop("mine").withColumn("deal", F.pmod(F.xxhash64("bag"), F.lit(2 * tasks)))
+    copies = offered.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(2 * tasks - 1)))).withColumn("deal", F.col("deal").cast("long"))
+    pairs = met.repartition(tasks, *on).join(copies.repartition(tasks, *on), on).drop("theirs", "deal")
+    return scoring.score_pairs(pairs, keys).select("bag", "cand_ord", "score", "exact_count")
 
 
 def best_candidates(names: DataFrame, catalogue: DataFrame, keys: list[str], n: int = 1) -> DataFrame:
@@ -130,20 +141,23 @@ def match(names: DataFrame, masks: DataFrame, catalogue: DataFrame) -> DataFrame
     parsed = M.parse(M.attach_masks(extract(names.select("name").distinct()), masks), masks, "clean")
     parsed = parsed.select("name", "clean", "std", "item_type", "mask_id", F.coalesce("params", F.array().cast("array<struct<k: string, v: string>>")).alias("params"))
     parsed = blocks(parsed, catalogue).select("name", "clean", F.struct("std", "item_type").alias("own"), "mask_id", "params", F.col("block_std").alias("std"), F.col("block_type").alias("item_type"))
-    # five steps read it; kept, it is extracted once
-    parsed = parsed.persist()
+    parsed = cut(parsed, "parsed")  # all steps read it
     columns = ["name", "params", "ens_code", "cand_name", "attrs", "match_type", "score", "corrected", "material"]
     none = [F.lit(None).cast("string").alias(c) for c in ("corrected", "material")]
     exact = exact_names(parsed, catalogue).withColumn("match_type", F.lit("exact_name")).withColumn("score", F.lit(1.0)).select(*columns[:-2], *none)
-    rest = parsed.join(exact.select("name"), "name", "left_anti")
+    exact = cut(exact, "exact")
+    rest = cut(parsed.join(exact.select("name"), "name", "left_anti"), "rest")
     keys = M.param_names(masks)
-    trial = substitutions(best_candidates(rest.where(F.size("params") > 0), catalogue, keys)).persist()
+    trial = cut(substitutions(best_candidates(rest.where(F.size("params") > 0), catalogue, keys)).select("name", "params", "ens_code", "cand_name", "attrs", "score", "corrected", "material"), "trial")
     replaced = trial.where("corrected is not null")
     changed = rest.join(replaced.select("name", "corrected", "material"), "name").withColumn("params", _with_coating(F.col("corrected")))
-    rest = rest.select("*", *none).join(replaced.select("name"), "name", "left_anti").unionByName(changed)
+    rest = cut(rest.select("*", *none).join(replaced.select("name"), "name", "left_anti").unionByName(changed), "rest")
+    changed = rest.where("corrected is not null")
     same = signatures(rest, catalogue).withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0)).select(*columns)
+    same = cut(same, "same")
     again = best_candidates(changed, catalogue, keys).select(*[c for c in columns if c != "match_type"])
     fuzzy = trial.where("corrected is null").select(*[c for c in columns if c != "match_type"]).unionByName(again).withColumn("match_type", F.lit("fuzzy"))
+    fuzzy = cut(fuzzy, "fuzzy")
     scored_ = fuzzy.join(same.select("name"), "name", "left_anti")
     left = rest.join(same.select("name"), "name", "left_anti").join(fuzzy.select("name"), "name", "left_anti").where(F.size("params") > 0)
     variant = by_variants(left, catalogue, keys).withColumn("match_type", F.lit("fuzzy_coating_variant")).withColumn("score", F.lit(0.8))

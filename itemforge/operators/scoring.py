@@ -82,30 +82,43 @@ def flat_attrs(keys: list[str]) -> Column:
     return F.struct(*[one(k).alias(f"p{i}") for i, k in enumerate(keys)])
 
 
+def text_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs (p: flat_params, c: flat_attrs) with text_gain and text_exact: what the text fields add. For distinct texts of both sides, so a few rows."""
+    gain, exact, bonus = F.lit(0.0), F.lit(0), F.lit(0.0)
+    for i, k in enumerate(keys):
+        p, c = F.col(f"p.p{i}"), F.col(f"c.p{i}")
+        if k in TEXT_FIELDS:
+            present, sim = p.v.isNotNull(), F.coalesce(_similarity(p.spellings, c.v, p.v, c.tokens), F.lit(0.0))
+            gain = gain + F.when(present & (sim >= SIMILAR), sim * 2.0).otherwise(0.0)
+            exact = exact + (present & (sim >= EXACT)).cast("int")
+            if k == COATING:
+                begins = F.coalesce(F.startswith(F.lower(c.v), p.low), F.lit(False))
+                bonus = F.when(present & (sim >= SIMILAR), 0.01).otherwise(0.0) + F.when(present & begins, 0.01).otherwise(0.0)
+    return pairs.select(*[c for c in pairs.columns if c not in ("p", "c")], (gain + bonus).alias("text_gain"), exact.alias("text_exact"))
+
+
+def text_key(struct: str, keys: list[str]) -> Column:
+    """Hash of the text fields of a flat struct."""
+    return F.xxhash64(*[F.col(f"{struct}.p{i}.v") for i, k in enumerate(keys) if k in TEXT_FIELDS], F.lit(0))
+
+
 def score_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs (p: flat_params, c: flat_attrs, cand_tokens) with score and exact_count.
+    """pairs (p: flat_params, c: flat_attrs, cand_tokens, text_gain, text_exact) with score and exact_count.
 
     Flat columns keep the pair loop in generated code; the comparison of each parameter, which needs
     arrays of structs, is only made for the pairs that win.
     """
-    total, gain, exact, bonus = F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0.0)
+    total, gain, exact = F.lit(0.0), F.col("text_gain"), F.col("text_exact")
     for i, k in enumerate(keys):
         p, c = F.col(f"p.p{i}"), F.col(f"c.p{i}")
         weight, present = 2.0 if k in TEXT_FIELDS else 1.0, p.v.isNotNull()
-        if k in TEXT_FIELDS:
-            sim = F.coalesce(_similarity(p.spellings, c.v, p.v, c.tokens), F.lit(0.0))
-            gain = gain + F.when(present & (sim >= SIMILAR), sim * weight).otherwise(0.0)
-            exact = exact + (present & (sim >= EXACT)).cast("int")
-            if k == COATING:
-                begins = F.coalesce(F.startswith(F.lower(c.v), p.low), F.lit(False))
-                bonus = F.when(present & (sim >= SIMILAR), 0.01).otherwise(0.0) + F.when(present & begins, 0.01).otherwise(0.0)
-        else:
+        if k not in TEXT_FIELDS:
             same = F.coalesce(p.number == c.number, F.trim(p.v) == c.plain, F.lit(False))
             gain = gain + F.when(present, F.when(same, weight).when(F.array_contains("cand_tokens", p.low), weight * 0.5).otherwise(0.0)).otherwise(0.0)
             exact = exact + (present & same).cast("int")
         total = total + F.when(present, weight).otherwise(0.0)
-    score = F.coalesce(F.try_divide(gain + bonus, total), F.lit(0.0))
-    return pairs.select(*[c for c in pairs.columns if c not in ("p", "c")], score.alias("score"), exact.alias("exact_count"))
+    score = F.coalesce(F.try_divide(gain, total), F.lit(0.0))
+    return pairs.select(*[c for c in pairs.columns if c not in ("p", "c", "text_gain", "text_exact")], score.alias("score"), exact.alias("exact_count"))
 
 
 def best(scored: DataFrame, key: str = "name", n: int = 1) -> DataFrame:
