@@ -82,8 +82,8 @@ def flat_attrs(keys: list[str]) -> Column:
     return F.struct(*[one(k).alias(f"p{i}") for i, k in enumerate(keys)])
 
 
-def text_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs (p: flat_params, c: flat_attrs) with text_gain and text_exact: what the text fields add. For distinct texts of both sides, so a few rows."""
+def _text_columns(keys: list[str]) -> dict[str, Column]:
+    """text_gain and text_exact of p (flat_params) and c (flat_attrs): what the text fields add."""
     gain, exact, bonus = F.lit(0.0), F.lit(0), F.lit(0.0)
     for i, k in enumerate(keys):
         p, c = F.col(f"p.p{i}"), F.col(f"c.p{i}")
@@ -94,7 +94,12 @@ def text_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
             if k == COATING:
                 begins = F.coalesce(F.startswith(F.lower(c.v), p.low), F.lit(False))
                 bonus = F.when(present & (sim >= SIMILAR), 0.01).otherwise(0.0) + F.when(present & begins, 0.01).otherwise(0.0)
-    return pairs.select(*[c for c in pairs.columns if c not in ("p", "c")], (gain + bonus).alias("text_gain"), exact.alias("text_exact"))
+    return {"text_gain": gain + bonus, "text_exact": exact}
+
+
+def text_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs (p, c) with what their text fields add instead of them. For distinct texts of both sides, so a few rows."""
+    return pairs.withColumns(_text_columns(keys)).drop("p", "c")
 
 
 def text_key(struct: str, keys: list[str]) -> Column:
@@ -103,11 +108,13 @@ def text_key(struct: str, keys: list[str]) -> Column:
 
 
 def score_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs (p: flat_params, c: flat_attrs, cand_tokens, text_gain, text_exact) with score and exact_count.
+    """pairs (p: flat_params, c: flat_attrs, cand_tokens; text_gain and text_exact where they are known already) with score and exact_count.
 
     Flat columns keep the pair loop in generated code; the comparison of each parameter, which needs
     arrays of structs, is only made for the pairs that win.
     """
+    if "text_gain" not in pairs.columns:
+        pairs = pairs.withColumns(_text_columns(keys))
     total, gain, exact = F.lit(0.0), F.col("text_gain"), F.col("text_exact")
     for i, k in enumerate(keys):
         p, c = F.col(f"p.p{i}"), F.col(f"c.p{i}")

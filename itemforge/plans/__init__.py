@@ -1,5 +1,5 @@
 """Registered queries; each module has QUERIES and ORACLES."""
 
-from itemforge.plans import matching, parsing, store
+from itemforge.plans import extra, matching, parsing, store
 
-PLANS = [matching, store, parsing]
+PLANS = [matching, store, parsing, extra]

@@ -54,14 +54,27 @@ def find_column(columns: list[str], words: list[str]) -> str | None:
     return next((c for c in columns if any(w in c.lower() for w in words)), None)
 
 
-def load_items(rows: DataFrame) -> DataFrame:
-    """article, name, guid of a strict item list; rows without an article or a name are left out."""
+def load_items(rows: DataFrame, clean: bool = True) -> DataFrame:
+    """article, name, guid of a strict item list; cleaned: trimmed, rows without an article or a name left out."""
     need = ["артикул", "Краткое наименование", "GUID"]
     missing = [c for c in need if c not in rows.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    clean = rows.select(*[F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(n) for c, n in zip(need, ("article", "name", "guid"), strict=True)])
-    return clean.where("article <> '' and name <> ''")
+    names = list(zip(need, ("article", "name", "guid"), strict=True))
+    if not clean:
+        return rows.select(*[F.col(f"`{c}`").cast("string").alias(n) for c, n in names])
+    trimmed = rows.select(*[F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(n) for c, n in names])
+    return trimmed.where("article <> '' and name <> ''")
+
+
+def preview(rows: DataFrame, n: int = 10) -> DataFrame:
+    return rows.limit(n)
+
+
+def report_name_column(columns: list[str]) -> str | None:
+    """The name column of a report: one of the usual headers, else the first that holds наимен or name."""
+    usual = {"наименование", "name", "краткое наименование", "исходное наименование"}
+    return next((c for c in columns if c.strip().lower() in usual), None) or find_column(columns, ["наимен", "name"])
 
 
 def load_named(rows: DataFrame) -> DataFrame:
