@@ -46,7 +46,8 @@ from itemforge.llm.words import RangeHash, Texts, U, mix, slices
 RUN_SENTENCES, RUN_WORDS = 2, 16
 K, WINDOW = 13, 25
 SPANS_PER_PART = 2_000_000
-FLUSH_SPANS = 1_000_000
+FLUSH_SPANS = 750_000
+SLICE = 1 << 20
 #: Up to so many ids of documents are sent to all executors, so that only their texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 _STOPS, _CLOSERS = np.zeros(256, bool), np.zeros(256, bool)
@@ -192,7 +193,7 @@ def repeated(rows: DataFrame, parts: int, places: Places, later: bool) -> DataFr
 
         count = 0
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE):
                 held.append(places(piece))
                 count += len(held[-1][0])
                 if count >= FLUSH_SPANS:
@@ -268,7 +269,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE):
                 units = Units(piece.column("text"))
                 start = units.at(piece.column(spans))
                 edge = np.zeros(len(units.end) + 1, np.int64)
