@@ -6,6 +6,7 @@ range comes from prefix sums of a polynomial hash, so that no Python code runs p
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +130,14 @@ def crc32_of(ids: list) -> np.ndarray:
     return np.array([0 if x is None else zlib.crc32(str(x).encode()) for x in ids], np.uint32)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are used again, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if free is not None:
+        free(0)
+
+
 def binary(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in rows], pa.binary())
 
