@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itemforge.llm import decontamination, jaccard_join, kd_sharding, language_id, license_scan, piece_sampling, pitman_yor, sentence_spans, simhash, toxicity
+from itemforge.llm import decontamination, jaccard_join, kd_sharding, language_id, license_scan, merkle_manifest, oracles, piece_sampling, pitman_yor, sentence_spans, simhash, toxicity, url_filters, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(_docs(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(_docs(spark, sf_dir))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filters.default_rules())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": op1_kd_sharding,
@@ -65,8 +77,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_sentence_spans": op9_sentence_spans,
         "op10_decontamination": op10_decontamination,
+        "op11_whitening": op11_whitening,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_url_filters": op13_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_merkle_manifest": oracles.merkle_manifest(), "op13_url_filters": oracles.URL_FILTERS}

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_LOCK = threading.Lock()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Tables made in this process and not deleted yet, oldest first.
-_MADE: list[str] = []
+#: Paths of the innermost scope of this thread; outside of any scope nobody deletes a table.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+#: Settings held just now: how many hold them, and the value before.
+_HELD: dict[tuple[str, str], tuple[int, str | None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,48 +30,70 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="itemforge-")
-    return _OWN[app]
+    with _LOCK:
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="itemforge-")
+        return _OWN[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/itemforge/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # what was shuffled for a table is of no use once it is written
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting while the block runs. Blocks of several threads may overlap: the last one to end restores it."""
+    at = (spark._jsparkSession.sessionUUID(), key)
+    with _LOCK:
+        n, before = _HELD.get(at, (0, None))
+        _HELD[at] = (n + 1, before if n else spark.conf.get(key, None))
+        spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    _MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+        with _LOCK:
+            n, before = _HELD.pop(at)
+            if n > 1:
+                _HELD[at] = (n - 1, before)
+            else:
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def new_path(spark: SparkSession, name: str, scope: list[str] | None = None) -> str:
+    """A path in the shared folder that nothing else uses; the scope (the innermost one if none is given) deletes it at its end."""
+    path = f"{shared_dir(spark)}/itemforge/{name}-{uuid.uuid4().hex}"
+    owner = _SCOPE.get() if scope is None else scope
+    if owner is not None:
+        owner.append(path)
+    return path
 
 
-def made() -> int:
-    """A mark for drop_since."""
-    return len(_MADE)
+def materialise(df: DataFrame, name: str, scope: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = new_path(spark, name, scope)
+    with setting(spark, _CLEANUP, "true"):  # what was shuffled for a table is of no use once it is written
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_since(spark: SparkSession, mark: int, keep_last: bool = False) -> None:
-    """Delete the tables made since the mark; nothing may read them any more."""
-    gone = _MADE[mark : len(_MADE) - 1 if keep_last else len(_MADE)]
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more; the list is empty afterwards."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for path in gone:
-        at = jvm.org.apache.hadoop.fs.Path(path)
+    while paths:
+        at = jvm.org.apache.hadoop.fs.Path(paths.pop())
         at.getFileSystem(conf).delete(at, True)
-        _MADE.remove(path)
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables made inside are deleted at the end; what is needed after it is written elsewhere or collected."""
-    mark = made()
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables made inside, by this thread, are deleted at the end, and no others.
+
+    Gives the scope around it, for tables that must outlive this one; where there is none, nobody deletes those.
+    """
+    outer, own = _SCOPE.get(), []
+    token = _SCOPE.set(own)
     try:
-        yield
+        yield [] if outer is None else outer
     finally:
-        drop_since(spark, mark)
+        _SCOPE.reset(token)
+        delete(spark, own)
 
 
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
