@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.llm import decontamination, jaccard_join, language_id, piece_sampling, sentence_spans
-from itemforge.llm.storage import drop_since, made, materialise
+from itemforge.llm.storage import delete, materialise, scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least probability of the predicted language; with four languages a guess has 0.25.
@@ -62,10 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole documents table; of the tables between, only the last stage's input is kept."""
-    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
-            drop_since(spark, mark, keep_last=True)
-    return docs
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        made: list[str] = []
+        with scope(spark):  # what the stage made for itself goes when its result is written
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}", made)
+        delete(spark, read)
+        read = made
+    return STAGES[-1][1](spark, docs, sf_dir)
