@@ -11,7 +11,7 @@ spread over as many ranges. Texts don't leave the task that reads them.
 
 The supersteps: a node sends its digest to its parent, (tree, place div 3). A parent has all its
 children's messages after one superstep, hashes them and sends on; a tree with one node left halts and
-waits as a subroot. A level has a third of the rows of the one below, and is written to the shared folder, so that
+waits as a subroot. Messages go by shuffle until the level has ONE_TASK nodes or fewer; such a level is one task's. A level has a third of the rows of the one below, and is written to the shared folder, so that
 a lost executor costs one level. Then the reverse supersteps: the root sends an empty path, and each
 parent sends to each child its own path with the child's siblings before it. At the bottom a run of up
 to three leaves has its path, from which each leaf's proof, subroot and root are folded.
@@ -43,6 +43,8 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = -1
 DIGEST = 32
 ROWS_PER_PART = 200_000
+#: Levels of so many nodes at most are one task's, without a shuffle.
+ONE_TASK = 20_000
 SCHEMA = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
@@ -111,30 +113,49 @@ class Supersteps:
         return self.spark.sparkContext.pickleFile(path)
 
     def up(self, nodes: RDD, rows: int, height: int) -> RDD:
-        """nodes: ((tree, place), (size of the tree's level, digest, ...)). Gives (tree, height, digest) of every tree's last node."""
-        ended = nodes.filter(lambda x: x[1][0] == 1).map(lambda x: (x[0][0], 0, x[1][1]))
+        """nodes: ((tree, place), (size of the tree's level, over 1; digest, ...)). Gives (tree, height, digest) of every tree's last node."""
+        ended = []
         for level in range(1, height + 1):
             rows = rows // ARITY + 1
-            parts = max(1, min(self.least, rows // 1000), rows // ROWS_PER_PART)
-            sent = nodes.filter(lambda x: x[1][0] > 1).map(lambda x: ((x[0][0], x[0][1] // ARITY), (x[0][1], x[1])))
-            runs = sent.groupByKey(parts).mapValues(lambda c: [v for _, v in sorted(c, key=lambda m: m[0])])
+            parts = 1 if rows * ARITY <= ONE_TASK else max(2, min(self.least, rows // 1000), rows // ROWS_PER_PART)
+            sent = (nodes.filter(lambda x: x[1][0] > 1) if level > 1 else nodes).map(lambda x: ((x[0][0], x[0][1] // ARITY), (x[0][1], x[1])))
+            runs = _grouped(sent, parts).mapValues(lambda c: [v for _, v in sorted(c, key=lambda m: m[0])])
             runs = self.keep(runs, f"level-{level}", level == 1)
             self.levels.append(runs)
             self.parts.append(parts)
             nodes = runs.map(lambda x: (x[0], (-(-x[1][0][0] // ARITY), _h(c[1] for c in x[1]))))
-            ended = ended.union(nodes.filter(lambda x: x[1][0] == 1).map(lambda x, level=level: (x[0][0], level, x[1][1])))
-        return ended
+            ended.append(nodes.filter(lambda x: x[1][0] == 1).map(lambda x, level=level: (x[0][0], level, x[1][1])))
+        return self.spark.sparkContext.union(ended) if ended else self.spark.sparkContext.parallelize([], 1)
 
     def down(self, begun: Callable[[int], RDD]) -> RDD:
         """((tree, place), path) of the bottom's runs. begun(level): ((tree, 0), path) of the trees of that height."""
         own = begun(len(self.levels))
         for level in range(len(self.levels), 1, -1):
-            met = self.levels[level - 1].join(own, self.parts[level - 1])
-            sent = met.flatMap(lambda x: [((x[0][0], x[0][1] * ARITY + i), p) for i, p in enumerate(_paths([c[1] for c in x[1][0]], x[1][1]))])
+            sent = _met(self.levels[level - 1], own, self.parts[level - 1]).flatMap(lambda x: [((x[0][0], x[0][1] * ARITY + i), p) for i, p in enumerate(_paths([c[1] for c in x[1][0]], x[1][1]))])
             own = self.keep(sent.union(begun(level - 1)), f"paths-{level - 1}", level == 2)
         return own
 
 
+def _grouped(messages: RDD, parts: int) -> RDD:
+    """(key, values) of (key, value)."""
+    if parts > 1:
+        return messages.groupByKey(parts)
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held: dict = {}
+        for k, v in rows:
+            held.setdefault(k, []).append(v)
+        return iter(held.items())
+
+    return messages.coalesce(1).mapPartitions(run)
+
+
+def _met(runs: RDD, paths: RDD, parts: int) -> RDD:
+    """(key, (run, path)) of the keys that both have."""
+    both = _grouped(runs.mapValues(lambda v: (0, v)).union(paths.mapValues(lambda v: (1, v))), parts)
+    return both.mapValues(lambda c: [v for _, v in sorted(c, key=lambda m: m[0])]).filter(lambda x: len(x[1]) == 2).mapValues(tuple)
+
+
 def _paths(children: list[bytes], path: bytes) -> list[bytes]:
     """The path of each child: its place and the number of its siblings, these, and its parent's path."""
     return [bytes([i * ARITY + len(children) - 1]) + b"".join(children[:i] + children[i + 1 :]) + path for i in range(len(children))]
@@ -175,20 +196,24 @@ def manifest(docs: DataFrame, tampered: Callable[[Column, Column], Column] = tam
         shape = leaves.agg(F.count("*").alias("rows"), F.max("size").alias("size"), (F.max("tree") + 1).alias("trees")).first()
         if not shape.rows:
             return spark.createDataFrame([], SCHEMA)
-        nodes = leaves.select("tree", "place", "size", "leaf", "doc_id", "arrived").rdd.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]), r[4], None if r[5] is None else bytes(r[5]))))
+        node = lambda r: ((r[0], r[1]), (r[2], bytes(r[3]), r[4], None if r[5] is None else bytes(r[5])))
+        some = lambda rows: leaves.where(rows).select("tree", "place", "size", "leaf", "doc_id", "arrived").rdd.map(node)
+        lone = some("size = 1")
         trees, top = Supersteps(spark, outer), Supersteps(spark, outer)
-        ended = trees.keep(trees.up(nodes, shape.rows, _height(shape.size)), "subroots")
-        last = top.up(ended.map(lambda x, n=shape.trees: ((TOP, x[0]), (n, x[2]))), shape.trees, _height(shape.trees))
+        ended = lone.map(lambda x: (x[0][0], 0, x[1][1])).union(trees.up(some("size > 1"), shape.rows, _height(shape.size)))
+        ended = trees.keep(ended, "subroots")
+        subroots = ended.map(lambda x, n=shape.trees: ((TOP, x[0]), (n, x[2])))
+        last = top.up(subroots, shape.trees, _height(shape.trees)) if shape.trees > 1 else ended
         root = last.first()[2]  # one digest
         paths = sc.parallelize([(0, b"")], 1)
         if top.levels:
             first = top.down(lambda level: sc.parallelize([((TOP, 0), b"")] if level == len(top.levels) else [], 1))
-            paths = top.levels[0].join(first, top.parts[0]).flatMap(lambda x: [(x[0][1] * ARITY + i, p) for i, p in enumerate(_paths([c[1] for c in x[1][0]], x[1][1]))])
+            paths = _met(top.levels[0], first, top.parts[0]).flatMap(lambda x: [(x[0][1] * ARITY + i, p) for i, p in enumerate(_paths([c[1] for c in x[1][0]], x[1][1]))])
         heights = ended.map(lambda x: (x[0], x[1]))
-        seeds = trees.keep(paths.join(heights, top.parts[0] if top.parts else 1), "seeds", True)  # (tree, (path, height))
-        begun = lambda level: seeds.filter(lambda x: x[1][1] == level).map(lambda x: ((x[0], 0), x[1][0]))
-        rows = nodes.filter(lambda x: x[1][0] == 1).join(begun(0)).map(lambda x: proven(*x[1], 0, root))
+        seeds = trees.keep(_met(heights, paths, top.parts[0] if top.parts else 1), "seeds", True)  # (tree, (height, path))
+        begun = lambda level: seeds.filter(lambda x: x[1][0] == level).map(lambda x: ((x[0], 0), x[1][1]))
+        rows = _met(lone, begun(0), top.parts[0] if top.parts else 1).map(lambda x: proven(*x[1], 0, root))
         if trees.levels:
-            met = trees.levels[0].join(trees.down(begun), trees.parts[0])
+            met = _met(trees.levels[0], trees.down(begun), trees.parts[0])
             rows = met.flatMap(lambda x: [proven(c, p, _height(c[0]), root) for c, p in zip(x[1][0], _paths([c[1] for c in x[1][0]], x[1][1]), strict=True)]).union(rows)
         return spark.createDataFrame(rows, SCHEMA, verifySchema=False)
