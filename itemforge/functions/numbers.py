@@ -21,6 +21,25 @@ def number(text: Column) -> Column:
     return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """The decimal with so many digits that is nearest to the double's exact value; of two the even one. 2.675 is below its decimal and gives 2.67.
+
+    Twice the scaled value is an odd whole number exactly at a tie; the error of that product, from
+    halves of 26 bits, tells on which side of the tie the double lies.
+    """
+    scale = float(2 * 10**digits)
+    split = lambda c: let(c * 134217729.0, lambda t: t - (t - c))
+    high = scale * 134217729.0 - (scale * 134217729.0 - scale)
+
+    def near(p: Column) -> Column:
+        error = let(split(value), lambda h: ((h * high - p) + h * (scale - high) + (value - h) * high) + (value - h) * (scale - high))
+        below, tie = (p - 1) / 2, (p == F.rint(p)) & (F.abs(p % 2) == 1)
+        even = F.when(F.abs(below % 2) == 0, below).otherwise(below + 1)
+        return F.when(tie, F.when(error > 0, below + 1).when(error < 0, below).otherwise(even)).otherwise(F.rint(p / 2))
+
+    return F.when(F.abs(value) * scale < float(1 << 52), let(value * scale, near) / (scale / 2)).otherwise(value)
+
+
 def lenient_equal(a: Column, b: Column) -> Column:
     """Equal as numbers, or as trimmed texts where one of them is no number."""
     return F.coalesce(number(a) == number(b), F.trim(a) == F.trim(b))

@@ -131,6 +131,27 @@ def number_tokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(without_standard(name)), "[^0-9.]+"), lambda t: t != "")
 
 
+def name_forms(name: Column) -> Column:
+    """struct<whole, bare, runs> of a catalogue name for shown_in: lower case with decimal points, the same without standards, the maximal runs of digits and points that both have."""
+    runs = lambda c: F.split(c, "[^0-9.]+")
+    whole = F.translate(F.lower(name), ",", ".")
+    bare = lambda w: F.regexp_replace(w, r"(?:гост|ост|ту)\s*[0-9][0-9\s.\-]*(?:-[0-9]+)?", "")
+    both = lambda w, b: F.struct(w.alias("whole"), b.alias("bare"), F.filter(F.array_intersect(runs(w), runs(b)), lambda t: t != "").alias("runs"))
+    return let(whole, lambda w: let(bare(w), lambda b: both(w, b)))
+
+
+def shown_key(value: Column) -> Column:
+    """A value as shown_in takes it."""
+    return F.translate(F.lower(F.trim(value)), ",", ".")
+
+
+def shown_in(key: Column, forms: Column) -> Column:
+    """Whether a value stands in a name, with and without its standard, and no digit or point beside it."""
+    quoted = F.concat(F.lit(r"(?<![0-9.])\Q"), F.replace(key, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![0-9.])"))
+    written = F.contains(forms.bare, key) & F.regexp_like(forms.whole, quoted) & F.regexp_like(forms.bare, quoted)
+    return (key != "") & F.when(F.regexp_like(key, F.lit("^[0-9.]+$")), F.array_contains(forms.runs, key)).otherwise(written)
+
+
 def value_visible(value: Column, name: Column, param: Column, has_standard: bool = True) -> Column:
     """Whether a catalogue value can be read off a name: as it stands, by one of its letter tokens, by its leading letters, as N for N.0, or without a leading м."""
     shown = F.regexp_replace(name, r"(?iu)ОСТ\s*\d+\s*\d+-\d+|ГОСТ\s*\d+-\d+", "") if has_standard else name

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_LOCK = threading.Lock()
+#: Paths of the innermost scope of this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,11 +24,36 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="itemforge-"))
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="itemforge-")
+        return _OWN[app]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table: what reads it several times computes it once, and its plan is a scan. The table stays, as the result may be read at any time."""
+    """df as a Parquet table: what reads it several times computes it once, and its plan is a scan.
+
+    The table goes at the end of the scope that it is made in; outside of any, it stays, as the result may be read at any time.
+    """
     path = f"{shared_dir(df.sparkSession)}/itemforge/{name}-{uuid.uuid4().hex}"
+    own = _SCOPE.get()
+    if own is not None:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread cuts inside are deleted at the end; results that read them must be written before."""
+    own: list[str] = []
+    token = _SCOPE.set(own)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for path in own:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)

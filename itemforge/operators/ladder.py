@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from itemforge.functions import coating, text
 from itemforge.functions.collections import field_value
 from itemforge.operators import masks as M
-from itemforge.operators import scoring
+from itemforge.operators import scoring, tfidf
 from itemforge.operators.cut import cut
 
 SIGNATURE_LEAST, SIGNATURE_RATIO = 4, 0.70
+#: Field number of the runs of digits in a name.
+IN_NAME = -1
+#: Scores that differ by less are equal, as they are and with three digits.
+SLACK, ROUNDED = 1e-9, 1.1e-3
 
 
 def extract(names: DataFrame) -> DataFrame:
@@ -42,18 +46,20 @@ def exact_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def signatures(names: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """names whose sorted parameter values, at least four of them, equal those of a candidate.
+    """names whose parameter values in the order of their keys, at least four of them, read like those of a named candidate.
 
-    The lists of keys that occur are few, one for each kind of mask: each candidate is read once by
-    each list of its block, and names meet candidates by list and values.
+    Only the candidate's values of the keys that were asked for count, at least four as well, and the
+    name must have 0.7 of them. The lists of keys that occur are few, one for each kind of mask: each
+    candidate is read once by each list of its block, and names meet candidates by list and values.
     """
-    enough = names.where(F.size("params") >= SIGNATURE_LEAST).withColumn("sorted", F.array_sort("params"))
-    enough = enough.withColumn("keys", F.transform("sorted", lambda e: e.k)).withColumn("values", F.array_join(F.transform("sorted", lambda e: e.v), " "))
+    enough = names.withColumn("sorted", F.filter(F.array_sort("params"), lambda e: F.trim(e.v) != "")).where(F.size("sorted") >= SIGNATURE_LEAST)
+    enough = enough.withColumn("keys", F.transform("sorted", lambda e: e.k)).withColumn("values", F.array_join(F.transform("sorted", lambda e: F.trim(e.v)), " ")).drop("sorted")
     lists = enough.select("std", "item_type", "keys").distinct()
-    offered = lists.join(_distinct(catalogue), ["std", "item_type"]).withColumn("theirs", F.transform("keys", lambda k: field_value(F.col("attrs"), k)))
-    ratio = F.size("keys") / F.size(F.filter("attrs", lambda e: e.v != ""))
-    offered = offered.where(~F.exists("theirs", F.isnull) & (ratio >= SIGNATURE_RATIO)).withColumn("values", F.array_join("theirs", " ")).drop("theirs")
-    first = offered.groupBy("std", "item_type", "keys", "values").agg(F.min_by(F.struct("cand_ord", "ens_code", "cand_name", "attrs", "cand_tokens"), "cand_ord").alias("c"))
+    offered = lists.join(_distinct(catalogue).where("trim(cand_name) <> ''"), ["std", "item_type"])
+    offered = offered.withColumn("theirs", F.filter(F.transform("keys", lambda k: F.trim(field_value(F.col("attrs"), k))), lambda v: v != ""))
+    held = F.size("theirs")
+    offered = offered.where((held >= SIGNATURE_LEAST) & (F.size("keys") >= SIGNATURE_RATIO * held)).withColumn("values", F.array_join("theirs", " "))
+    first = offered.groupBy("std", "item_type", "keys", "values").agg(F.min_by(F.struct("cand_ord", "ens_code", "cand_name", "attrs", "forms"), "cand_ord").alias("c"))
     return enough.join(first, ["std", "item_type", "keys", "values"]).select(*[F.col(c) for c in names.columns], "c.*")
 
 
@@ -71,42 +77,100 @@ def blocks(names: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def _distinct(catalogue: DataFrame) -> DataFrame:
-    """The first row of each distinct set of attributes and number tokens in a block: no other can be better."""
-    with_tokens = catalogue.withColumn("cand_tokens", text.number_tokens(F.col("cand_name")))
-    return with_tokens.groupBy("std", "item_type", "attrs", "cand_tokens").agg(F.min("cand_ord").alias("cand_ord"), F.min_by("ens_code", "cand_ord").alias("ens_code"), F.min_by("cand_name", "cand_ord").alias("cand_name"))
+    """The first row of each distinct set of attributes and forms of the name in a block: no other can be better."""
+    with_forms = catalogue.withColumn("forms", text.name_forms(F.col("cand_name")))
+    return with_forms.groupBy("std", "item_type", "attrs", "forms").agg(F.min("cand_ord").alias("cand_ord"), F.min_by("ens_code", "cand_ord").alias("ens_code"), F.min_by("cand_name", "cand_ord").alias("cand_name"))
 
 
 def _bag_key() -> Column:
     return F.md5(F.to_json(F.struct("std", "item_type", "params")))
 
 
-def scored(names: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
-    """bag, cand_ord, score, exact_count: each distinct bag of parameters against all candidates of its block.
+def _posting(field: int, key: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), key.alias("key"))
 
-    Blocks are few and of very different sizes, and pairs cost more than rows: bags are dealt by hash,
-    each share meets its own copy of the candidates, and both sides come in a fixed number of partitions
-    that their small size does not reduce.
 
-    Texts are compared once for each two that occur in a block; with what they add, a bag meets the
-    candidates of each text and only numbers are left to compare.
+class Index:
+    """Candidates of a catalogue by what they can share with a bag of parameters; made once, asked often.
+
+    rows: the distinct candidates (cid, block, attributes, what a comparison needs of each field of keys).
+    postings: each candidate under its value of each number field, and under the runs of digits of its
+    name, which a value that stands in the name must share; all are under the empty run.
+    """
+
+    def __init__(self, catalogue: DataFrame, keys: list[str]):
+        self.keys = keys
+        self.fields = [k for k in keys if k not in scoring.TEXT_FIELDS]
+        own = _distinct(catalogue).withColumn("cid", F.monotonically_increasing_id()).withColumn("c", scoring.flat_attrs(keys))
+        own = own.withColumn("block", F.xxhash64("std", "item_type")).withColumn("theirs", scoring.text_key("c", keys)).withColumn("held", scoring.number_keys("c", keys))
+        self.rows = cut(own, "offered")
+        listed = F.transform("held", lambda v, i: F.when(v.isNotNull(), F.struct(i.cast("int").alias("field"), v.alias("key"))))
+        runs = F.transform(F.array_append(F.coalesce("forms.runs", F.array().cast("array<string>")), ""), lambda r: _posting(IN_NAME, r))
+        every = F.array_distinct(F.filter(F.concat(listed, runs), lambda x: x.isNotNull()))
+        self.postings = cut(self.rows.select("block", "cid", F.inline(every)), "postings")
+        self.sizes = self.postings.groupBy("block", "field", "key").agg(F.count("*").alias("size"))
+
+
+def scored(names: DataFrame, index: Index, n: int = 1) -> DataFrame:
+    """bag, cid, cand_ord, score, exact_count: for each distinct bag of parameters, candidates of its block that hold its n best.
+
+    Fields of a bag are taken rarest first. The first one's candidates, with the first candidates of
+    the best texts, give a score that a winner must reach; further fields are taken only while what
+    the fields not taken yet can add, with all of the texts, still reaches it. Who shares no field that
+    was taken and wins all the same can only owe it to its texts, and is then among the first of them.
     """
-    spark = names.sparkSession
+    keys, rows, postings, spark = index.keys, index.rows, index.postings, names.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    asked = names.select("std", "item_type", "params").distinct().select(_bag_key().alias("bag"), "std", "item_type", scoring.flat_params(keys).alias("p")).withColumn("mine", scoring.text_key("p", keys))
-    offered = _distinct(catalogue).select("std", "item_type", "cand_ord", "cand_tokens", scoring.flat_attrs(keys).alias("c")).withColumn("theirs", scoring.text_key("c", keys))
-    some = lambda df, key, side: df.groupBy("std", "item_type", key).agg(F.first(side).alias(side))  # noqa: E731  equal texts by key
-    texts = scoring.text_scores(some(asked, "mine", "p").join(some(offered, "theirs", "c"), ["std", "item_type"]), keys)
-    on = ["deal", "std", "item_type", "theirs"]
-    met = asked.join(texts, ["std", "item_type", "mine"]).drop("mine").withColumn("deal", F.pmod(F.xxhash64("bag"), F.lit(2 * tasks)))
-    copies = offered.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(2 * tasks - 1)))).withColumn("deal", F.col("deal").cast("long"))
-    pairs = met.repartition(tasks, *on).join(copies.repartition(tasks, *on), on).drop("theirs", "deal")
-    return scoring.score_pairs(pairs, keys).select("bag", "cand_ord", "score", "exact_count")
-
-
-def best_candidates(names: DataFrame, catalogue: DataFrame, keys: list[str], n: int = 1) -> DataFrame:
+    full, of_text = scoring.weight_sums(keys)
+    asked = names.select("std", "item_type", "params").distinct().select(_bag_key().alias("bag"), F.xxhash64("std", "item_type").alias("block"), scoring.flat_params(keys).alias("p"))
+    asked = asked.select("*", F.monotonically_increasing_id().alias("id"), scoring.text_key("p", keys).alias("mine"), scoring.number_keys("p", keys).alias("wanted"), scoring.name_keys("p", keys).alias("low"), full.alias("full"), of_text.alias("of_text"))
+    asked = cut(asked, "asked")
+
+    # what the texts add, once for each two that occur in a block; the first candidates of the best texts
+    some = lambda df, key, side: df.groupBy("block", key).agg(F.first(side).alias(side))  # noqa: E731  equal texts by key
+    texts = cut(scoring.text_scores(some(asked, "mine", "p").join(some(rows, "theirs", "c"), "block"), keys), "texts")
+    first_of = Window.partitionBy("block", "theirs").orderBy("cand_ord")
+    leaders = rows.select("block", "theirs", "cid", "cand_ord", F.row_number().over(first_of).alias("r")).where(F.col("r") <= n)
+    leaders = texts.where("text_gain > 0").join(leaders, ["block", "theirs"])
+    if n == 1:
+        by_text = Window.partitionBy("block", "mine").orderBy(F.col("text_gain").desc(), F.col("text_exact").desc(), "cand_ord")
+        leaders = leaders.withColumn("r", F.row_number().over(by_text)).where("r = 1")
+    by_texts = asked.select("id", "block", "mine").join(leaders.select("block", "mine", "cid"), ["block", "mine"]).select("id", "cid")
+
+    # the fields of each bag, rarest first; a value that stands in a name is sought by its longest run of digits
+    run = lambda low: F.coalesce(F.array_max(F.transform(F.filter(F.split(low, "[^0-9.]+"), lambda t: t != ""), lambda t: F.struct(F.length(t), t.alias("t")))).t, F.lit(""))
+    each = asked.select("id", "block", F.posexplode(F.arrays_zip("wanted", "low")).alias("of", "v")).where("v.wanted is not null")
+    each = each.select("id", "block", "of", F.inline(F.array(F.struct(F.col("of").alias("field"), F.col("v.wanted").alias("key")), _posting(IN_NAME, run(F.col("v.low"))))))
+    looked = each.join(index.sizes, ["block", "field", "key"])
+    by_size = Window.partitionBy("id").orderBy("size", "of")
+    per_field = looked.groupBy("id", "block", "of").agg(F.sum("size").alias("size"), F.collect_list(F.struct("field", "key")).alias("lists"))
+    per_field = per_field.select("id", "block", F.row_number().over(by_size).alias("place"), F.count("*").over(by_size.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("left"), F.inline("lists"))
+    looked = cut(per_field, "fields")
+
+    def met(taken: DataFrame) -> DataFrame:
+        return taken.select("id", "block", "field", "key").join(postings, ["block", "field", "key"]).select("id", "cid")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        mine = asked.select("id", "block", "mine", "wanted", "low", "full")
+        # a fixed number of partitions: pairs are many and dear where the rows that they come from are few and small
+        each = pairs.repartition(tasks, "id").dropDuplicates(["id", "cid"])
+        both = each.join(mine, "id").join(rows.select("cid", "cand_ord", "theirs", "held", "forms"), "cid").join(texts, ["block", "mine", "theirs"])
+        return scoring.score_pairs(both, len(index.fields)).select("id", "cid", "cand_ord", "score", "exact_count")
+
+    first = cut(judged(met(looked.where("place = 1")).unionByName(by_texts)).where("score > 0"), "scored")
+    slack = SLACK if n == 1 else ROUNDED  # lists of several go by rounded scores
+    reached = scoring.best(first, "id", n, shown=False).groupBy("id").agg(F.count("*").alias("n"), F.min("score").alias("last"))
+    reached = asked.select("id", "full", "of_text").join(reached, "id", "left").select("id", F.when(F.col("n") == n, (F.col("last") - slack) * F.col("full")).otherwise(0.0).alias("least"), "of_text")
+    taken = looked.where("place > 1").join(reached, "id").where(F.col("left") + F.col("of_text") >= F.col("least"))
+    more = met(taken).join(first.select("id", "cid"), ["id", "cid"], "left_anti")
+    return first.unionByName(judged(more)).join(asked.select("id", "bag"), "id").drop("id")
+
+
+def best_candidates(names: DataFrame, index: Index, n: int = 1) -> DataFrame:
     """names with the n best candidates each: cand columns, score, exact_count, rank."""
-    top = scoring.best(scored(names, catalogue, keys), "bag", n)
-    return names.withColumn("bag", _bag_key()).join(top, "bag").drop("bag").join(_distinct(catalogue), ["std", "item_type", "cand_ord"])
+    top = scoring.best(scored(names, index, n), "bag", n).drop("cand_ord")
+    held = index.rows.select("cid", "cand_ord", "ens_code", "cand_name", "attrs", "forms")
+    return names.withColumn("bag", _bag_key()).join(top.join(held, "cid"), "bag").drop("bag", "cid")
 
 
 def _coating(params: Column) -> Column:
@@ -119,56 +183,98 @@ def _with_coating(value: Column) -> Column:
 
 def substitutions(best: DataFrame) -> DataFrame:
     """best (params, attrs of the best candidate by the parameters as they are) with corrected and material where a rule replaces the coating."""
-    material = F.coalesce(field_value(F.col("attrs"), F.lit("марка_материала")), field_value(F.col("attrs"), F.lit("марка_стали")))
+    own = lambda k: F.get(F.filter("attrs", lambda e: (e.k == k) & (e.v != "")), 0).v
+    material = F.coalesce(own("марка_материала"), own("марка_стали"))
     return best.withColumn("corrected", coating.substituted(material, _coating(F.col("params")))).withColumn("material", F.when(F.col("corrected").isNotNull(), material))
 
 
-def by_variants(names: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
+def by_variants(names: DataFrame, index: Index) -> DataFrame:
     """names without a scored candidate by the first other spelling of their coating that has one."""
     spelled = names.select("*", F.posexplode(coating.variants(_coating(F.col("params")))).alias("spelling", "v")).where("spelling > 0")
     spelled = spelled.withColumn("params", _with_coating(F.col("v"))).drop("v")
-    found = best_candidates(spelled, catalogue, keys)
+    found = best_candidates(spelled, index)
     w = Window.partitionBy("name").orderBy("spelling")
     return found.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first", "spelling")
 
 
-def match(names: DataFrame, masks: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """One row for every distinct name: its extraction, the candidate found, how, and whether that is enough.
+def proposals(names: DataFrame, catalogue: DataFrame, n: int = 3) -> DataFrame:
+    """name, near: array of the n catalogue rows (similarity, ens_code, cand_name, attrs) whose names are nearest by TF-IDF, best first."""
+    rows = catalogue.where("cand_name is not null").groupBy("cand_name").agg(F.min("cand_ord").alias("id"), F.min_by(F.struct("ens_code", "cand_name", "attrs"), "cand_ord").alias("row"))
+    near = tfidf.neighbours(names.select(F.col("name").alias("id"), F.col("name").alias("text")), rows.select("id", F.col("cand_name").alias("text")), n)
+    near = near.withColumnRenamed("id", "name").join(rows.withColumnRenamed("id", "other"), "other")
+    return near.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", F.round("similarity", 6).alias("similarity"), "row.*"))).alias("near"))
 
-    name, std, item_type, mask_id, level, params, ens_code, ens_name, ens_attrs, ens_params, match_type, score,
-    confidence, success, original, corrected, material (of a replaced coating), detail.
-    """
-    parsed = M.parse(M.attach_masks(extract(names.select("name").distinct()), masks), masks, "clean")
-    parsed = parsed.select("name", "clean", "std", "item_type", "mask_id", F.coalesce("params", F.array().cast("array<struct<k: string, v: string>>")).alias("params"))
-    parsed = blocks(parsed, catalogue).select("name", "clean", F.struct("std", "item_type").alias("own"), "mask_id", "params", F.col("block_std").alias("std"), F.col("block_type").alias("item_type"))
-    parsed = cut(parsed, "parsed")  # all steps read it
-    columns = ["name", "params", "ens_code", "cand_name", "attrs", "match_type", "score", "corrected", "material"]
+
+def _no_proposals(catalogue: DataFrame) -> DataFrame:
+    row = catalogue.select("ens_code", "cand_name", "attrs").schema.simpleString().removeprefix("struct<").removesuffix(">")
+    return catalogue.sparkSession.createDataFrame([], f"name string, near array<struct<rank: int, similarity: double, {row}>>")
+
+
+def _in_words(names: DataFrame, catalogue: DataFrame, masks: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The steps over names that have a block and a mask: what was found (columns), and those left over."""
     none = [F.lit(None).cast("string").alias(c) for c in ("corrected", "material")]
-    exact = exact_names(parsed, catalogue).withColumn("match_type", F.lit("exact_name")).withColumn("score", F.lit(1.0)).select(*columns[:-2], *none)
+    exact = exact_names(names, catalogue).withColumn("match_type", F.lit("exact_name")).withColumn("score", F.lit(1.0)).select(*columns[:-2], *none)
     exact = cut(exact, "exact")
-    rest = cut(parsed.join(exact.select("name"), "name", "left_anti"), "rest")
-    keys = M.param_names(masks)
-    trial = cut(substitutions(best_candidates(rest.where(F.size("params") > 0), catalogue, keys)).select("name", "params", "ens_code", "cand_name", "attrs", "score", "corrected", "material"), "trial")
+    rest = cut(names.join(exact.select("name"), "name", "left_anti"), "rest")
+    index = Index(catalogue, M.param_names(masks))
+    plain = [c for c in columns if c != "match_type"]
+    # only a coating that some rule replaces needs the best candidate's material before the next step
+    doubtful = rest.where((F.size("params") > 0) & coating.replaceable(_coating(F.col("params"))))
+    trial = cut(substitutions(best_candidates(doubtful, index)).select(*plain), "trial")
     replaced = trial.where("corrected is not null")
     changed = rest.join(replaced.select("name", "corrected", "material"), "name").withColumn("params", _with_coating(F.col("corrected")))
     rest = cut(rest.select("*", *none).join(replaced.select("name"), "name", "left_anti").unionByName(changed), "rest")
-    changed = rest.where("corrected is not null")
-    same = signatures(rest, catalogue).withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0)).select(*columns)
-    same = cut(same, "same")
-    again = best_candidates(changed, catalogue, keys).select(*[c for c in columns if c != "match_type"])
-    fuzzy = trial.where("corrected is null").select(*[c for c in columns if c != "match_type"]).unionByName(again).withColumn("match_type", F.lit("fuzzy"))
-    fuzzy = cut(fuzzy, "fuzzy")
-    scored_ = fuzzy.join(same.select("name"), "name", "left_anti")
-    left = rest.join(same.select("name"), "name", "left_anti").join(fuzzy.select("name"), "name", "left_anti").where(F.size("params") > 0)
-    variant = by_variants(left, catalogue, keys).withColumn("match_type", F.lit("fuzzy_coating_variant")).withColumn("score", F.lit(0.8))
-    near = scored_.select(*columns).unionByName(variant.select(*columns))
+    same = cut(signatures(rest, catalogue).withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0)).select(*columns), "same")
+    rest = cut(rest.join(same.select("name"), "name", "left_anti"), "rest")
+    known = trial.where("corrected is null").join(rest.select("name"), "name", "left_semi")
+    others = rest.where(F.size("params") > 0).join(trial.where("corrected is null").select("name"), "name", "left_anti")
+    fuzzy = cut(known.unionByName(best_candidates(others, index).select(*plain)).withColumn("match_type", F.lit("fuzzy")), "fuzzy")
+    rest = cut(rest.join(fuzzy.select("name"), "name", "left_anti"), "rest")
+    near, spelled = fuzzy.select(*columns), rest.where(F.size("params") > 0)
+    if spelled.limit(1).count():
+        variant = by_variants(spelled, index).withColumn("match_type", F.lit("fuzzy_coating_variant")).withColumn("score", F.lit(0.8))
+        near = near.unionByName(variant.select(*columns))
     swapped = F.col("corrected").isNotNull()
     near = near.withColumn("match_type", F.when(swapped, "exact_substitution").otherwise(F.col("match_type"))).withColumn("score", F.when(swapped, 1.0).otherwise(F.col("score")))
-    found = exact.unionByName(same).unionByName(near.select(*columns)).withColumnRenamed("params", "used")
-    joined = parsed.join(found, "name", "left").withColumn("original", F.when(swapped, _coating(F.col("params")))).withColumn("params", F.coalesce("used", "params"))
-    joined = joined.withColumn("substituted", swapped)
-    joined = joined.withColumn("detail", scoring.compare(scoring.asked(F.col("params")), scoring.offered(F.col("attrs")), text.number_tokens(F.col("cand_name"))))
-    out = scoring.decide(joined)
-    level = F.when(F.col("own.std").isNull() | F.col("own.item_type").isNull(), "llm_direct").otherwise("catalogue")
-    values = scoring.catalogue_params(F.col("params"), F.col("attrs"))
-    return out.select("name", "own.std", "own.item_type", "mask_id", level.alias("level"), "params", "ens_code", F.col("cand_name").alias("ens_name"), F.col("attrs").alias("ens_attrs"), values.alias("ens_params"), "match_type", "score", "confidence", "success", "original", "corrected", "material", "detail")
+    return cut(exact.unionByName(same).unionByName(near.select(*columns)), "found"), rest
+
+
+def match(names: DataFrame, masks: DataFrame, catalogue: DataFrame, success_threshold: float = scoring.SUCCESS) -> DataFrame:
+    """One row for every distinct name: its extraction, the candidate found, how, and whether that is enough.
+
+    name, std, item_type, mask_id, level, params, ens_code, ens_name, ens_attrs, ens_params, ens_params_mask, match_type,
+    score, confidence, success, original, corrected, material (of a replaced coating), detail, near.
+
+    Names without a standard or an item type are for a language model (level llm_direct). Those without a
+    mask or a block of the catalogue get the nearest names by TF-IDF as proposals (level tfidf, near), never as a success.
+    """
+    bag = "array<struct<k: string, v: string>>"
+    # tables: else a condition on what is extracted moves below the distinct, to every row
+    distinct = cut(names.select("name").distinct(), "names")
+    parsed = M.parse(M.attach_masks(extract(distinct), masks), masks, "clean")
+    parsed = cut(parsed.select("name", "clean", "std", "item_type", "mask_id", F.coalesce("params", F.array().cast(bag)).alias("params")), "read")
+    parsed = blocks(parsed, catalogue).select("name", "clean", F.struct("std", "item_type").alias("own"), "mask_id", "params", F.col("block_std").alias("std"), F.col("block_type").alias("item_type"))
+    level = F.when(F.col("own.std").isNull() | F.col("own.item_type").isNull(), "llm_direct").when(F.col("std").isNull() | F.col("mask_id").isNull(), "tfidf").otherwise("catalogue")
+    parsed = cut(parsed.withColumn("level", level), "parsed")  # all steps read it
+    columns = ["name", "params", "ens_code", "cand_name", "attrs", "match_type", "score", "corrected", "material"]
+    found, _ = _in_words(parsed.where("level = 'catalogue'").drop("level"), catalogue, masks, columns)
+    unplaced = parsed.where("level = 'tfidf'")
+    near = cut(proposals(unplaced, catalogue), "near") if unplaced.limit(1).count() else _no_proposals(catalogue)
+    first = F.get("near", 0)
+    text_of = lambda c: F.lit(None).cast("string").alias(c)
+    proposed = near.select("name", F.array().cast(bag).alias("params"), first.ens_code.alias("ens_code"), first.cand_name.alias("cand_name"), first.attrs.alias("attrs"), F.lit("tfidf").alias("match_type"), first.similarity.alias("score"), text_of("corrected"), text_of("material"))
+    # what the mask reads in the candidate's name
+    read = M.parse(found.unionByName(proposed).join(parsed.select("name", "mask_id"), "name"), masks, "cand_name", "ens_params_mask")
+    read = read.withColumnRenamed("params", "used").drop("mask_id")
+    swapped = F.col("corrected").isNotNull()
+    joined = parsed.join(read, "name", "left").join(near, "name", "left").withColumn("original", F.when(swapped, _coating(F.col("params"))))
+    joined = joined.withColumn("params", F.when(F.col("level") == "catalogue", F.coalesce("used", "params")).otherwise(F.array().cast(bag))).withColumn("substituted", swapped)
+    compared = scoring.compare(scoring.asked(F.col("params")), scoring.offered(F.col("attrs")), text.name_forms(F.col("cand_name")))
+    by_name = scoring.exact_detail(F.col("params"), F.col("attrs"))
+    joined = joined.withColumn("detail", F.when(F.col("match_type") == "exact_name", by_name).when(F.col("match_type") != "exact", compared).otherwise(F.slice(by_name, 1, 0)))
+    out = scoring.decide(joined, success_threshold)
+    # an equal name of which the mask reads nothing has what it reads in the catalogue's
+    empty = (F.col("match_type") == "exact_name") & (F.size("params") == 0) & F.col("ens_params_mask").isNotNull()
+    out = out.withColumn("params", F.when(empty, F.col("ens_params_mask")).otherwise(F.col("params")))
+    values = scoring.catalogue_params(F.col("params"), F.col("attrs"), F.col("ens_params_mask"))
+    return out.select("name", "own.std", "own.item_type", "mask_id", "level", "params", "ens_code", F.col("cand_name").alias("ens_name"), F.col("attrs").alias("ens_attrs"), values.alias("ens_params"), "ens_params_mask", "match_type", "score", "confidence", "success", "original", "corrected", "material", "detail", "near")

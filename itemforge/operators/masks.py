@@ -23,8 +23,8 @@ SEEDS = [
 ]
 
 
-def seed_masks(spark: SparkSession) -> DataFrame:
-    rows = [(i + 1, s, t, p, params, need, 1.0, True) for i, (s, t, p, params, need) in enumerate(SEEDS)]
+def seed_masks(spark: SparkSession, seeds: list[tuple] = SEEDS) -> DataFrame:
+    rows = [(i + 1, s, t, p, params, need, 1.0, True) for i, (s, t, p, params, need) in enumerate(seeds)]
     return spark.createDataFrame(rows, "id long, standard string, item_type string, pattern string, params array<string>, required array<string>, auto_score double, is_active boolean").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
 
 
@@ -51,8 +51,8 @@ def attach_masks(names: DataFrame, masks: DataFrame) -> DataFrame:
     return out.withColumn("mask_id", F.coalesce("m1", "m2", "m3")).drop("s1", "t1", "m1", "s2", "t2", "m2", "s3", "m3")
 
 
-def parse(names: DataFrame, masks: DataFrame, text: str = "text") -> DataFrame:
-    """names (with mask_id) with params: array<struct<k, v>> of the groups that matched, null where the mask did not.
+def parse(names: DataFrame, masks: DataFrame, text: str = "text", into: str = "params") -> DataFrame:
+    """names (with mask_id) with params (or the column into): array<struct<k, v>> of the groups that matched, null where the mask did not.
 
     One expression for each mask, as the number of groups must be constant; matching is anchored at
     the start and ignores case by lower-casing both.
@@ -66,7 +66,7 @@ def parse(names: DataFrame, masks: DataFrame, text: str = "text") -> DataFrame:
         original = F.col(text)
         pairs = [F.struct(F.lit(k).alias("k"), F.trim(F.regexp_extract(original, f"(?iu){pattern}", i + 1)).alias("v")) for i, k in enumerate(r.params)]
         out = F.when((F.col("mask_id") == r.id) & span, F.filter(F.array(*pairs), lambda e: e.v != "")).otherwise(out)
-    return names.withColumn("params", out)
+    return names.withColumn(into, out)
 
 
 def param_names(masks: DataFrame) -> list[str]:

@@ -16,6 +16,7 @@ MATCH_NAMES = {
     "fuzzy": "Нечеткое совпадение",
     "fuzzy_coating_variant": "Нечеткое совпадение (вариант покрытия)",
     "exact_substitution": "Точное совпадение (после замены покрытия)",
+    "tfidf": "TF-IDF fallback",
 }
 YES, NO, UNDEFINED = "Да", "Нет", "Не определено"
 #: Parameters that are left out of a comparison with the catalogue.
@@ -46,7 +47,7 @@ def result_rows(items: DataFrame, matched: DataFrame, masks: DataFrame, name: st
     Every text is cut at 1000 characters, the code at 50 and the name at 500.
     """
     patterns = masks.groupBy(F.col("id").alias("mask_id")).agg(F.max("pattern").alias("mask_pattern"))
-    have = masks.where("is_active").select(F.col("standard").alias("m_std"), F.lower("item_type").alias("m_type")).distinct().withColumn("has_mask", F.lit(True))
+    have = masks.select(F.col("standard").alias("m_std"), F.lower("item_type").alias("m_type")).distinct().withColumn("has_mask", F.lit(True))
     facts = matched.withColumnRenamed("name", "_name").join(patterns, "mask_id", "left").join(have, (F.col("std") == F.col("m_std")) & (F.lower("item_type") == F.col("m_type")), "left")
     text = lambda c: F.coalesce(strip_controls(c.cast("string")), F.lit(""))
     names = F.create_map(*[F.lit(x) for kv in MATCH_NAMES.items() for x in kv])

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemforge.functions.coating import variants
+from itemforge.functions.coating import canonical, variants
 from itemforge.functions.collections import field_value, let
-from itemforge.functions.numbers import lenient_equal, number
-from itemforge.functions.text import jaccard, tokens
+from itemforge.functions.numbers import lenient_equal, number, rounded
+from itemforge.functions.text import jaccard, shown_in, shown_key, tokens
 
 TEXT_FIELDS = ["покрытие", "материал", "марка_материала", "марка_стали"]
 COATING, LENGTH = "покрытие", "длина"
@@ -28,7 +28,7 @@ def asked(params: Column) -> Column:
     def one(e: Column) -> Column:
         is_text = e.k.isin(TEXT_FIELDS)
         spellings = F.when(e.k == COATING, variants(e.v)).otherwise(F.array(e.v))
-        return F.struct(e.k.alias("k"), e.v.alias("v"), F.lower(F.trim(e.v)).alias("low"), number(e.v).alias("number"), is_text.alias("is_text"), F.when(is_text, F.transform(spellings, tokens)).alias("spellings"))
+        return F.struct(e.k.alias("k"), e.v.alias("v"), shown_key(e.v).alias("low"), number(e.v).alias("number"), is_text.alias("is_text"), F.when(is_text, F.transform(spellings, tokens)).alias("spellings"))
 
     return F.transform(F.filter(params, lambda e: e.v.isNotNull() & (e.v != "")), one)
 
@@ -38,8 +38,8 @@ def offered(attrs: Column) -> Column:
     return F.transform(attrs, lambda e: F.struct(e.k.alias("k"), F.struct(e.v.alias("v"), F.trim(e.v).alias("plain"), number(e.v).alias("number"), tokens(e.v).alias("tokens")).alias("v")))
 
 
-def compare(params: Column, attrs: Column, cand_tokens: Column) -> Column:
-    """array<struct<k, v, value, weight, gain, status>>; params as asked() and attrs as offered() give them."""
+def compare(params: Column, attrs: Column, forms: Column) -> Column:
+    """array<struct<k, v, value, weight, gain, status>>; params as asked(), attrs as offered() and forms as text.name_forms() give them."""
 
     def one(e: Column) -> Column:
         weight = F.when(e.is_text, 2.0).otherwise(1.0)
@@ -47,7 +47,7 @@ def compare(params: Column, attrs: Column, cand_tokens: Column) -> Column:
         def scored(c: Column) -> Column:
             sim = F.coalesce(F.array_max(F.transform(e.spellings, lambda s: jaccard(s, c.tokens))), F.lit(0.0))
             same = F.coalesce(e.number == c.number, F.trim(e.v) == c.plain, F.lit(False))
-            named = F.array_contains(cand_tokens, e.low)
+            named = F.coalesce(shown_in(e.low, forms), F.lit(False))
 
             def result(x: Column) -> Column:
                 status = F.when(e.is_text, F.when(x >= EXACT, "exact").when(x >= SIMILAR, "token_matched").otherwise("mismatched")).when(same, "exact").when(named, "exact (in name)").otherwise("mismatched")
@@ -71,7 +71,7 @@ def flat_params(keys: list[str]) -> Column:
     """struct of each key's value, number and spellings in the column params; fields p0, p1, ... by place in keys."""
 
     def one(k: str) -> Column:
-        return let(F.get(F.filter("params", lambda e: (e.k == k) & (e.v != "")), 0).v, lambda v: F.struct(v.alias("v"), F.lower(F.trim(v)).alias("low"), number(v).alias("number"), (F.transform(variants(v) if k == COATING else F.array(v), tokens) if k in TEXT_FIELDS else F.lit(None).cast("array<array<string>>")).alias("spellings")))
+        return let(F.get(F.filter("params", lambda e: (e.k == k) & (e.v != "")), 0).v, lambda v: F.struct(v.alias("v"), shown_key(v).alias("low"), number(v).alias("number"), (F.transform(variants(v) if k == COATING else F.array(v), tokens) if k in TEXT_FIELDS else F.lit(None).cast("array<array<string>>")).alias("spellings")))
 
     return F.struct(*[one(k).alias(f"p{i}") for i, k in enumerate(keys)])
 
@@ -92,11 +92,36 @@ def _text_columns(keys: list[str]) -> dict[str, Column]:
             gain = gain + F.when(present & (sim >= SIMILAR), sim * 2.0).otherwise(0.0)
             exact = exact + (present & (sim >= EXACT)).cast("int")
             if k == COATING:
-                begins = F.coalesce(F.startswith(F.lower(c.v), p.low), F.lit(False))
+                begins = F.coalesce(F.startswith(F.lower(F.trim(c.v)), F.lower(F.trim(p.v))), F.lit(False))
                 bonus = F.when(present & (sim >= SIMILAR), 0.01).otherwise(0.0) + F.when(present & begins, 0.01).otherwise(0.0)
     return {"text_gain": gain + bonus, "text_exact": exact}
 
 
+def _number_fields(struct: str, keys: list[str]) -> list[Column]:
+    return [F.col(f"{struct}.p{i}") for i, k in enumerate(keys) if k not in TEXT_FIELDS]
+
+
+def number_keys(struct: str, keys: list[str]) -> Column:
+    """Of the number fields of a flat struct one text for values that are equal: as numbers, else as they stand; null where there is none."""
+    return F.array(*[F.coalesce((p.number + 0.0).cast("string"), F.concat(F.lit("="), F.trim(p.v))) for p in _number_fields(struct, keys)]).cast("array<string>")
+
+
+def name_keys(struct: str, keys: list[str]) -> Column:
+    """Of the number fields of flat parameters the text that a name would hold."""
+    return F.array(*[p.low for p in _number_fields(struct, keys)]).cast("array<string>")
+
+
+def weight_sums(keys: list[str]) -> tuple[Column, Column]:
+    """Of p (flat_params): the weights of all fields, and the most that its text fields can add."""
+    total, of_text = F.lit(0.0), F.lit(0.0)
+    for i, k in enumerate(keys):
+        weight = F.when(F.col(f"p.p{i}.v").isNotNull(), 2.0 if k in TEXT_FIELDS else 1.0).otherwise(0.0)
+        total = total + weight
+        if k in TEXT_FIELDS:
+            of_text = of_text + weight + (F.when(F.col(f"p.p{i}.v").isNotNull(), 0.02).otherwise(0.0) if k == COATING else 0.0)
+    return total, of_text
+
+
 def text_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """pairs (p, c) with what their text fields add instead of them. For distinct texts of both sides, so a few rows."""
     return pairs.withColumns(_text_columns(keys)).drop("p", "c")
@@ -107,43 +132,40 @@ def text_key(struct: str, keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(f"{struct}.p{i}.v") for i, k in enumerate(keys) if k in TEXT_FIELDS], F.lit(0))
 
 
-def score_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs (p: flat_params, c: flat_attrs, cand_tokens; text_gain and text_exact where they are known already) with score and exact_count.
+def score_pairs(pairs: DataFrame, fields: int) -> DataFrame:
+    """pairs (wanted, held: number_keys of both sides; low: name_keys; forms: text.name_forms; text_gain, text_exact, full: sum of weights) with score and exact_count.
 
-    Flat columns keep the pair loop in generated code; the comparison of each parameter, which needs
-    arrays of structs, is only made for the pairs that win.
+    The loop over pairs compares short texts only; the comparison of each parameter in detail is made for the pairs that win.
     """
-    if "text_gain" not in pairs.columns:
-        pairs = pairs.withColumns(_text_columns(keys))
-    total, gain, exact = F.lit(0.0), F.col("text_gain"), F.col("text_exact")
-    for i, k in enumerate(keys):
-        p, c = F.col(f"p.p{i}"), F.col(f"c.p{i}")
-        weight, present = 2.0 if k in TEXT_FIELDS else 1.0, p.v.isNotNull()
-        if k not in TEXT_FIELDS:
-            same = F.coalesce(p.number == c.number, F.trim(p.v) == c.plain, F.lit(False))
-            gain = gain + F.when(present, F.when(same, weight).when(F.array_contains("cand_tokens", p.low), weight * 0.5).otherwise(0.0)).otherwise(0.0)
-            exact = exact + (present & same).cast("int")
-        total = total + F.when(present, weight).otherwise(0.0)
-    score = F.coalesce(F.try_divide(gain, total), F.lit(0.0))
-    return pairs.select(*[c for c in pairs.columns if c not in ("p", "c", "text_gain", "text_exact")], score.alias("score"), exact.alias("exact_count"))
-
-
-def best(scored: DataFrame, key: str = "name", n: int = 1) -> DataFrame:
-    """The n best candidates of each name with a score over 0: by score, number of exact parameters, order in the catalogue."""
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("exact_count").desc(), F.col("cand_ord"))
+    gain, exact = F.col("text_gain"), F.col("text_exact")
+    for i in range(fields):
+        own = F.get("wanted", F.lit(i))
+        same = F.coalesce(own == F.get("held", F.lit(i)), F.lit(False))
+        gain = gain + F.when(own.isNull(), 0.0).when(same, 1.0).when(shown_in(F.get("low", F.lit(i)), F.col("forms")), 0.5).otherwise(0.0)
+        exact = exact + same.cast("int")
+    return pairs.withColumns({"score": F.coalesce(F.try_divide(gain, F.col("full")), F.lit(0.0)), "exact_count": exact})
+
+
+def best(scored: DataFrame, key: str = "name", n: int = 1, shown: bool = True) -> DataFrame:
+    """The n best candidates of each name with a score over 0: by score (in a list of several as it is shown, with three digits), number of exact parameters, order in the catalogue."""
+    order = rounded(F.col("score"), 3) if shown and n > 1 else F.col("score")
+    w = Window.partitionBy(key).orderBy(order.desc(), F.col("exact_count").desc(), F.col("cand_ord"))
     # the score is tested behind the window: in front of it, it would be computed twice
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).where("score > 0")
 
 
 def length_tolerated(a: Column, b: Column) -> Column:
+    """Lengths that differ by less than 20 and less than a tenth of the catalogue's, b."""
     x, y = number(a), number(b)
-    return F.coalesce(((x == 0) & (y == 0)) | ((F.abs(x - y) < 20) & (F.try_divide(F.abs(x - y), F.greatest(F.abs(x), F.abs(y))) < 0.10)), F.lit(False))
+    near = (F.abs(x - y) < 20) & (F.try_divide(F.abs(x - y), F.abs(y)) < 0.10)
+    return F.coalesce(F.when(y == 0, x == 0).otherwise(near), F.lit(False))
 
 
-def decide(winners: DataFrame) -> DataFrame:
-    """winners (match_type, score, params, attrs, detail, substituted) with confidence and success."""
+def decide(winners: DataFrame, least: float = SUCCESS) -> DataFrame:
+    """winners (match_type, score, params, attrs, detail, substituted) with confidence and success; least: the confidence of a success. TF-IDF only proposes."""
     exact = F.col("match_type").isin("exact_name", "exact", "exact_substitution")
-    raw = F.when(exact, 1.0).when(F.col("match_type") == "fuzzy_coating_variant", F.least("score", F.lit(1.0)) * 0.95).otherwise(F.least("score", F.lit(1.0)))
+    shown = F.least(rounded(F.col("score"), 3), F.lit(1.0))
+    raw = F.when(exact, 1.0).when(F.col("match_type") == "fuzzy_coating_variant", shown * 0.95).otherwise(shown)
     has = lambda k: F.exists("params", lambda e: (e.k == k) & (e.v != ""))
     missing = F.lit(False)
     for k in ONLY_IN_CATALOGUE:
@@ -151,19 +173,17 @@ def decide(winners: DataFrame) -> DataFrame:
     wrong = F.exists("detail", lambda e: (e.status == "mismatched") & (e.k != COATING) & ~((e.k == LENGTH) & length_tolerated(e.v, e.value)))
     other = F.exists("detail", lambda e: (e.status == "exact (in name)") & (e.k != COATING) & ~((e.k == LENGTH) & length_tolerated(e.v, e.value)))
     no_params = (F.col("match_type") == "exact_name") & (F.coalesce(F.size("params"), F.lit(0)) == 0)
-    good = (raw >= SUCCESS) & ~no_params & ~missing & ((F.col("match_type") == "exact") | (~wrong & ~other))
-    sure = F.when(F.col("match_type").isNull(), 0.0).when(F.col("substituted"), F.greatest(raw, F.lit(SUCCESS))).otherwise(raw)
+    good = (raw >= least) & ~no_params & ~missing & ((F.col("match_type") == "exact") | (~wrong & ~other)) & (F.col("match_type") != "tfidf")
+    sure = F.when(F.col("match_type").isNull(), 0.0).when(F.col("substituted"), F.greatest(raw, F.lit(least))).otherwise(raw)
     out = winners.withColumn("confidence", rounded(sure, 3))
     return out.withColumn("success", F.when(F.col("match_type").isNull(), False).when(F.col("substituted"), True).otherwise(F.coalesce(good, F.lit(False))))
 
 
-def rounded(value: Column, digits: int) -> Column:
-    """Half to even, on the decimal digits of the value."""
-    return F.bround(value, digits)
-
-
-#: Fields that are no parameters.
-TECHNICAL = ["код", "наименование", "полное_наименование", "наименование_типа", "нтд", "mdm_key", "guid"]
+# Fields of a catalogue row that are no parameters.
+TECHNICAL = [
+    "код", "mdm_key", "id", "_meta", "автор_последнего_изменения", "дата_последнего_изменения", "наименование", "полное_наименование",
+    "стандарт", "тип_изделия", "нтд", "нтд_1", "нтд_2", "статус",
+]
 
 
 def catalogue_params(params: Column, attrs: Column, parsed: Column | None = None) -> Column:
@@ -175,14 +195,20 @@ def catalogue_params(params: Column, attrs: Column, parsed: Column | None = None
     return own if parsed is None else let(own, lambda o: more(o, F.coalesce(parsed, F.array().cast("array<struct<k: string, v: string>>"))))
 
 
-def exact_detail(params: Column, attrs: Column, canonical: Column) -> Column:
-    """array<struct<k, v, value, status>> of a name that is equal: exact, mismatched or no_ens_value; coatings by code or tokens (canonical: code of a coating)."""
+def _same_coating(a: Column, b: Column) -> Column:
+    """Equal by catalogue code, or by the set of the code's parts between points."""
+    parts = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower(c), r"\."), F.trim), lambda t: t != "")))
+    return let(canonical(F.trim(a)), lambda x: let(canonical(F.trim(b)), lambda y: (x == y) | ((F.size(parts(x)) > 0) & (parts(x) == parts(y)))))
+
+
+def exact_detail(params: Column, attrs: Column) -> Column:
+    """What compare gives, for a name that is equal to the catalogue's: exact, mismatched or no_ens_value; coatings also by code."""
 
     def one(e: Column) -> Column:
         def told(c: Column) -> Column:
-            alike = (e.k == COATING) & ((F.lower(canonical) == F.lower(c)) | (F.size(F.array_except(tokens(e.v), tokens(c))) + F.size(F.array_except(tokens(c), tokens(e.v))) == 0))
-            same = F.coalesce(number(e.v) == number(c), F.trim(e.v) == F.trim(c)) | alike
-            return F.struct(e.k.alias("k"), e.v.alias("v"), c.alias("value"), F.when(c.isNull() | (F.trim(c) == ""), "no_ens_value").when(same, "exact").otherwise("mismatched").alias("status"))
+            same = lenient_equal(e.v, c) | ((e.k == COATING) & _same_coating(e.v, c))
+            status = F.when(c.isNull() | (F.trim(c) == ""), "no_ens_value").when(F.coalesce(same, F.lit(False)), "exact").otherwise("mismatched")
+            return F.struct(e.k.alias("k"), e.v.alias("v"), c.alias("value"), F.lit(1.0).alias("weight"), F.when(status == "exact", 1.0).otherwise(0.0).alias("gain"), status.alias("status"))
 
         return let(field_value(attrs, e.k), told)
 

@@ -1,11 +1,24 @@
-"""TF-IDF over character n-grams, cosine similarity and the nearest texts."""
+"""TF-IDF over character n-grams, cosine similarity and the nearest texts.
+
+The nearest texts come from an inverted index in two steps. The rarest grams of a query fetch some
+texts, whose exact similarities give the least that a place among the k nearest needs. Then grams are taken
+rarest first, until what all further ones could add at most stays below that: the length of the rest
+of the query's vector, or the sum of its products with each gram's largest weight. A text that shares
+none of the taken grams can't be among the nearest; frequent grams are hardly ever taken.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itemforge.operators.cut import cut
+
 LOW, HIGH = 2, 4
+#: Grams of a query that fetch the first texts.
+FIRST = 6
+#: Similarities that differ by less are equal.
+EQUAL = 1e-9
 
 
 def grams(text: Column) -> Column:
@@ -14,19 +27,66 @@ def grams(text: Column) -> Column:
     return F.concat(*[each(n) for n in range(LOW, HIGH + 1)])
 
 
-def weights(texts: DataFrame) -> DataFrame:
-    """id, gram, w: L2-normalised tf * (ln((1 + n) / (1 + df)) + 1)."""
-    tf = texts.select("id", F.explode(grams(F.col("text"))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("gram").agg(F.count("*").alias("df"))
-    n = texts.agg(F.count("*").alias("n"))
-    raw = tf.join(df, "gram").crossJoin(n).select("id", "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+def _counts(texts: DataFrame) -> DataFrame:
+    """id, gram, tf."""
+    return texts.select("id", F.explode(grams(F.col("text"))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+
+
+def _normal(raw: DataFrame) -> DataFrame:
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("w"))
+    return raw.join(norm, "id").withColumn("w", F.col("w") / F.col("norm")).drop("norm")
+
+
+def inverse_frequencies(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, df, idf = ln((1 + n) / (1 + df)) + 1."""
+    n = texts.count()
+    return counts.groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+
+
+def weights(texts: DataFrame) -> DataFrame:
+    """id, gram, w: L2-normalised tf * idf."""
+    counts = _counts(texts)
+    return _normal(counts.join(inverse_frequencies(texts, counts), "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w")))
+
+
+def neighbours(queries: DataFrame, texts: DataFrame, k: int = 3, least: float = 0.1, others_only: bool = False) -> DataFrame:
+    """id, other, similarity, rank: the k texts (id, text) nearest to each query (id, text), then those over the least similarity.
+
+    Frequencies are those of texts; grams that no text has don't count. Of equally near texts those with the smaller id.
+    Ids are distinct; others_only: a text isn't its own neighbour.
+    """
+    counts = cut(_counts(texts), "grams")
+    idf = inverse_frequencies(texts, counts)
+    held = cut(_normal(counts.join(idf, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"), "df")), "vectors")
+    most = held.groupBy("gram").agg(F.max("w").alias("most"))
+    asked = _normal(_counts(queries).join(idf, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"), "df")).join(most, "gram")
+    order = Window.partitionBy("id").orderBy("df", "gram")
+    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    bound = F.least(F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)), F.sum(F.col("w") * F.col("most")).over(rest))
+    asked = cut(asked.select("id", "gram", "w", F.row_number().over(order).alias("place"), bound.alias("bound")), "asked")
+    postings = held.select(F.col("id").alias("other"), "gram")
+
+    def fetched(taken: DataFrame) -> DataFrame:
+        pairs = taken.join(postings, "gram").select("id", "other").distinct()
+        return pairs.where("id <> other") if others_only else pairs
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        mine = pairs.join(asked.select("id", "gram", "w"), "id")
+        both = mine.join(held.select(F.col("id").alias("other"), "gram", F.col("w").alias("v")), ["other", "gram"])
+        return both.groupBy("id", "other").agg(F.sum(F.col("w") * F.col("v")).alias("similarity"))
+
+    def nearest_of(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "other")
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    first = cut(similar(fetched(asked.where(F.col("place") <= FIRST))), "near")
+    needed = nearest_of(first).groupBy("id").agg(F.count("*").alias("n"), F.min("similarity").alias("last"))
+    needed = needed.select("id", F.when((F.col("n") == k) & (F.col("last") > least), F.col("last")).otherwise(least).alias("needed"))
+    taken = asked.join(needed, "id", "left").where((F.col("place") > FIRST) & (F.col("bound") >= F.coalesce("needed", F.lit(least)) - EQUAL))
+    more = similar(fetched(taken).join(first.select("id", "other"), ["id", "other"], "left_anti"))
+    return nearest_of(first.unionByName(more)).where(F.col("similarity") > least)
 
 
 def nearest(texts: DataFrame, k: int = 3, least: float = 0.1) -> DataFrame:
-    """id, other, similarity: the k nearest other texts of each, then those over the least similarity."""
-    w = weights(texts)
-    pairs = w.join(w.select(F.col("id").alias("other"), "gram", F.col("w").alias("v")), "gram").where("id <> other").groupBy("id", "other").agg(F.sum(F.col("w") * F.col("v")).alias("similarity"))
-    order = Window.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "other")
-    return pairs.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("similarity") > least))
+    """id, other, similarity, rank: the k nearest other texts of each, then those over the least similarity."""
+    return neighbours(texts, texts, k, least, others_only=True)

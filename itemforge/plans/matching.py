@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from itemforge.functions import coating, numbers, text
 from itemforge.functions.collections import as_map, cells, merged
 from itemforge.operators import ladder, masks, reports, routing, scoring
+from itemforge.operators.cut import cut
 from itemforge.sources.tables import CATALOGUE, NAMES, catalogue, item_names
 
 SQL_NAMES = f"WITH names AS ({NAMES.format(lineitem='lineitem', part='part')}), d AS (SELECT DISTINCT name FROM names)"
@@ -42,7 +43,7 @@ def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = masks.seed_masks(spark)
-    return masks.parse(masks.attach_masks(ladder.extract(_distinct(spark, sf_dir)), rules), rules, "clean")
+    return masks.parse(masks.attach_masks(ladder.extract(cut(_distinct(spark, sf_dir), "names")), rules), rules, "clean")
 
 
 def std_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def exact_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _best(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
     keys = masks.param_names(masks.seed_masks(spark))
-    return ladder.best_candidates(_parsed(spark, sf_dir).where("params is not null").select("name", "std", "item_type", "params"), catalogue(spark, sf_dir), keys, n)
+    return ladder.best_candidates(_parsed(spark, sf_dir).where("params is not null").select("name", "std", "item_type", "params"), ladder.Index(catalogue(spark, sf_dir), keys), n)
 
 
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,10 +180,10 @@ ORACLES = {
     "fuzzy_best": SQL_PARSED + " SELECT name, ens_code, score, exact_count FROM r WHERE rank = 1",
     "fuzzy_top5": SQL_PARSED + " SELECT name, ens_code, rank, score FROM r WHERE rank <= 5",
     "match_ladder": _EXACT
-    + """, l AS (SELECT r.*, p.kind, p.execution AS p_execution, p.size AS a, p.length AS b, abs(p.length::double - c_length::double) AS diff, greatest(p.length::double, c_length::double) AS most FROM r JOIN p USING (name) WHERE rank = 1)
+    + """, l AS (SELECT r.*, p.kind, p.execution AS p_execution, p.size AS a, p.length AS b, abs(p.length::double - c_length::double) AS diff, c_length::double AS most FROM r JOIN p USING (name) WHERE rank = 1)
       SELECT d.name, CASE WHEN e.name IS NOT NULL THEN 'exact_name' WHEN l.name IS NOT NULL THEN 'fuzzy' END AS match_type, coalesce(e.ens_code, l.ens_code) AS ens_code,
-        CASE WHEN e.name IS NOT NULL THEN 1.0 WHEN l.name IS NOT NULL THEN least(l.score, 1.0) ELSE 0.0 END::double AS confidence,
-        CASE WHEN e.name IS NOT NULL THEN true WHEN l.name IS NULL THEN false ELSE l.score >= 0.7 AND l.p_size = CAST(l.c_size AS string) AND (l.p_length = CAST(l.c_length AS string) OR (diff < 20 AND diff / most < 0.10))
+        CASE WHEN e.name IS NOT NULL THEN 1.0 WHEN l.name IS NOT NULL THEN least(round_even(l.score, 3), 1.0) ELSE 0.0 END::double AS confidence,
+        CASE WHEN e.name IS NOT NULL THEN true WHEN l.name IS NULL THEN false ELSE round_even(l.score, 3) >= 0.7 AND l.p_size = CAST(l.c_size AS string) AND (l.p_length = CAST(l.c_length AS string) OR (diff < 20 AND diff / most < 0.10))
           AND (l.kind <> 0 OR l.p_execution = regexp_extract(l.cand_name, '\\((\\d)\\)', 1)) END AS success
       FROM d LEFT JOIN e ON e.name = d.name LEFT JOIN l ON l.name = d.name""".replace("\\\\", "\\"),
     "quality_report": _EXACT

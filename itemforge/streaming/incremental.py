@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from itemforge.operators import ladder, upsert
+from itemforge.operators.cut import scope
 
 
 class VersionedStore:
@@ -45,7 +46,10 @@ def match_stream(names: DataFrame, masks: DataFrame, catalogue: DataFrame, store
     """Matches each batch of names (streaming, column name) and upserts the results; ends when all input is read."""
 
     def step(batch: DataFrame, number: int) -> None:
-        found = ladder.match(batch, masks, catalogue)
+        with scope(batch.sparkSession):
+            write(ladder.match(batch, masks, catalogue), number)
+
+    def write(found: DataFrame, number: int) -> None:
         store.write(found.select("name", F.lit(None).cast("string").alias("article"), "ens_code", "match_type", "confidence", "success"), number)
 
     return names.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

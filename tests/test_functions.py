@@ -66,9 +66,9 @@ def test_scores(spark):
     params = bag(исполнение="2", диаметр="12", длина="44", покрытие="Кд")
     keys = ["исполнение", "диаметр", "длина", "покрытие"]
     for value, length, score, exact in (("Кд", "44", 1.004, 4), ("Кд9.хр", "44", 0.804, 3), ("Ц9.фос.окс", "44", 0.802, 3), ("Кд", "46", 0.804, 3)):
-        row = spark.range(1).select(params.alias("params"), bag(исполнение="2", диаметр="12", длина=length, покрытие=value).alias("attrs"), F.array(L("2"), L("12")).alias("cand_tokens"))
-        row = row.withColumn("p", scoring.flat_params(keys)).withColumn("c", scoring.flat_attrs(keys))
-        got = scoring.score_pairs(row, keys).first()
+        row = spark.range(1).select(params.alias("params"), bag(исполнение="2", диаметр="12", длина=length, покрытие=value).alias("attrs"), text.name_forms(L("Болт (2)-12")).alias("forms"))
+        row = scoring.text_scores(row.withColumn("p", scoring.flat_params(keys)).withColumn("c", scoring.flat_attrs(keys)).withColumn("full", scoring.weight_sums(keys)[0]).withColumns({"wanted": scoring.number_keys("p", keys), "held": scoring.number_keys("c", keys), "low": scoring.name_keys("p", keys)}), keys)
+        got = scoring.score_pairs(row, 3).first()
         assert (round(got.score, 6), got.exact_count) == (score, exact)
 
 

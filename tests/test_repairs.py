@@ -139,9 +139,9 @@ def test_every_step_of_the_ladder(spark):
     assert told[names[3]] == ("fuzzy", 2, True)  # the length is tolerated
     assert told[names[4]] == ("exact_name", 4, False)  # the pitch is in the catalogue only; the length differs
     assert told[names[5]] == ("fuzzy", 4, False)
-    assert told[names[6]] == (None, None, False) and got[names[6]].level == "llm_direct" and told[names[7]] == (None, None, False)
+    assert told[names[6]] == (None, None, False) and got[names[6]].level == "llm_direct" and told[names[7]][0] == "tfidf" and got[names[7]].level == "tfidf" and not told[names[7]][2]
     assert {e.k: e.v for e in got[names[5]].ens_params} == {"диаметр": "5", "длина": "21", "шаг_резьбы": "0,8"}
-    detail = cat.where("ens_code = 4").select(scoring.exact_detail(F.array(F.struct(F.lit("длина").alias("k"), F.lit("21,0").alias("v")), F.struct(F.lit("шаг").alias("k"), F.lit("1").alias("v")), F.struct(F.lit("вес").alias("k"), F.lit("1").alias("v"))), F.col("attrs"), F.lit(None).cast("string")).alias("d")).first().d
+    detail = cat.where("ens_code = 4").select(scoring.exact_detail(F.array(F.struct(F.lit("длина").alias("k"), F.lit("21,0").alias("v")), F.struct(F.lit("шаг").alias("k"), F.lit("1").alias("v")), F.struct(F.lit("вес").alias("k"), F.lit("1").alias("v"))), F.col("attrs")).alias("d")).first().d
     assert [(e.k, e.status) for e in detail] == [("длина", "exact"), ("шаг", "mismatched"), ("вес", "no_ens_value")]
 
 
