@@ -15,8 +15,8 @@ ALWAYS_SKIPPED = ["стандарт", "тип", "код", "наименован
 
 
 def groups(pattern: str) -> list[tuple[str, bool]]:
-    """Named groups in order, and whether each may be absent: it, or a group around it, is followed by ? or *."""
-    out, stack, i = [], [], 0
+    """Named groups in order, and whether each may be absent: it, or a group around it, is followed by ?, * or {0,n}, or stands in one of several alternatives."""
+    out, stack, i, split = [], [], 0, False
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
@@ -27,14 +27,18 @@ def groups(pattern: str) -> list[tuple[str, bool]]:
         elif c == "(":
             named = re.match(r"\(\?P?<([^>=!]+)>", pattern[i:])
             out += [[named[1], False]] if named else []
-            stack.append((len(out) - 1 if named else None, len(out)))
+            stack.append([len(out) - 1 if named else None, len(out), False])
+        elif c == "|" and stack:
+            stack[-1][2] = True
+        elif c == "|":
+            split = True
         elif c == ")":
-            own, since = stack.pop()
-            if pattern[i + 1 : i + 2] in ("?", "*"):
-                for g in out[since if own is None else own :]:
-                    g[1] = True
+            own, since, alternatives = stack.pop()
+            absent = re.match(r"\?|\*|\{0*,|\{0+[,}]", pattern[i + 1 :])
+            for g in out[since if own is None or not absent else own :] if absent or alternatives else []:
+                g[1] = True
         i += 1
-    return [tuple(g) for g in out]
+    return [(name, absent or split) for name, absent in out]
 
 
 def unescaped(pattern: str) -> str:
@@ -58,15 +62,16 @@ def merged_groups(found: dict[str, str | None]) -> dict[str, str]:
     out: dict[str, str] = {}
     for k, v in found.items():
         if v is not None:
-            out.setdefault(re.sub(r"_[2-9]$", "", k), v)
+            out.setdefault(re.sub(r"_(?:[2-9]|[1-9][0-9]+)$", "", k), v)
     return out
 
 
 def repaired(pattern: str, forbidden: tuple[str, ...] = ("стандарт",)) -> str | None:
     """A proposed pattern that can be stored: single backslashes, one name for each group, no captures of forbidden names, anchored, text allowed behind the standard; None if it does not compile."""
-    out = numbered_groups(unescaped(pattern.strip()))
+    out = unescaped(pattern.strip())
     for name in forbidden:
-        out = out.replace(f"(?P<{name}>", "(?:")
+        out = re.sub(rf"\(\?P<{re.escape(name)}(?:_[0-9]+)?>", "(?:", out)
+    out = numbered_groups(out)
     out = out if out.startswith("^") else f"^{out}"
     out = out if not out.endswith("$") or out.endswith("\\$") else out[:-1] + r"(?:[\s,;.].*)?$"
     try:

@@ -29,25 +29,35 @@ class Client(Protocol):
 
 
 def _balanced(text: str) -> Iterator[str]:
-    """Runs of balanced braces or brackets outside of strings, from left to right."""
-    at = 0
-    while (m := re.compile(r"[{\[]").search(text, at)) is not None:
-        depth, quoted, escaped = 0, False, False
-        for i in range(m.start(), len(text)):
-            c = text[i]
-            if quoted:
-                quoted = escaped or c != '"'
-                escaped = c == "\\" and not escaped
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                depth += 1
-            elif c in "}]":
-                depth -= 1
-                if not depth:
-                    yield text[m.start() : i + 1]
-                    break
-        at = m.start() + 1
+    """Balanced runs of braces or brackets, those that stand in no other one first, from left to right; then the others.
+
+    One pass: a quote begins a string only inside of braces, and a string ends with its line at the latest.
+    """
+    found, open_, quoted = [], [], False
+    for m in re.finditer(r"\\.|[\"{}\[\]\n]", text, re.S):
+        c = m[0]
+        if c == "\n":
+            quoted = False
+        elif c == '"':
+            quoted = not quoted and bool(open_)
+        elif quoted or len(c) > 1:
+            continue
+        elif c in "{[":
+            open_.append((m.start(), c))
+        elif open_ and open_[-1][1] + c in ("{}", "[]"):
+            start, _ = open_.pop()
+            found.append((len(open_), start, m.end()))
+    inner_at = sorted(found, key=lambda f: f[1])
+    last = -1
+    for _, start, end in inner_at:
+        if end > last:
+            yield text[start:end]
+            last = end
+    last = -1
+    for _, start, end in inner_at:
+        if end <= last:
+            yield text[start:end]
+        last = max(last, end)
 
 
 def _loaded(text: str):  # noqa: ANN202  any JSON value
@@ -93,8 +103,9 @@ def mask_reply(text: str | None) -> dict | None:
         groups = list(re.compile(pattern).groupindex)
     except re.error:
         return None
-    params = value.get("params") or groups
-    return {"pattern": pattern, "params": params, "required": value.get("required") or [p for p in params if p not in OPTIONAL_PARAMS]}
+    names = lambda v: [str(x) for x in v if isinstance(x, (str, int, float))] if isinstance(v, (list, dict)) else []
+    params = names(value.get("params")) or groups
+    return {"pattern": pattern, "params": params, "required": names(value.get("required")) or [p for p in params if p not in OPTIONAL_PARAMS]}
 
 
 def item_reply(text: str | None) -> dict:
@@ -110,12 +121,13 @@ def coating_reply(text: str | None) -> dict[str, list[str]]:
     """material -> coatings, from a map of lists, a map of texts with commas, or a list of {material, coatings}."""
     value = reply_json(text)
     rows = value.get("rules", value) if isinstance(value, dict) else value
+    plain = lambda x: isinstance(x, (str, int, float)) and not isinstance(x, bool)
     if isinstance(rows, list):
-        rows = {r["material"]: r.get("coatings") for r in rows if isinstance(r, dict) and r.get("material")}
+        rows = {r["material"]: r.get("coatings") for r in rows if isinstance(r, dict) and plain(r.get("material"))}
     if not isinstance(rows, dict):
         return {}
-    split = lambda c: [x.strip() for x in (c.split(",") if isinstance(c, str) else c or []) if str(x).strip()]
-    return {str(m): split(c) for m, c in rows.items()}
+    every = lambda c: c.split(",") if isinstance(c, str) else c if isinstance(c, list) else [c]
+    return {str(m): [str(x).strip() for x in every(c) if plain(x) and str(x).strip()] for m, c in rows.items() if str(m).strip()}
 
 
 def fill(template: Column, values: dict[str, Column]) -> Column:

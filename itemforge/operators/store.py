@@ -45,11 +45,11 @@ def verified(results: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def cached(items: DataFrame, store: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """items (name, article) with hit and the stored ens_code where a result is not older than so many days; nulls are equal."""
+    """items (name, article) with hit and the newest stored ens_code where a result is not older than so many days; nulls are equal."""
     age = F.try_to_timestamp(F.col("updated_at").cast("string"))
-    live = store.where(F.coalesce(age > now - F.expr(f"interval {days} days"), F.lit(True))).select(F.col("name").alias("_n"), F.col("article").alias("_a"), "ens_code", F.lit(True).alias("hit"))
+    live = store.where(F.coalesce(age > now - F.expr(f"interval {days} days"), F.lit(True))).groupBy(F.col("name").alias("_n"), F.col("article").alias("_a")).agg(F.max_by("ens_code", F.struct(age, "ens_code")).alias("ens_code")).withColumn("hit", F.lit(True))
     on = items.name.eqNullSafe(F.col("_n")) & items.article.eqNullSafe(F.col("_a"))
-    return items.join(live.dropDuplicates(["_n", "_a"]), on, "left").drop("_n", "_a").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return items.join(live, on, "left").drop("_n", "_a").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def cache_stats(looked: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def cache_stats(looked: DataFrame) -> DataFrame:
 
 def served(items: DataFrame, legacy: DataFrame) -> DataFrame:
     """items (article, prompt_id) with the stored status, and whether it is served: only what is completed; errors and ignored ones are done again."""
-    status = legacy.select("article", "prompt_id", "status").dropDuplicates(["article", "prompt_id"])
+    newest = F.col("updated_at").cast("string") if "updated_at" in legacy.columns else F.lit(None).cast("string")
+    status = legacy.groupBy("article", "prompt_id").agg(F.max_by("status", F.struct(newest, "status")).alias("status"))
     return items.join(status, ["article", "prompt_id"], "left").withColumn("served", F.coalesce(F.col("status") == "completed", F.lit(False)))
 
 

@@ -237,7 +237,7 @@ ORACLES = {
     "extraction_checks": _NAMES
     + """ SELECT name, CASE WHEN name LIKE 'Болт%' THEN 'БОЛТ' WHEN name LIKE 'Винт%' THEN 'Винт' WHEN name LIKE 'Шайба%' THEN 'Шайба' ELSE 'Гайка' END AS item_type,
       CASE WHEN name LIKE 'Болт%' THEN 'ОСТ 1 31133-80' WHEN name LIKE 'Шайба%' THEN 'ОСТ 1 34505-80' END AS std FROM d""",
-    "latin_words": _NAMES + " SELECT CASE substr(name, 1, 4) WHEN 'Болт' THEN 'bolt' WHEN 'Винт' THEN 'vint' WHEN 'Шайб' THEN 'shayba' ELSE 'gayka' END AS latin, count(*) AS n FROM d GROUP BY 1",
+    "latin_words": _NAMES + " SELECT CASE substr(name, 1, 4) WHEN 'Болт' THEN 'bolt' WHEN 'Винт' THEN 'vint' WHEN 'Шайб' THEN 'shajba' ELSE 'gajka' END AS latin, count(*) AS n FROM d GROUP BY 1",
     "prompt_texts": "SELECT p_partkey, concat('Item ', p_name, ', size ', p_size, '.') AS prompt FROM part",
     "mask_usage": _NAMES
     + ", h AS (SELECT CASE WHEN name LIKE 'Болт%' THEN 1 WHEN name LIKE 'Винт%' THEN 2 WHEN name LIKE 'Шайба%' THEN 3 END AS id FROM d) SELECT t.id::bigint AS id, count(h.id) AS usage_count, count(h.id) > 0 AS used FROM (VALUES (1), (2), (3), (4)) t(id) LEFT JOIN h ON h.id = t.id GROUP BY t.id",

@@ -13,8 +13,8 @@ from itemforge.operators.routing import detect
 
 # Latin letters of the Cyrillic ones.
 LATIN = {
-    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
-    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "j", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "c", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
 }
 # Words of headers whose columns hold numbers.
 NUMERIC_WORDS = ["длина", "диаметр", "толщина", "ширина", "шаг", "масса"]
@@ -66,8 +66,10 @@ def transliterated(text: str) -> str:
     return "".join(LATIN.get(c, c) for c in text.lower())
 
 
-def latin_snake(text: str, longest: int = 80) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", transliterated(text)).strip("_")[:longest]
+def latin_snake(text: str) -> str:
+    """Latin field name of a header: brackets, commas, slashes and spaces part words, points are underscores, other signs stay."""
+    words = re.split(r"[\s(),/]+", text.replace(".", "_").strip())
+    return re.sub("_+", "_", transliterated("_".join(words))).strip("_")
 
 
 def transliterated_column(text: Column) -> Column:

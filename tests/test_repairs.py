@@ -72,7 +72,7 @@ def test_config(spark):
     m = config.column_mapping("columns: {length: ['^длина', '('], size: диам}", {})
     assert config.mapped("Длина, мм", m) == "length" and config.mapped("Наружный диаметр", m) == "size" and config.mapped("x", m) is None
     assert config.mapping_for({"a": [1]}, {"c": {"a": [2]}}, "c") == {"a": [2]}
-    assert config.generated_mapping(["Шаг резьбы", "Код", "Щит"], ["Код"], {}) == {"Шаг резьбы": "shag_rezby", "Щит": "schit"}
+    assert config.generated_mapping(["Шаг резьбы", "Код", "Щит"], ["Код"], {}) == {"Шаг резьбы": "shag_rezby", "Щит": "shchit"}
     d = config.domain("index: {skip: 'a, b', meta: [c]}\nretain: [b]")
     assert config.technical_fields(d, ["z"]) == ["z", "a", "b", "c"] and config.is_numeric("Шаг резьбы, мм") and not config.is_numeric("Код")
     wide = spark.createDataFrame([("Болт М6", "5", "x"), ("", "6", "y")], "`Полное имя` string, `Длина, мм` string, `Длина, м` string")
