@@ -114,14 +114,30 @@ def required(params: list[str], optional: list[str]) -> list[str]:
     return [p for p in params if p not in optional]
 
 
-def expected_key(keys: Column, name: Column) -> Column:
-    """The key equal to name but for underscores, else the one that holds it or is held by it with the nearest length; null without one."""
+# Names of parameters, and the fields that stand for them in this order.
+STAND_INS = {
+    ("нтд1", "стандарт", "standard"): ["стандарт", "нтд", "нтд_1", "standard"],
+    ("типизделия", "наименованиетипа"): ["наименование_типа", "тип_изделия", "тип"],
+    ("свойства", "группапрочности"): ["группа_прочности", "свойства", "группапрочности"],
+}
+
+
+def expected_key(keys: Column, name: Column, twins: list[list[str]] = ()) -> Column:
+    """The key of a catalogue row for a parameter: equal but for underscores, else a field that stands for it, else one of its twins
+    (lists of a parameter and its fields), else the one that holds it or is held by it with the nearest length; null without one.
+    """
     plain = lambda c: F.replace(F.lower(c), F.lit("_"), F.lit(""))
+    open_ = F.filter(keys, lambda k: ~F.startswith(k, F.lit("_")))
+    equal = lambda w, same: F.get(F.filter(open_, lambda k: same(k, F.lit(w))), 0)
+    first = lambda wanted, same: F.get(F.filter(F.array(*[equal(w, same) for w in wanted]), lambda k: k.isNotNull()), 0)
     ratio = lambda a, b: F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
 
     def find(p: Column) -> Column:
-        rows = F.transform(keys, lambda k, i: F.struct(F.when(plain(k) == p, 2.0).when(F.contains(plain(k), p) | F.contains(p, plain(k)), ratio(plain(k), p)).otherwise(0.0).alias("r"), (-i).alias("at"), k.alias("k")))
-        return let(F.array_max(rows), lambda m: F.when(m.r > 0, m.k))
+        rows = F.transform(open_, lambda k, i: F.struct(F.when(plain(k) == p, 2.0).when(F.contains(plain(k), p) | F.contains(p, plain(k)), ratio(plain(k), p)).otherwise(0.0).alias("r"), (-i).alias("at"), k.alias("k")))
+        near = let(F.array_max(rows), lambda m: F.when(m.r > 0, F.struct(m.r.alias("r"), m.k.alias("k"))))
+        chosen = [F.when(p.isin(*of), first(fields, lambda k, w: k == w)) for of, fields in STAND_INS.items()]
+        chosen += [F.when(p == plain(F.lit(one)), first(fields, lambda k, w: plain(k) == plain(w))) for one, *fields in twins]
+        return let(near, lambda m: F.coalesce(F.when(m.r == 2.0, m.k), *chosen, m.k))
 
     return let(plain(name), find)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.operators import ladder, masks
-from itemforge.sources.tables import WIDE_CATALOGUE, WIDE_MASK, WIDE_NAMES, wide_catalogue, wide_names
+from itemforge.operators import ladder, masks, validation
+from itemforge.sources.tables import WIDE_CATALOGUE, WIDE_EXAMPLES, WIDE_MASK, WIDE_NAMES, table, wide_catalogue, wide_names
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,30 @@ def match_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", F.inline("near")).select("name", F.col("rank").cast("long").alias("rank"), "ens_code", "similarity")
 
 
-QUERIES = {f.__name__: f for f in (match_types, match_statuses, match_proposals)}
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names against the catalogue rows that they were made from."""
+    asked = spark.sql(WIDE_EXAMPLES, part=table(spark, sf_dir, "part")).select("ens_code", F.col("name").alias("text"))
+    rows = asked.join(wide_catalogue(spark, sf_dir).select("ens_code", "attrs"), "ens_code")
+    std, item_type, pattern, params, required = WIDE_MASK
+    return validation.check(rows, pattern, params, required, std, item_type)
+
+
+def mask_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).select("ens_code", "stage", "success", F.inline("results")).select("ens_code", "stage", "success", "param", "status", "got", "expected")
+
+
+def mask_check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.summary(_checked(spark, sf_dir))
+
+
+def mask_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = masks.seed_masks(spark, [WIDE_MASK])
+    names = ladder.extract(wide_names(spark, sf_dir).select("name").distinct())
+    # every name meets the mask, also those of another standard
+    return validation.diagnosed(names.withColumn("mask_id", F.lit(1).cast("long")), rules)
+
+
+QUERIES = {f.__name__: f for f in (match_types, match_statuses, match_proposals, mask_checks, mask_check_summary, mask_diagnosis)}
 
 _TOKENS = "list_distinct(list_filter(list_transform(regexp_extract_all(lower({c}), '[a-zа-я0-9]+'), lambda t: regexp_replace(t, '[0-9]', '', 'g')), lambda t: t <> ''))"
 _SIM = "(len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))))"
@@ -86,7 +109,19 @@ _LADDER = (
   bad AS (SELECT DISTINCT name FROM st WHERE param <> 'покрытие' AND status IN ('mismatched', 'exact (in name)')
     AND NOT (param = 'длина' AND held IS NOT NULL AND abs(asked::double - held::double) < 20 AND abs(asked::double - held::double) / held::double < 0.1))"""
 )
+_CHECKS = f"""WITH c AS ({WIDE_CATALOGUE.format(part="part")}), e AS ({WIDE_EXAMPLES.format(part="part")}),
+  v AS (SELECT e.ens_code, kind, x.param, x.got, x.want, x.need FROM e JOIN c USING (ens_code), LATERAL (VALUES ('диаметр', e.size, c.size, true), ('шаг_резьбы', replace(e.step, ',', '.'), c.step, false), ('длина', e.length, c.length, true), ('покрытие', CASE WHEN kind <> 5 AND e.coating = 'Кд9.фос.окс' THEN 'Кд' ELSE e.coating END, c.coating, false)) x(param, got, want, need)),
+  r AS (SELECT ens_code, CASE kind WHEN 5 THEN 'tokens' ELSE 'pattern' END AS stage, param, got, want AS expected, CASE WHEN kind = 5 THEN 'found' WHEN want IS NULL THEN 'ok' WHEN got IS NULL THEN CASE WHEN need THEN 'missing' ELSE 'mismatch' END
+    WHEN param = 'покрытие' THEN CASE WHEN got = want OR contains(lower(want), lower(got)) OR contains(lower(got), lower(want)) THEN 'ok' ELSE 'mismatch' END WHEN replace(got, ',', '.') = replace(want, ',', '.') THEN 'ok' ELSE 'mismatch' END AS status FROM v),
+  t AS (SELECT ens_code, stage, stage = 'tokens' OR count(*) FILTER (status <> 'ok') = 0 AS success, count(*) FILTER (status = 'missing') > 0 AS lost, count(*) FILTER (status = 'mismatch') > 0 AS wrong FROM r GROUP BY 1, 2)"""
 ORACLES = {
+    "mask_checks": _CHECKS + " SELECT r.ens_code, r.stage, success, param, status, got, expected FROM r JOIN t USING (ens_code)",
+    "mask_check_summary": _CHECKS
+    + " SELECT count(*) AS total, count(*) FILTER (success) AS matched, count(*) FILTER (success) / count(*)::double AS score, count(*) FILTER (stage = 'pattern') AS by_pattern, count(*) FILTER (stage = 'tokens') AS by_tokens, count(*) FILTER (lost) AS missing, count(*) FILTER (wrong) AS mismatched FROM t",
+    "mask_diagnosis": f"""WITH n AS (SELECT min(kind) AS kind, size, step, length, coating, name FROM ({WIDE_NAMES.format(part="part")}) GROUP BY 2, 3, 4, 5, 6)
+      SELECT name, 'extract' AS stage, 'standard' AS key, CASE kind WHEN 5 THEN 'ОСТ 1 39999-80' ELSE 'ОСТ 1 31102-80' END AS value FROM n UNION ALL SELECT name, 'extract', 'item_type', 'болт' FROM n UNION ALL SELECT name, 'mask', 'id', '1' FROM n
+      UNION ALL SELECT name, 'match', k, v FROM n, LATERAL (VALUES ('диаметр', size), ('шаг_резьбы', step), ('длина', length), ('покрытие', coating)) x(k, v) WHERE kind <> 5
+      UNION ALL SELECT name, 'prefix', k, v FROM n, LATERAL (VALUES ('length', '0'), ('rest', name)) x(k, v) WHERE kind = 5""",
     "match_types": _LADDER
     + _NEAR
     + """ SELECT u.name, CASE kind WHEN 5 THEN 'tfidf' ELSE 'catalogue' END AS level, coalesce(fd.match_type, CASE WHEN nr.name IS NOT NULL THEN 'tfidf' END) AS match_type, coalesce(fd.ens_code, nr.ens_code) AS ens_code,

@@ -38,13 +38,16 @@ SELECT ens_code, size, step, length, coating, material, class, mass, packing, ma
   FROM {part}) w"""
 
 #: Names that ask for them: as they are, with another separator, with another coating, with a point and another length, without the step, of another standard.
-WIDE_NAMES = """
-SELECT DISTINCT kind, size, step, length, coating, concat('Болт ', size, CASE WHEN step IS NULL THEN '' ELSE concat('х', step) END, CASE kind WHEN 1 THEN 'х' ELSE '-' END, length, '-', coating, CASE kind WHEN 5 THEN '-ОСТ 1 39999-80' ELSE '-ОСТ 1 31102-80' END) AS name FROM (
-  SELECT p_partkey % 6 AS kind, CAST(p_size AS string) AS size,
+WIDE_ASKED = """
+  SELECT p_partkey AS ens_code, p_partkey % 6 AS kind, CAST(p_size AS string) AS size,
     CASE WHEN p_partkey % 6 = 4 THEN NULL WHEN p_partkey % 6 = 3 THEN CASE p_size % 3 WHEN 0 THEN '1.5' WHEN 1 THEN '1.25' ELSE '2' END ELSE CASE p_size % 3 WHEN 0 THEN '1,5' WHEN 1 THEN '1,25' ELSE '2' END END AS step,
     CAST(CAST(floor(p_retailprice) AS bigint) % 50 + CASE p_partkey % 6 WHEN 3 THEN 2 ELSE 1 END AS string) AS length,
     CASE WHEN p_partkey % 6 = 2 THEN 'Кд' ELSE CASE p_partkey % 4 WHEN 0 THEN 'Ан.Окс' WHEN 1 THEN 'Кд' WHEN 2 THEN 'Н.Кд' ELSE 'Кд9.фос.окс' END END AS coating
-  FROM {part}) w"""
+  FROM {part}"""
+_WIDE_NAME = """concat('Болт ', size, CASE WHEN step IS NULL THEN '' ELSE concat('х', step) END, CASE kind WHEN 1 THEN 'х' ELSE '-' END, length, '-', coating, CASE kind WHEN 5 THEN '-ОСТ 1 39999-80' ELSE '-ОСТ 1 31102-80' END)"""
+WIDE_NAMES = f"SELECT DISTINCT kind, size, step, length, coating, {_WIDE_NAME} AS name FROM ({WIDE_ASKED}) w"
+#: The same with the catalogue row that each was made from.
+WIDE_EXAMPLES = f"SELECT ens_code, kind, size, step, length, coating, {_WIDE_NAME} AS name FROM ({WIDE_ASKED}) w"
 WIDE_MASK = ("ОСТ 1 31102-80", "болт", r"^болт (\d+)(?:[xх]([\d.,]+))?[-х](\d+)-([\p{L}\d.]+)-ост 1 31102-80", ["диаметр", "шаг_резьбы", "длина", "покрытие"], ["диаметр", "длина"])
 
 
