@@ -61,6 +61,6 @@ def list_field(text: Column) -> Column:
 
 
 def cells(params: Column, most: int = 20) -> Column:
-    """Multi-line text of a bag; beyond most entries a line with the number of the others."""
+    """Multi-line text of a bag; with most entries or more, these and a line with the number of all."""
     lines = F.transform(F.slice(params, 1, most), lambda e: F.concat(e.k, F.lit("="), e.v))
-    return F.when(F.size(params) > most, F.concat(F.array_join(lines, "\n"), F.lit("\n... +"), (F.size(params) - most).cast("string"))).otherwise(F.array_join(lines, "\n"))
+    return F.when(F.size(params) >= most, F.concat(F.array_join(lines, "\n"), F.lit("\n... ("), F.size(params).cast("string"), F.lit(" всего)"))).otherwise(F.array_join(lines, "\n"))

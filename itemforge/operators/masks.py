@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemforge.functions.text import mask_hash
+from itemforge.functions.text import canonical_standard, mask_hash
 
 #: Masks with a known layout: (standard, item type, pattern, parameters, required).
 SEEDS = [
@@ -100,8 +100,19 @@ def cleanup(masks: DataFrame, least: float = 0.5) -> DataFrame:
     return masks.where(~((F.col("auto_score") < least) & ~F.col("is_active")) | F.col("auto_score").isNull())
 
 
-def save(masks: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by the hash of (standard, item type, pattern): a new row replaces the old one of its hash."""
+def save(masks: DataFrame, new: DataFrame, replace_existing: bool = False) -> DataFrame:
+    """Upsert by the hash of (canonical standard, item type, pattern): a new row replaces the old one of its hash.
+
+    replace_existing: a new row also replaces the newest mask of its standard and item type, and keeps its id. Of new rows with one hash
+    (or, to replace, of one standard and type) the last created stays.
+    """
     keyed = lambda df: df.withColumn("pattern_hash", mask_hash(F.col("standard"), F.col("item_type"), F.col("pattern")))
-    fresh = keyed(new).dropDuplicates(["pattern_hash"])
+    newest = lambda df, *keys: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("created_at").desc(), F.col("id").desc()))).where("_r = 1").drop("_r")
+    fresh = keyed(new.withColumn("standard", canonical_standard(F.col("standard"))))
+    fresh = newest(fresh, "standard", "item_type") if replace_existing else newest(fresh, "pattern_hash")
+    if replace_existing:
+        old = newest(masks, "standard", "item_type").select("standard", "item_type", F.col("id").alias("_id"))
+        fresh = fresh.join(old, ["standard", "item_type"], "left").withColumn("id", F.coalesce("_id", "id"))
+        masks = masks.join(fresh.where("_id is not null").select("id"), "id", "left_anti")
+        fresh = fresh.drop("_id").select(*[c for c in new.columns], "pattern_hash")
     return keyed(masks).join(fresh.select("pattern_hash"), "pattern_hash", "left_anti").unionByName(fresh, allowMissingColumns=True)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.functions.collections import cells
+from itemforge.functions.coating import reason
+from itemforge.functions.collections import cells, let
+from itemforge.functions.numbers import number, rounded
 from itemforge.functions.text import strip_controls
-from itemforge.operators.scoring import rounded
+from itemforge.operators.scoring import COATING, same_coating
 
 # Names of the match types in outputs.
 MATCH_NAMES = {
@@ -18,6 +20,10 @@ MATCH_NAMES = {
     "exact_substitution": "Точное совпадение (после замены покрытия)",
     "tfidf": "TF-IDF fallback",
 }
+# Outcomes of the check of parameters against the catalogue's, and words of their details.
+SKIPPED, FULL, FEWER, MORE, DIFFERENT = "∅ Пропущено", "✓ Полное совпадение", "⚠ Не хватает параметров в проверяемом", "⚠ Не хватает параметров в ЕНС", "✗ Несовпадение параметров"
+BOTH_EMPTY, ABSENT, OWN_ONLY, HELD_ONLY = "Оба пустые — нет данных для сверки", "Отсутствуют: ", "Уникальные в params: ", "Уникальные в ЕНС: "
+NOT_CHECKED = ["код", "mdm_key", "id", "наименование", "полное_наименование", "стандарт", "тип_изделия"]
 YES, NO, UNDEFINED = "Да", "Нет", "Не определено"
 #: Parameters that are left out of a comparison with the catalogue.
 NOT_COMPARED = ["код", "наименование", "полное_наименование", "mdm_key", "стандарт", "тип", "guid"]
@@ -41,6 +47,48 @@ def mismatched(detail: Column) -> Column:
     return F.when(F.size(wrong) > 0, F.to_json(wrong))
 
 
+def checked(params: Column, held: Column, read: Column) -> Column:
+    """struct<status, details>: parameters of a name against those of the candidate, held in its fields and else read in its name (bags).
+
+    Values are equal as texts without spaces, dashes and underscores, as numbers within 0.001, or as
+    coatings. Details name what differs in the order of params, or what one side alone has in the order of the names.
+    """
+    bag = "array<struct<k: string, v: string>>"
+    given = lambda b: F.filter(F.coalesce(b, F.array().cast(bag)), lambda e: F.trim(e.v) != "")
+    fields = F.filter(given(held), lambda e: ~F.startswith(e.k, F.lit("_")) & ~F.lower(e.k).isin(NOT_CHECKED))
+    plain = lambda c: F.translate(F.translate(F.lower(c), " -_", ""), ",", ".")
+
+    def same(k: Column, a: Column, b: Column) -> Column:
+        alike = (plain(a) == plain(b)) | (F.contains(k, F.lit(COATING)) & same_coating(a, b)) | (F.abs(number(plain(a)) - number(plain(b))) < 0.001)
+        return F.coalesce(alike, F.lit(False))
+
+    def told(p: Column, e: Column) -> Column:
+        of = lambda b, k: F.get(F.filter(b, lambda x: x.k == k), 0).v
+        has = lambda b, k: F.exists(b, lambda x: x.k == k)
+        wrong = F.filter(p, lambda x: has(e, x.k) & ~same(x.k, x.v, of(e, x.k)))
+        only_p, only_e = (F.array_sort(_without(a, b)) for a, b in ((p, e), (e, p)))
+        listed = lambda b: F.array_join(F.transform(b, lambda x: F.concat(x.k, F.lit("="), x.v)), "; ")
+        named = lambda b: F.array_join(F.transform(b, lambda x: x.k), ", ")
+        both = lambda s, d: F.struct(F.lit(s).alias("status"), d.alias("details"))
+        differing = F.array_join(F.transform(wrong, lambda x: F.concat(x.k, F.lit(": params="), x.v, F.lit(", ens="), of(e, x.k))), "; ")
+        return (
+            F.when((F.size(p) == 0) & (F.size(e) == 0), both(SKIPPED, F.lit(BOTH_EMPTY)))
+            .when(F.size(wrong) > 0, both(DIFFERENT, differing))
+            .when((F.size(only_p) == 0) & (F.size(only_e) == 0), both(FULL, F.lit("")))
+            .when(F.size(only_p) == 0, both(FEWER, F.concat(F.lit(ABSENT), listed(only_e))))
+            .when(F.size(only_e) == 0, both(MORE, F.concat(F.lit(ABSENT), listed(only_p))))
+            .otherwise(both(DIFFERENT, F.concat(F.lit(OWN_ONLY), named(only_p), F.lit("; " + HELD_ONLY), named(only_e))))
+        )
+
+    own = F.coalesce(params, F.array().cast(bag))
+    return let(own, lambda p: let(let(fields, lambda f: F.concat(f, _without(given(read), f))), lambda e: told(p, e)))
+
+
+def _without(a: Column, b: Column) -> Column:
+    """Entries of a bag whose keys the other one does not have."""
+    return F.filter(a, lambda x: ~F.exists(b, lambda y: y.k == x.k))
+
+
 def result_rows(items: DataFrame, matched: DataFrame, masks: DataFrame, name: str = "name") -> DataFrame:
     """items with the result columns of each row; matched as ladder.match gives it, a row for each distinct name.
 
@@ -51,7 +99,9 @@ def result_rows(items: DataFrame, matched: DataFrame, masks: DataFrame, name: st
     facts = matched.withColumnRenamed("name", "_name").join(patterns, "mask_id", "left").join(have, (F.col("std") == F.col("m_std")) & (F.lower("item_type") == F.col("m_type")), "left")
     text = lambda c: F.coalesce(strip_controls(c.cast("string")), F.lit(""))
     names = F.create_map(*[F.lit(x) for kv in MATCH_NAMES.items() for x in kv])
-    replaced = F.to_json(F.struct("original", "corrected", "material"))
+    replaced = F.to_json(F.struct("original", "corrected", "material", reason(F.col("material"), F.col("original")).alias("reason")))
+    verdict = checked(F.col("params"), F.col("ens_params"), F.col("ens_params_mask"))
+    flat = F.array_join(F.transform("ens_params_mask", lambda e: F.concat(e.k, F.lit("="), e.v)), ", ")
     columns = {
         "ens_code_out": F.substring(text(F.col("ens_code")), 1, 50),
         "ens_name_out": F.substring(text(F.col("ens_name")), 1, 500),
@@ -64,9 +114,14 @@ def result_rows(items: DataFrame, matched: DataFrame, masks: DataFrame, name: st
         "mask_text": text(F.col("mask_pattern")),
         "params_cell": cells(F.col("params")),
         "ens_params_cell": cells(F.col("ens_params")),
+        "ens_params_mask_cell": F.coalesce(cells(F.col("ens_params_mask")), F.lit("")),
+        "check_status": verdict.status,
+        "check_details": F.substring(verdict.details, 1, 1000),
+        "mask_params": text(flat),
         "std_out": text(F.col("std")),
         "type_out": text(F.col("item_type")),
         "mask_known": F.when(F.col("has_mask"), YES).otherwise(NO),
+        "details": text(F.to_json(F.struct("match_type", "mask_id", "detail", "near"))),
     }
     joined = items.join(facts, items[name].eqNullSafe(F.col("_name")), "left")
     return joined.select(*[items[c] for c in items.columns], *[v.alias(k) for k, v in columns.items()])

@@ -62,6 +62,13 @@ def cascade(text: Column) -> Column:
     return let(F.trim(text), lambda t: let(F.coalesce(*[family(t, *f) for f in FAMILIES]), leveled))
 
 
+def cascade_stats(parsed: DataFrame) -> DataFrame:
+    """total, and how many of a cascade's rows (level) each way read, with percentages; without rows they are null."""
+    ways = {"regex": F.col("level").like("regex%"), "llm": F.col("level").like("llm%"), "failed": F.col("level") == "failed"}
+    share = lambda w: F.round(F.try_divide(F.count_if(w) * 100.0, F.count("*")), 2)
+    return parsed.agg(F.count("*").alias("total"), *[F.count_if(w).alias(n) for n, w in ways.items()], *[share(w).alias(f"{n}_pct") for n, w in ways.items()])
+
+
 def described(params: Column) -> Column:
     """array<struct<name, value, unit>> of a bag."""
     units = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])

@@ -195,7 +195,7 @@ def catalogue_params(params: Column, attrs: Column, parsed: Column | None = None
     return own if parsed is None else let(own, lambda o: more(o, F.coalesce(parsed, F.array().cast("array<struct<k: string, v: string>>"))))
 
 
-def _same_coating(a: Column, b: Column) -> Column:
+def same_coating(a: Column, b: Column) -> Column:
     """Equal by catalogue code, or by the set of the code's parts between points."""
     parts = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower(c), r"\."), F.trim), lambda t: t != "")))
     return let(canonical(F.trim(a)), lambda x: let(canonical(F.trim(b)), lambda y: (x == y) | ((F.size(parts(x)) > 0) & (parts(x) == parts(y)))))
@@ -206,7 +206,7 @@ def exact_detail(params: Column, attrs: Column) -> Column:
 
     def one(e: Column) -> Column:
         def told(c: Column) -> Column:
-            same = lenient_equal(e.v, c) | ((e.k == COATING) & _same_coating(e.v, c))
+            same = lenient_equal(e.v, c) | ((e.k == COATING) & same_coating(e.v, c))
             status = F.when(c.isNull() | (F.trim(c) == ""), "no_ens_value").when(F.coalesce(same, F.lit(False)), "exact").otherwise("mismatched")
             return F.struct(e.k.alias("k"), e.v.alias("v"), c.alias("value"), F.lit(1.0).alias("weight"), F.when(status == "exact", 1.0).otherwise(0.0).alias("gain"), status.alias("status"))
 

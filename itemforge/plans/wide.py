@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.operators import ladder, masks, validation
+from itemforge.operators import ladder, masks, output, validation
 from itemforge.sources.tables import WIDE_CATALOGUE, WIDE_EXAMPLES, WIDE_MASK, WIDE_NAMES, table, wide_catalogue, wide_names
 
 
@@ -51,7 +51,14 @@ def mask_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.diagnosed(names.withColumn("mask_id", F.lit(1).cast("long")), rules)
 
 
-QUERIES = {f.__name__: f for f in (match_types, match_statuses, match_proposals, mask_checks, mask_check_summary, mask_diagnosis)}
+def batch_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of each name's parameters in the result rows, with what differs."""
+    names = wide_names(spark, sf_dir).select("name").distinct()
+    rows = output.result_rows(names, _matched(spark, sf_dir), masks.seed_masks(spark, [WIDE_MASK]))
+    return rows.select("name", "check_status", F.when(F.col("check_status") == output.DIFFERENT, F.col("check_details")).alias("differing"), "mask_known", F.get_json_object("substitution", "$.reason").alias("reason"))
+
+
+QUERIES = {f.__name__: f for f in (match_types, match_statuses, match_proposals, mask_checks, mask_check_summary, mask_diagnosis, batch_check)}
 
 _TOKENS = "list_distinct(list_filter(list_transform(regexp_extract_all(lower({c}), '[a-zа-я0-9]+'), lambda t: regexp_replace(t, '[0-9]', '', 'g')), lambda t: t <> ''))"
 _SIM = "(len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))))"
@@ -128,6 +135,13 @@ ORACLES = {
       coalesce(fd.score, least(round_even(round(nr.sim, 6), 3), 1.0), 0.0) AS confidence,
       CASE WHEN fd.name IS NULL THEN false WHEN corrected IS NOT NULL THEN true ELSE fd.score >= 0.7 AND u.step IS NOT NULL AND (fd.match_type = 'exact' OR u.name NOT IN (SELECT name FROM bad)) END AS success, original, corrected, material
     FROM used u LEFT JOIN found fd ON fd.name = u.name LEFT JOIN near nr ON nr.name = u.name AND nr.rank = 1""",
+    "batch_check": _LADDER
+    + """, k AS (SELECT u.name, v.i, v.param, v.asked, v.held, CASE WHEN v.param = 'покрытие' THEN v.asked <> v.held ELSE replace(v.asked, ',', '.')::double <> replace(v.held, ',', '.')::double END AS wrong
+      FROM used u JOIN found fd ON fd.name = u.name JOIN c ON c.ens_code = fd.ens_code, LATERAL (VALUES (0, 'диаметр', u.size, coalesce(c.size, regexp_extract(c.cand_name, '^Болт ([0-9]+)', 1))), (1, 'шаг_резьбы', u.step, c.step), (2, 'длина', u.length, coalesce(c.length, regexp_extract(c.cand_name, '-([0-9]+)-', 1))), (3, 'покрытие', u.coating, c.coating)) v(i, param, asked, held)
+      WHERE v.asked IS NOT NULL),
+    w AS (SELECT name, string_agg(param || ': params=' || asked || ', ens=' || held, '; ' ORDER BY i) AS differing FROM k WHERE wrong GROUP BY name)
+    SELECT u.name, CASE WHEN w.name IS NULL THEN '⚠ Не хватает параметров в проверяемом' ELSE '✗ Несовпадение параметров' END AS check_status, w.differing, CASE kind WHEN 5 THEN 'Нет' ELSE 'Да' END AS mask_known,
+      CASE corrected WHEN 'Н.Кд' THEN 'Для коррозионно-стойкой стали Кд заменяется на Н.Кд' WHEN 'Ан.Окс' THEN 'Для сплава Д1П покрытие Кд не допускается, применяется Ан.Окс' END AS reason FROM used u LEFT JOIN w ON w.name = u.name""",
     "match_statuses": _LADDER + " SELECT name, param, asked, held, status FROM st",
     "match_proposals": _BASE.rstrip().rstrip(",") + _NEAR + " SELECT name, rank, ens_code, round(sim, 6) AS similarity FROM near",
 }
