@@ -53,3 +53,15 @@ def detect(text: Column, prompts: dict[str, list[str]]) -> Column:
 def tasks(items: DataFrame, prompts: dict[str, list[str]]) -> DataFrame:
     """A row for each item and prompt that matches."""
     return items.withColumn("prompt", F.explode(matches(F.col("text"), prompts)))
+
+# Item types that a category implies; another category is its own type.
+IMPLIED = {"hardware": "крепеж", "hardware_washer": "шайба", "rolledmetal": "прокат", "eri": "эри", "ekb": "экб"}
+
+
+def implicit_types(rows: DataFrame, names: list[str], prompts: dict[str, list[str]] = PROMPTS) -> DataFrame:
+    """rows with detected_kind, detection_confidence and implicit_type by the first name that is not blank; null without a name or a keyword."""
+    name = F.coalesce(*[F.when(F.trim(n) != "", F.col(n)) for n in names])
+    found = detect(name, prompts)
+    kind = F.when(name.isNotNull(), found.kind)
+    table = F.create_map(*[F.lit(x) for kv in IMPLIED.items() for x in kv])
+    return rows.withColumns({"detected_kind": kind, "detection_confidence": F.when(kind.isNotNull(), found.confidence), "implicit_type": F.coalesce(F.element_at(table, F.lower(kind)), kind)})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from itemforge.operators import ladder, upsert
-from itemforge.operators.cut import scope
+from itemforge.operators.cut import cut, scope
 
 
 class VersionedStore:
@@ -42,14 +44,25 @@ class VersionedStore:
         out.write.mode("overwrite").parquet(f"{self.path}/v{version}")
 
 
-def match_stream(names: DataFrame, masks: DataFrame, catalogue: DataFrame, store: VersionedStore, checkpoint: str) -> StreamingQuery:
-    """Matches each batch of names (streaming, column name) and upserts the results; ends when all input is read."""
+def observed(found: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """found with counts that are taken while it is written, without a pass of their own: names, success, failed, proposed."""
+    seen = Observation(name)
+    good = F.count_if("success")
+    return found.observe(seen, F.count("*").alias("names"), good.alias("success"), (F.count("*") - good).alias("failed"), F.count_if(F.col("match_type") == "tfidf").alias("proposed")), seen
+
+
+def match_stream(names: DataFrame, masks: DataFrame, catalogue: DataFrame, store: VersionedStore, checkpoint: str, progress: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
+    """Matches each batch of names (streaming, column name) and upserts the results; ends when all input is read.
+
+    progress is told the number and the counts of each batch when its results are stored. A batch that is run again is told again.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         with scope(batch.sparkSession):
-            write(ladder.match(batch, masks, catalogue), number)
-
-    def write(found: DataFrame, number: int) -> None:
-        store.write(found.select("name", F.lit(None).cast("string").alias("article"), "ens_code", "match_type", "confidence", "success"), number)
+            found = ladder.match(batch, masks, catalogue).select("name", F.lit(None).cast("string").alias("article"), "ens_code", "match_type", "confidence", "success")
+            counted, seen = observed(found, f"batch-{number}")
+            store.write(cut(counted, "results"), number)
+            if progress is not None:
+                progress(number, seen.get)
 
     return names.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -53,3 +53,22 @@ def test_saved_masks(spark):
     assert told(masks.save(old, new, replace_existing=True)) == {(1, "ОСТ 1 5-80", "^a"), (2, "ОСТ 1 5-80", "^e"), (3, "ГОСТ 7-80", "^c"), (11, "ГОСТ 8-80", "^f")}
     again = spark.createDataFrame([row(20, "ОСТ 1 5-80", "^a", 9)], schema)
     assert told(masks.save(old, again)) == {(20, "ОСТ 1 5-80", "^a"), (2, "ОСТ 1 5-80", "^b"), (3, "ГОСТ 7-80", "^c")}
+
+
+def test_coatings_by_reference(spark):
+    from itemforge.functions import coating
+
+    reference = spark.createDataFrame([("Кд.хр", "Кадмирование", "Кд-осн"), ("Окс.Фос.ЭФП", None, None), ("Ц", "Цинкование", "Кадмирование"), ("", "пусто", None)], "ens string, gost string, ost string")
+    cases = {"Кд.хр": "Кд.хр", " Кд.хр. ": "Кд.хр", "Кадмирование": "Кд.хр", "Кд-осн": "Кд.хр", "Фос.Окс.ЭФП": "Окс.Фос.ЭФП", "Кд3.хр": "Кд.хр", "КД9-ХР": "Кд.хр", "ц6": "Ц", "нет": None, "": None, None: None}
+    rows = spark.createDataFrame([(c,) for c in [*cases, "Ц", "Ц"]], "coating string")
+    got = coating.by_reference(rows, reference).collect()
+    assert len(got) == len(cases) + 2 and {r.coating: r.ens_coating for r in got} == cases | {"Ц": "Ц"}
+
+
+def test_implicit_types(spark):
+    from itemforge.operators import routing
+
+    rows = spark.createDataFrame([("Шайба 5", None), (None, "Болт М6"), (None, None), ("", "Труба 10")], "full_name string, name string")
+    got = routing.implicit_types(rows, ["full_name", "name"]).collect()
+    assert [(r.detected_kind, r.implicit_type) for r in got][2] == (None, None)
+    assert got[1].implicit_type == "крепеж" and got[3].implicit_type == "прокат" and 0 < got[1].detection_confidence <= 1

@@ -11,12 +11,15 @@ def test_stream_equals_batch(spark, tmp_path):
     names = item_names(spark, oracle.DATA).select("name").distinct().where("name like 'Болт (1)%' or name like 'Гайка%'")
     names.write.parquet(f"{tmp_path}/in")
     store = VersionedStore(spark, f"{tmp_path}/store", ["name"])
+    told = []
     for _ in range(2):
         source = spark.readStream.schema("name string").parquet(f"{tmp_path}/in")
-        match_stream(source, masks.seed_masks(spark), catalogue(spark, oracle.DATA), store, f"{tmp_path}/check").awaitTermination()
+        match_stream(source, masks.seed_masks(spark), catalogue(spark, oracle.DATA), store, f"{tmp_path}/check", lambda number, counts: told.append((number, counts))).awaitTermination()
     got = sorted(map(tuple, store.read().select("name", "ens_code", "match_type").collect()), key=repr)
     want = ladder.match(names, masks.seed_masks(spark), catalogue(spark, oracle.DATA)).select("name", "ens_code", "match_type")
     assert got == sorted(map(tuple, want.collect()), key=repr)
+    good = store.read().where("success").count()
+    assert told == [(0, {"names": len(got), "success": good, "failed": len(got) - good, "proposed": 0})]
 
 
 def test_load_items(spark):
