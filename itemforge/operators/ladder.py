@@ -15,7 +15,7 @@ from itemforge.functions import coating, text
 from itemforge.functions.collections import field_value
 from itemforge.operators import masks as M
 from itemforge.operators import scoring, tfidf
-from itemforge.operators.cut import cut
+from itemforge.operators.cut import cut, merged
 
 SIGNATURE_LEAST, SIGNATURE_RATIO = 4, 0.70
 #: Field number of the runs of digits in a name.
@@ -248,7 +248,7 @@ def match(names: DataFrame, masks: DataFrame, catalogue: DataFrame, success_thre
     Names without a standard or an item type are for a language model (level llm_direct). Those without a
     mask or a block of the catalogue get the nearest names by TF-IDF as proposals (level tfidf, near), never as a success.
     """
-    bag = "array<struct<k: string, v: string>>"
+    bag, catalogue = "array<struct<k: string, v: string>>", merged(catalogue)
     # tables: else a condition on what is extracted moves below the distinct, to every row
     distinct = cut(names.select("name").distinct(), "names")
     parsed = M.parse(M.attach_masks(extract(distinct), masks), masks, "clean")
