@@ -25,6 +25,20 @@ def with_execution(text: Column, attrs: Column) -> Column:
     return F.when(value.isNull() | there | (at == 0), text).otherwise(changed)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over the tasks of a shuffle: the work on a row is dear, and a table of a few megabytes would be one task's."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def each_result(checked: DataFrame, *columns: str) -> DataFrame:
+    """columns with param, status, got, expected of each result.
+
+    Outer: a plain inline has the optimizer test the results for emptiness below, with all that they are made of computed again.
+    """
+    return checked.select(*columns, F.inline_outer("results")).where("param is not null")
+
+
 def check(rows: DataFrame, pattern: str, params: list[str], required: list[str], std: str, item_type: str, skip: list[str] = (), twins: list[list[str]] = ()) -> DataFrame:
     """rows (text, attrs: array<struct<k, v>>) with stage, success and results: array<struct<param, status, got, expected>>.
 
@@ -36,22 +50,24 @@ def check(rows: DataFrame, pattern: str, params: list[str], required: list[str],
     """
     checked = [p for p in params if p not in skip]
     optional = [p for p in params if p not in required and p not in META_ONLY]
-    text = with_execution(F.trim(F.col("text")), F.col("attrs"))
-    keys = F.transform("attrs", lambda e: e.k)
+    text, keys = F.col("_text"), F.transform("attrs", lambda e: e.k)
 
     def expected(p: str) -> Column:
         return let(expected_key(keys, F.lit(p), twins), lambda key: F.get(F.filter("attrs", lambda e: e.k == key), 0).v)
 
     found = text.rlike(f"(?iu){pattern}")
     groups = F.filter(F.array(*[F.struct(F.lit(p).alias("k"), F.nullif(F.trim(F.regexp_extract(text, f"(?iu){pattern}", i + 1)), F.lit("")).alias("v")) for i, p in enumerate(params)]), lambda e: e.v.isNotNull())
-    read = normalized(as_map(groups), F.lit(std))
+    read = let(groups, lambda g: normalized(as_map(g), F.lit(std)))
     tokens = by_position(text, F.lit(std), item_type, params, set(params) - set(required))
-    staged = rows.withColumns({"_found": F.coalesce(found, F.lit(False)), "_read": read, "_tokens": tokens})
+    every = [p for p in checked if p in required or p in optional]
+    # each step is a column of its own, computed once; only the reading that the stage needs
+    staged = spread(rows).withColumn("_text", with_execution(F.trim(F.col("text")), F.col("attrs"))).withColumn("_found", F.coalesce(found, F.lit(False)))
+    staged = staged.withColumns({"_read": F.when(F.col("_found"), read), "_tokens": F.when(~F.col("_found"), tokens), "_wanted": F.array(*map(expected, every)).cast("array<string>")})
     stage = F.when(F.col("_found"), "pattern").when(F.coalesce(F.size("_tokens"), F.lit(0)) > 0, "tokens").otherwise("none")
     staged = staged.withColumn("stage", F.when(F.trim("text") != "", stage).otherwise("none"))
 
-    def result(p: str) -> Column:
-        got, want = F.element_at("_read", p), expected(p)
+    def result(i: int, p: str) -> Column:
+        got, want = F.element_at("_read", p), F.get("_wanted", F.lit(i))
         blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
         lost, wrong = ("missing" if p in required else "mismatch"), ~F.coalesce(values_match(got, want, F.lit(p)), F.lit(False))
         by_pattern = F.when(blank(want), "ok").when(blank(got), lost).when(wrong, "mismatch").otherwise("ok")
@@ -59,10 +75,9 @@ def check(rows: DataFrame, pattern: str, params: list[str], required: list[str],
         told = F.when(F.col("stage") == "pattern", by_pattern).when(F.col("stage") == "tokens", F.when(by_token.isNotNull(), "found").otherwise("absent")).otherwise("unread")
         return F.struct(F.lit(p).alias("param"), told.alias("status"), F.when(F.col("stage") == "pattern", got).when(F.col("stage") == "tokens", by_token).alias("got"), want.alias("expected"))
 
-    every = [result(p) for p in checked if p in required or p in optional]
-    results = F.array(*every) if every else F.array().cast("array<struct<param: string, status: string, got: string, expected: string>>")
+    results = F.array(*[result(i, p) for i, p in enumerate(every)]) if every else F.array().cast("array<struct<param: string, status: string, got: string, expected: string>>")
     shown = F.filter(results, lambda r: (F.col("stage") != "none") | r.param.isin([p for p in checked if p in required]))
-    out = staged.withColumn("results", shown).drop("_found", "_read", "_tokens")
+    out = staged.withColumn("results", shown).drop("_text", "_found", "_read", "_tokens", "_wanted")
     return out.withColumn("success", (F.col("stage") == "tokens") | ((F.col("stage") == "pattern") & ~F.exists("results", lambda r: r.status != "ok")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.operators import ladder, masks, output, validation
+from itemforge.operators.cut import merged
 from itemforge.sources.tables import WIDE_CATALOGUE, WIDE_EXAMPLES, WIDE_MASK, WIDE_NAMES, table, wide_catalogue, wide_names
 
 
@@ -31,13 +32,13 @@ def match_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names against the catalogue rows that they were made from."""
     asked = spark.sql(WIDE_EXAMPLES, part=table(spark, sf_dir, "part")).select("ens_code", F.col("name").alias("text"))
-    rows = asked.join(wide_catalogue(spark, sf_dir).select("ens_code", "attrs"), "ens_code")
+    rows = asked.join(merged(wide_catalogue(spark, sf_dir).select("ens_code", "attrs")), "ens_code")
     std, item_type, pattern, params, required = WIDE_MASK
     return validation.check(rows, pattern, params, required, std, item_type)
 
 
 def mask_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checked(spark, sf_dir).select("ens_code", "stage", "success", F.inline("results")).select("ens_code", "stage", "success", "param", "status", "got", "expected")
+    return validation.each_result(_checked(spark, sf_dir), "ens_code", "stage", "success")
 
 
 def mask_check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

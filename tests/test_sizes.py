@@ -1,8 +1,10 @@
 """Plans that hold for large tables."""
 
+import oracle
 from pyspark.sql import functions as F
 
 from itemforge.operators.cut import cut, scope
+from itemforge.plans import wide
 
 
 def test_cut_tables_are_not_broadcast_by_the_size_of_their_files(spark):
@@ -15,3 +17,11 @@ def test_cut_tables_are_not_broadcast_by_the_size_of_their_files(spark):
         assert "Broadcast" not in plan(spark.range(400_000).join(large.select("id"), "id", "left_anti"))
         assert "BroadcastHashJoin" in plan(spark.range(400_000).join(small, "id"))
         assert large.count() == 400_000
+
+
+def test_mask_checks_search_each_text_once(spark):
+    """The pattern stands in the plan once for the search and twice (nullif) for each group; rows go to many tasks."""
+    df = wide.mask_checks(spark, oracle.DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?iu)^болт") == 1 + 2 * len(wide.WIDE_MASK[3])
+    assert "Repartition" in plan and "Generate inline" in plan
