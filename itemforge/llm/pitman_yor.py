@@ -8,16 +8,19 @@ restaurant of the word before it.
 Contexts are as many as words, so no table of them is ever sent to all: a restaurant is whole in one
 partition of the context space, and what it needs of the root, a probability for each of its dishes,
 travels by join. Only words with a HOT_SHARE of the tokens or more, so a bounded number, have their
-restaurant split over all partitions by dish; each part then knows the whole number of customers and
-estimates the tables of the whole by its own share of the dishes.
-
-Seating is sampled by Gibbs. It starts with one table for each dish in each restaurant; these tables
-are the root's customers. The root's table numbers are drawn from their exact conditional (stirling)
-given its totals, BURN_IN + SAMPLES times, and the last SAMPLES states give the root's mean
-probabilities. Given the root, restaurants are independent: each is resampled BURN_IN + SAMPLES times
-in its partition, a quarter of its dishes at a time (chosen by hash) against the tables of the others as they
-stand, and the last SAMPLES states' predictive probabilities are averaged. Draws are hashes of word,
-context and round, so a rerun of a lost task repeats them.
+restaurant split over all partitions by dish; each part then knows the customers of the whole, and its tables
+as they were at the end of the round before.
+
+Seating is sampled by Gibbs over root and restaurants together. It starts with one table for each dish in
+each restaurant. The tables of the restaurants are the root's customers, in every round anew: a round
+resamples the tables of every restaurant given the root's distribution, counts them by word, resamples the
+root's tables from their exact conditional (stirling) given these customers, and draws the root's distribution
+given both (gammas, normalised; what falls to new tables is spread by the base, its mean). Given that
+distribution restaurants are independent; within one a quarter of the dishes is taken at a time (chosen
+by hash) against the tables of the others as they stand. The last SAMPLES of BURN_IN + SAMPLES states are kept whole,
+tables of restaurants and root, and the predictive probabilities of each are averaged. A dish
+with one customer has one table for good, so that a round moves only dishes with several and two numbers for
+each word of a partition. Draws come from partition, place and round, so a rerun of a lost task repeats them.
 
 Texts are read three times: for hot words, for the contexts of each word, and for scoring, where a
 word, context and document go together once with their number; the training counts of a partition are
@@ -41,19 +44,22 @@ from pyspark.sql import functions as F
 
 from itemforge.llm.sampling import remainder
 from itemforge.llm.stirling import seat
-from itemforge.llm.storage import delete, materialise, scope, setting
+from itemforge.llm.storage import delete, materialise, scope
 from itemforge.llm.words import Texts, U, mix, slices, trim
 
 DISCOUNT, STRENGTH = (0.6, 0.75), (20.0, 2.0)  # root, words
 BURN_IN, SAMPLES, COLOURS = 2, 3, 4
 HOT_SHARE = 1 / 200
 BYTES_PER_PART = 9_000_000
+PARTS_PER_HOME = 4
 FLUSH_TOKENS = 600_000
 SLICE = 1 << 20
 END = 0x5EED0FEA7E47E0D1
 MODULUS, HELD_OUT = 7, 2
 #: Kinds of rows that meet in a partition.
-TOKENS, DOCS, ROOT = 0, 1, 2
+TOKENS, DOCS, ROOT, SEATS, TABLES, DRAWN = range(6)
+#: Rows of the sampler's state; the last three columns are sums of a ROOT row.
+STATE = "part int, kind int, source int, blob binary, state binary, customers double, tables double, drawn double"
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -62,9 +68,15 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of wide numbers by significance: the high ones of sorted hashes and of sums hardly change, and are compressed."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T if x.itemsize > 2 else x
+
+
 def pack(*columns: np.ndarray) -> bytes:
+    columns = [np.ascontiguousarray(c) for c in columns]
     head = struct.pack("<q", len(columns)) + b"".join(struct.pack("<4sq", c.dtype.str.encode(), len(c)) for c in columns)
-    return head + b"".join(c.tobytes() for c in columns)
+    return head + b"".join(_planes(c).tobytes() for c in columns)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -72,8 +84,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     at, out = 8 + 12 * n, []
     for i in range(n):
         kind, size = struct.unpack_from("<4sq", blob, 8 + 12 * i)
-        out.append(np.frombuffer(blob, kind.rstrip(b"\0").decode(), size, at))
-        at += out[-1].nbytes
+        dtype = np.dtype(kind.rstrip(b"\0").decode())
+        if dtype.itemsize > 2:
+            out.append(np.frombuffer(blob, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, -1).T.copy().view(dtype).ravel())
+        else:
+            out.append(np.frombuffer(blob, dtype, size, at))
+        at += size * dtype.itemsize
     return out
 
 
@@ -159,9 +175,53 @@ def _place(words: np.ndarray, w: np.ndarray, v: np.ndarray, hot: np.ndarray, par
     return out
 
 
-def _home(word: np.ndarray, parts: int) -> np.ndarray:
-    """Partition of a word in the root."""
-    return (mix(word ^ U(0x2545F4914F6CDD1D)) % U(parts)).astype(np.int64)
+def _by_home(words: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words in order of their partition in the root, and where each partition's begin."""
+    home = (mix(words ^ U(0x2545F4914F6CDD1D)) % U(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    return order, np.searchsorted(home[order], np.arange(homes + 1))
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    """Of STATE; what a row does not have is null."""
+    fields = [("part", pa.int32()), ("kind", pa.int32()), ("source", pa.int32()), ("blob", pa.binary()), ("state", pa.binary()), ("customers", pa.float64()), ("tables", pa.float64()), ("drawn", pa.float64())]
+    return pa.table({name: pa.array([r[i] if i < len(r) else None for r in rows], kind) for i, (name, kind) in enumerate(fields)})
+
+
+def _lists(table: pa.Table, *columns: str) -> list[tuple]:
+    """Rows of a group; a side of a cogroup without rows comes without columns."""
+    return list(zip(*(table.column(c).to_pylist() for c in columns), strict=True)) if table.num_rows else []
+
+
+class Seats:
+    """The dishes with several customers in the restaurants of a partition; a dish with one has one table for good."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray, n: np.ndarray, fixed: np.ndarray, hot: np.ndarray, seed: int = 0):
+        """v, w, n: restaurant, word and customers of each; fixed: tables of the other dishes of each restaurant; hot: its place among the hot words, or -1."""
+        self.v, self.w, self.n, self.fixed, self.hot = v, w, n.astype(float), fixed, hot
+        self.t, self.elsewhere = np.ones(len(n)), np.zeros(len(fixed))
+        self.seeds = mix(np.arange(len(n)).astype(np.uint64) + mix(np.array([seed], np.uint64)))
+        colour = self.seeds % U(COLOURS)
+        self.colours = [np.flatnonzero(colour == U(c)) for c in range(COLOURS)]
+
+    def here(self) -> np.ndarray:
+        """Tables of each restaurant in this partition."""
+        return self.fixed + np.bincount(self.v, weights=self.t, minlength=len(self.fixed))
+
+    def tables(self) -> np.ndarray:
+        return self.here() + self.elsewhere
+
+    def place(self, t: np.ndarray, totals: np.ndarray) -> None:
+        """Take these tables; totals: those of the hot restaurants in all partitions, in the same state."""
+        self.t = t.astype(float)
+        split = np.flatnonzero(self.hot >= 0)
+        self.elsewhere[split] = np.maximum(0, totals[self.hot[split]] - self.here()[split])
+
+    def sweep(self, root: np.ndarray, round_: int) -> None:
+        for own in self.colours:
+            if len(own):
+                others = np.maximum(0, self.tables()[self.v[own]] - self.t[own])
+                self.t[own] = seat(DISCOUNT[1], STRENGTH[1], self.n[own], others, root[self.w[own]], self.seeds[own] + U(round_))
 
 
 def _send(parts: int, hot: np.ndarray, with_docs: bool):  # noqa: ANN202  a function of batches for mapInArrow
@@ -246,61 +306,78 @@ class Restaurants:
         return np.bincount(self.v, minlength=len(self.contexts)).astype(float)
 
     def by_word(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each word its restaurants and its tokens of training."""
+        """For each word its restaurants, which are its tables before the first round, and its tokens of training."""
         return np.bincount(self.w, minlength=len(self.words)), np.bincount(self.w, weights=self.n, minlength=len(self.words)).astype(np.int64)
 
+    def several(self, seed: int = 0) -> Seats:
+        self.rows = np.flatnonzero(self.n > 1)
+        fixed = np.bincount(self.v[self.n == 1], minlength=len(self.contexts)).astype(float)
+        return Seats(self.v[self.rows], self.w[self.rows], self.n[self.rows], fixed, self.hot, seed)
+
+    def seats(self, homes: int) -> bytes:
+        """What a round needs: words by their number in the order of the root's partitions, and only restaurants with something to sample or hot ones."""
+        own = self.several()
+        order, cut = _by_home(self.words, homes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        single = np.bincount(self.w[self.n == 1], minlength=len(self.words))[order]
+        size = np.bincount(own.v, minlength=len(self.contexts))
+        some = np.flatnonzero((size > 0) | (own.hot >= 0))
+        return pack(narrow(np.diff(cut)), narrow(single), narrow(size[some]), narrow(own.fixed[some].astype(np.int64)), own.hot[some].astype(np.int32), narrow(rank[own.w]), narrow(own.n.astype(np.int64)))
+
     def open(self, root: np.ndarray, totals: np.ndarray) -> None:
-        """root: probability of each word; totals: customers and dishes of the hot restaurants in all partitions."""
-        self.root, self.all, self.share = root, self.customers(), np.ones(len(self.contexts))
+        """root: probability of each word; totals: customers and tables of the hot restaurants in all partitions."""
+        self.all, self.sitting = self.customers(), self.several()
         split = np.flatnonzero(self.hot >= 0)
         self.all[split] = totals[self.hot[split], 0]
-        own = self.dishes()[split]
-        self.share[split] = np.where(own > 0, totals[self.hot[split], 1] / np.maximum(own, 1), 1)
-        self.t = np.ones(len(self.n))
-        rows = np.flatnonzero(self.n > 1)  # a single customer has one table
-        colour = (mix(self.words[self.w[rows]] + U(1)) % U(COLOURS)).astype(np.int64)
-        self.rows = [rows[colour == c] for c in range(COLOURS)]
-        self.seeds = [mix(self.words[self.w[x]] ^ mix(self.contexts[self.v[x]])) for x in self.rows]
-        self.states, self.above, self.rest = 0, np.zeros(len(self.n)), np.zeros(len(self.contexts))
-        self._sum()
-
-    def _sum(self) -> None:
-        self.tables = np.bincount(self.v, weights=self.t, minlength=len(self.contexts)) * self.share
+        self.t, self.above, self.kept = np.ones(len(self.n)), np.zeros(len(self.n)), []
+        self.place(np.ones(len(self.rows)), root, totals[:, 1])
+
+    def place(self, t: np.ndarray, root: np.ndarray, totals: np.ndarray) -> None:
+        """A state: tables of the dishes with several customers, root, tables of the hot restaurants in all partitions."""
+        self.root = root
+        self.sitting.place(t, totals)
+        self.t[self.rows] = self.sitting.t
 
     def sweep(self, round_: int) -> None:
-        for own, seed in zip(self.rows, self.seeds, strict=True):
-            if len(own):
-                others = np.maximum(0, self.tables[self.v[own]] - self.t[own])
-                self.t[own] = seat(DISCOUNT[1], STRENGTH[1], self.n[own], others, self.root[self.w[own]], seed + U(round_))
-                self._sum()
+        self.sitting.sweep(self.root, round_)
+        self.t[self.rows] = self.sitting.t
+
+    def _shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the present state: what each dish has for itself, what each restaurant leaves to the root."""
+        return np.maximum(0, self.n - DISCOUNT[1] * self.t), STRENGTH[1] + DISCOUNT[1] * self.sitting.tables()
 
     def keep(self) -> None:
-        """Add a state to the mean; probabilities are linear in what is added."""
-        self.states += 1
-        self.above += np.maximum(0, self.n - DISCOUNT[1] * self.t)
-        self.rest += STRENGTH[1] + DISCOUNT[1] * self.tables
+        """Add the state to the mean."""
+        above, rest = self._shares()
+        self.above += above
+        self.kept.append((rest, self.root))
 
     def predict(self, v: np.ndarray, w: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """Mean probability, over the states kept, of words after contexts (indices); at: their rows, -1 for none. Without a kept state that of the present one."""
         at = _member(v * len(self.words) + w, self.key) if at is None else at
-        states, above, rest = self.states, self.above, self.rest
-        if not states:
-            states, above, rest = 1, np.maximum(0, self.n - DISCOUNT[1] * self.t), STRENGTH[1] + DISCOUNT[1] * self.tables
-        return (np.append(above, 0)[at] + rest[v] * self.root[w]) / (states * (STRENGTH[1] + self.all))[v]
+        kept, above = self.kept, self.above
+        if not kept:
+            above, rest = self._shares()
+            kept = [(rest, self.root)]
+        below = sum(rest[v] * root[w] for rest, root in kept)
+        return (np.append(above, 0)[at] + below) / (len(kept) * (STRENGTH[1] + self.all))[v]
 
 
 class Root:
-    """The root's customers of the words of a partition."""
+    """The words of a partition of the root, with its customers before the first round."""
 
     def __init__(self, blob: bytes):
         words, customers, tokens, *asked = unpack(blob)
         self.words, self.n, self.tokens = words, customers.astype(float), tokens.astype(np.int64)
+        sources, sizes, steps = asked
+        cut = np.append(0, np.cumsum(sizes)).tolist()
         #: Partitions that have asked, and the places of their words, in their order.
-        self.asked = asked
+        self.asked = {s: np.cumsum(steps[a:b], dtype=np.int64) for s, a, b in zip(sources.tolist(), cut[:-1], cut[1:], strict=True)}
 
 
-def contexts_of_words(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """part, kind, blob: of kind ROOT the root's customers of a partition, of kind DOCS customers and dishes of hot restaurants."""
+def contexts_of_words(docs: DataFrame, parts: int, homes: int, hot: np.ndarray) -> DataFrame:
+    """Rows of STATE: of kind ROOT the words of a partition of the root, of kind SEATS the restaurants of a partition, of kind DOCS customers and dishes of hot restaurants."""
 
     def ask(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -308,24 +385,26 @@ def contexts_of_words(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame
         kinds, tokens = own.by_word()
         own.asked.clear()
         own.at.clear()
-        out = [(p, ROOT, part, pack(own.words[x], narrow(kinds[x]), narrow(tokens[x]))) for p, x in _split(_home(own.words, parts), parts)]
+        order, cut = _by_home(own.words, homes)
+        out = [(p, ROOT, part, pack(own.words[x], narrow(kinds[x]), narrow(tokens[x]))) for p, x in ((p, order[cut[p] : cut[p + 1]]) for p in np.flatnonzero(np.diff(cut)).tolist())]
+        out.append((part, SEATS, part, own.seats(homes)))
         split = np.flatnonzero(own.hot >= 0)
         if len(split):
             out.append((0, DOCS, part, pack(own.hot[split], own.customers()[split], own.dishes()[split])))
-        to, kind, source, blob = zip(*out, strict=True)
         del own
         trim()
-        return pa.table({"part": pa.array(to, pa.int32()), "kind": pa.array(kind, pa.int32()), "source": pa.array(source, pa.int32()), "blob": pa.array(blob, pa.binary())})
+        return _rows(out)
 
     def gather(table: pa.Table) -> pa.Table:
-        out = []
-        rows = list(zip(table.column("kind").to_pylist(), table.column("source").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        part = table.column("part")[0].as_py()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "source", "blob")), strict=True))
+        out = [(part, SEATS, s, b) for k, s, b in rows if k == SEATS]
         if totals := [unpack(b) for k, _, b in rows if k == DOCS]:
             sums = np.zeros((len(hot), 2))
             for place, customers, dishes in totals:
                 sums[place, 0] += customers
                 sums[place, 1] += dishes
-            out.append((DOCS, pack(sums.ravel())))
+            out.append((part, DOCS, part, pack(sums.ravel())))
         if asks := sorted((s, unpack(b)) for k, s, b in rows if k == ROOT):
             words = np.unique(np.concatenate([a[0] for _, a in asks]))
             places = [np.searchsorted(words, a[0]) for _, a in asks]
@@ -333,49 +412,98 @@ def contexts_of_words(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame
             for x, (_, a) in zip(places, asks, strict=True):
                 kinds[x] += a[1].astype(np.int64)
                 tokens[x] += a[2].astype(np.int64)
-            out.append((ROOT, pack(words, narrow(kinds), narrow(tokens), np.array([s for s, _ in asks], np.int32), np.array([len(x) for x in places], np.int64), narrow(np.concatenate(places)))))
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()] * len(out), pa.int32()), "kind": pa.array([k for k, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+            out.append((part, ROOT, part, pack(words, narrow(kinds), narrow(tokens), np.array([s for s, _ in asks], np.int32), np.array([len(x) for x in places], np.int64), narrow(np.concatenate([np.diff(x, prepend=0) for x in places])))))
+        return _rows(out)
 
     sent = docs.mapInArrow(_send(parts, hot, False), "part int, kind int, batch long, blob binary")
-    asked = sent.select("part", "blob").groupBy("part").applyInArrow(ask, "part int, kind int, source int, blob binary")
-    return asked.groupBy("part").applyInArrow(gather, "part int, kind int, blob binary")
+    asked = sent.select("part", "blob").groupBy("part").applyInArrow(ask, STATE)
+    return asked.select("part", "kind", "source", "blob").groupBy("part").applyInArrow(gather, STATE)
 
 
-def _share(own: Root, t: np.ndarray, total: float, customers: int, base: float) -> np.ndarray:
-    """Probability of the words in the root with these tables; total: the tables of all words."""
-    return (np.maximum(0, own.n - DISCOUNT[0] * t) + (STRENGTH[0] + DISCOUNT[0] * total) * base) / (STRENGTH[0] + customers)
+def _restaurants(round_: int, base: float, rest: float, scale: float, hot_tables: np.ndarray):  # noqa: ANN202  a function of groups
+    """First half of a round, in the partitions of contexts: tables given the root's distribution, counted by word for the root.
 
+    rest, scale: what the root's draw leaves to the base, and the sum of all of it. Round 0 only counts.
+    """
 
-def root_rounds(roots: DataFrame, words: int, customers: int) -> DataFrame:
-    """part, blob, p: mean probabilities of the root's words over the last SAMPLES rounds. One number comes back from each round."""
-    schema = "part int, blob binary, t binary, p binary, tables double"
-    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"  # a row is megabytes
-    base, spark, total = 1 / (words + 1), roots.sparkSession, float(words)
-    state, before = roots.select("part", "blob", F.lit(None).cast("binary").alias("t"), F.lit(None).cast("binary").alias("p")), []
-    for i in range(BURN_IN + SAMPLES + 1):
-        last = i == BURN_IN + SAMPLES
+    def run(key: tuple, constant: pa.Table, table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        rows = _lists(table, "kind", "source", "blob", "state")
+        out = [(part, k, s, b, x) for k, s, b, x in rows if k == ROOT]
+        state = next((x for k, _, _, x in rows if k == SEATS), None)
+        for (blob,) in _lists(constant, "blob"):
+            homes, single, size, fixed, hot, w, n = unpack(blob)
+            own = Seats(np.repeat(np.arange(len(size)), size), w.astype(np.int64), n, fixed.astype(float), hot, part)
+            kept = unpack(state) if state else [np.ones(len(n), np.uint8)]
+            own.place(kept[-1], hot_tables)
+            if round_:
+                drawn = np.concatenate([unpack(b)[0] for _, b in sorted((s, b) for k, s, b, _ in rows if k == DRAWN)]).astype(float)
+                own.sweep((drawn + rest * base) / scale, round_)
+                kept = [*(kept if round_ > BURN_IN + 1 else []), narrow(own.t.astype(np.int64))]
+            out.append((part, SEATS, part, None, pack(*kept)))
+            number = single + np.bincount(own.w, weights=own.t, minlength=len(single)).astype(np.int64)
+            cut = np.append(0, np.cumsum(homes.astype(np.int64)))
+            out += [(p, TABLES, part, pack(narrow(number[cut[p] : cut[p + 1]]))) for p in np.flatnonzero(homes).tolist()]
+            if len(split := np.flatnonzero(hot >= 0)):
+                out.append((0, DOCS, part, pack(hot[split], own.here()[split])))
+        trim()
+        return _rows(out)
 
-        def run(batches: Iterator[pa.RecordBatch], i: int = i, total: float = total, last: bool = last) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, blob, t, p in zip(*(batch.column(c).to_pylist() for c in ("part", "blob", "t", "p")), strict=True):
-                    own = Root(blob)
-                    t = unpack(t)[0].astype(float) if t else np.minimum(own.n, 1)
-                    p = np.frombuffer(p, np.float32).astype(float) if p else np.zeros(len(t))
-                    if i > BURN_IN:
-                        p = p + _share(own, t, total, customers, base) / SAMPLES
-                    if not last:
-                        t = seat(DISCOUNT[0], STRENGTH[0], own.n, np.maximum(0, total - t), np.full(len(t), base), mix(own.words) + U(i))
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([pack(narrow(t))], pa.binary()), pa.array([p.astype(np.float32).tobytes()], pa.binary()), pa.array([float(t.sum())])], names=["part", "blob", "t", "p", "tables"])
-
-        state = state.select("part", "blob", "t", "p").mapInArrow(run, schema)
-        if not last:
-            made: list[str] = []
-            with setting(spark, rows_a_batch, "1"):
-                state = materialise(state, "root", made)
-            delete(spark, before)
-            before = made
-            total = float(state.agg(F.sum("tables")).first()[0])
-    return state.select("part", "blob", "p")
+    return run
+
+
+def _roots(round_: int, base: float, total: float, hot: int):  # noqa: ANN202  a function of groups
+    """Second half: the restaurants' tables are the root's customers; its tables given them (total: all of the round before), and its distribution given both."""
+
+    def run(key: tuple, constant: pa.Table, table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        rows = _lists(table, "kind", "source", "blob", "state")
+        out = [(part, k, s, b, x) for k, s, b, x in rows if k == SEATS]
+        state = next((x for k, _, _, x in rows if k == ROOT), None)
+        if totals := [unpack(b) for k, _, b, _ in rows if k == DOCS]:
+            sums = np.zeros(hot)
+            for place, tables in totals:
+                sums[place] += tables
+            out.append((part, DOCS, part, pack(sums)))
+        for (blob,) in _lists(constant, "blob"):
+            own = Root(blob)
+            customers, last = np.zeros(len(own.words)), round_ == BURN_IN + SAMPLES
+            for s, b in ((s, b) for k, s, b, _ in rows if k == TABLES):
+                customers[own.asked[s]] += unpack(b)[0]
+            t, *kept = unpack(state) if state else [np.minimum(own.n, 1)]
+            t = seat(DISCOUNT[0], STRENGTH[0], customers, np.maximum(0, total - t), np.full(len(t), base), mix(own.words) + U(round_))
+            above = np.maximum(0, customers - DISCOUNT[0] * t)
+            if round_ > BURN_IN:
+                kept.append(above.astype(np.float32))
+            drawn = np.random.Generator(np.random.PCG64([part, round_])).standard_gamma(above)
+            out.append((part, ROOT, part, blob if last else None, pack(narrow(t.astype(np.int64)), *kept), float(customers.sum()), float(t.sum()), float(drawn.sum())))
+            if not last:
+                out += [(s, DRAWN, part, pack(drawn[x].astype(np.float32))) for s, x in own.asked.items()]
+        return _rows(out)
+
+    return run
+
+
+def sample(table: DataFrame, words: int, hot_dishes: np.ndarray) -> tuple[DataFrame, list[tuple[float, float, np.ndarray]]]:
+    """Rows of STATE after all rounds, and of each kept state the root's customers and tables and the tables of the hot restaurants. A few numbers come back from each round."""
+    base, spark, kept = 1 / (words + 1), table.sparkSession, []
+    total, rest, scale, hot_tables, before = float(words), 0.0, 1.0, hot_dishes, []
+    seats, roots = (table.where(f"kind = {k}").select("part", "blob").groupBy("part") for k in (SEATS, ROOT))  # these don't change
+    table = table.where(f"kind = {DRAWN}")
+    for i in range(BURN_IN + SAMPLES + 1):
+        half = seats.cogroup(table.groupBy("part")).applyInArrow(_restaurants(i, base, rest, scale, hot_tables), STATE)
+        made: list[str] = []
+        table = materialise(roots.cogroup(half.groupBy("part")).applyInArrow(_roots(i, base, total, len(hot_dishes)), STATE), "round", made)
+        delete(spark, before)
+        before = made
+        seen = table.where(f"kind = {ROOT}").agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "drawn")]).first()
+        sums = table.where(f"kind = {DOCS}").select("blob").collect()  # one row: a number for each hot word
+        total, hot_tables = seen.tables, unpack(sums[0].blob)[0] if sums else hot_tables
+        rest = float(np.random.Generator(np.random.PCG64(i)).standard_gamma(STRENGTH[0] + DISCOUNT[0] * total))
+        scale = seen.drawn + rest
+        if i > BURN_IN:
+            kept.append((seen.customers, total, hot_tables))
+    return table, kept
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -383,33 +511,44 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BYTES_PER_PART)
+    homes = min(parts, max(PARTS_PER_HOME, size // (PARTS_PER_HOME * BYTES_PER_PART)))
     hot = hot_words(docs)
     # row tells repeated rows apart; it is made once, in the pass that also carries doc_id
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), (remainder(MODULUS) != HELD_OUT).alias("learn"))
-    table = materialise(contexts_of_words(rows, parts, hot), "words")
+    made: list[str] = []
+    table = materialise(contexts_of_words(rows, parts, homes, hot), "words", made)
     roots = table.where(f"kind = {ROOT}")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [Root(b) for b in batch.column("blob").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x.tokens.sum()) for x in own]), pa.array([int((x.tokens > 0).sum()) for x in own]), pa.array([int(x.n.sum()) for x in own])], names=["n", "words", "customers"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.tokens.sum()) for x in own]), pa.array([int((x.tokens > 0).sum()) for x in own])], names=["n", "words"])
 
-    seen = roots.select("blob").mapInArrow(sums, "n long, words long, customers long").agg(*[F.sum(c).alias(c) for c in ("n", "words", "customers")]).first()
-    tokens, words, customers = seen.n or 0, seen.words or 0, seen.customers or 0
+    seen = roots.select("blob").mapInArrow(sums, "n long, words long").agg(*[F.sum(c).alias(c) for c in ("n", "words")]).first()
+    tokens, words = seen.n or 0, seen.words or 0
     split = table.where(f"kind = {DOCS}").select("blob").collect()  # one row: two numbers for each hot word
     totals = unpack(split[0].blob)[0].reshape(-1, 2) if split else np.zeros((len(hot), 2))
-    known = root_rounds(roots, words, customers) if tokens else roots.select("part", "blob", F.lit(None).cast("binary").alias("p"))
+    known, states = sample(table, words, totals[:, 1]) if tokens else (table, [])
+    if tokens:
+        delete(spark, made)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """To each partition that has asked: the root's probabilities of its words and their tokens in training."""
+        """To each partition that has asked: the training tokens of its words and the root's probabilities in each kept state. Tables of restaurants stay where they are."""
         for batch in batches:
-            for home, blob, p in zip(*(batch.column(c).to_pylist() for c in ("part", "blob", "p")), strict=True):
-                own = Root(blob)
-                p = np.frombuffer(p, np.float32) if p else np.ones(len(own.words))
-                sources, sizes, place = own.asked
-                cut = np.append(0, np.cumsum(sizes))
-                blobs = [pack(np.array([home], np.int32), p[x].astype(np.float32), narrow(own.tokens[x])) for x in (place[a:b].astype(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(sources), pa.array([ROOT] * len(blobs), pa.int32()), pa.array([0] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "kind", "batch", "blob"])
+            for part, kind, blob, state in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob", "state")), strict=True):
+                to, blobs = [part], [state]
+                if kind == ROOT:
+                    own = Root(blob)
+                    above = unpack(state)[1:] if states else []
+                    p = [((x + (STRENGTH[0] + DISCOUNT[0] * t) / (words + 1)) / (STRENGTH[0] + n)).astype(np.float32) for x, (n, t, _) in zip(above, states, strict=True)]
+                    # words with the same numbers, as most rare ones, share an entry
+                    _, first, entry = np.unique(np.stack([own.tokens.astype(float), *p], axis=1), axis=0, return_index=True, return_inverse=True)
+                    to, blobs = list(own.asked), []
+                    for x in own.asked.values():
+                        entries, at = _dense(entry.ravel()[x], len(first))
+                        entries = first[entries]
+                        blobs.append(pack(np.array([part], np.int32), narrow(at), narrow(own.tokens[entries]), *[y[entries] for y in p]))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array([0] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "kind", "batch", "blob"])
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         kinds, batches, blobs = (right.column(c).to_pylist() for c in ("kind", "batch", "blob"))
@@ -417,20 +556,23 @@ def score(docs: DataFrame) -> DataFrame:
         mine = [(b, x) for k, b, x in zip(kinds, batches, blobs, strict=True) if k == TOKENS]
         if mine:
             own = Restaurants([x for _, x in mine], hot)
-            probability, count = np.ones(len(own.words)), np.zeros(len(own.words), np.int64)
-            home = _home(own.words, parts)
-            order = np.argsort(home, kind="stable")
-            cut = np.searchsorted(home[order], np.arange(parts + 1))
-            for x in left.column("blob").to_pylist():
-                (p,), value, n = unpack(x)
-                probability[order[cut[p] : cut[p + 1]]], count[order[cut[p] : cut[p + 1]]] = value, n
+            root, count = [np.empty(len(own.words), np.float32) for _ in states], np.zeros(len(own.words), np.int64)
+            order, cut = _by_home(own.words, homes)
+            for kind, x in _lists(left, "kind", "blob"):
+                if kind == ROOT:
+                    (p,), entry, n, *values = unpack(x)
+                    at = order[cut[p] : cut[p + 1]]
+                    count[at] = n[entry]
+                    for y, value in zip(root, values, strict=True):
+                        y[at] = value[entry]
+                elif tokens:
+                    tables = unpack(x)
             base_ = np.log10((count + 1) / (tokens + words + 1))
             if tokens:
-                own.open(probability, totals)
-                for i in range(BURN_IN + SAMPLES):
-                    own.sweep(i)
-                    if i >= BURN_IN:
-                        own.keep()
+                own.open(root[0], totals)
+                for t, y, (_, _, hot_tables) in zip(tables, root, states, strict=True):
+                    own.place(t, y, hot_tables)
+                    own.keep()
             for (b, _), (x, n, there, who, _), row in zip(mine, own.asked, own.at, strict=True):
                 v, w = np.divmod(x, len(own.words))
                 add = lambda v, at=there, size=len(who): np.bincount(at, weights=v, minlength=size)
@@ -452,7 +594,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table({"doc_id": pa.array(doc_id, mask=null), "n_tokens": total[0].astype(np.int64), "n_known": total[1].astype(np.int64), "base_score": total[2], "score": total[3]})
 
     schema = "part int, kind int, batch long, blob binary"
-    down = known.mapInArrow(answer, schema)
+    down = known.where(f"kind in ({ROOT}, {SEATS})").select("part", "kind", "blob", "state").mapInArrow(answer, schema)
     sent = rows.mapInArrow(_send(parts, hot, True), schema)
     got = down.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(meet, "batch long, kind int, blob binary")
     sums_ = got.groupBy("batch").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from itemforge.llm import components, decontamination, jaccard_join, kd_sharding, language_id, license_scan, piece_sampling, pitman_yor, sampling, sentence_spans, simhash, stirling, toxicity
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -200,6 +202,27 @@ def test_restaurants_sum_to_one(hot):
     assert (own.t >= 1).all() and (own.t <= own.n).all() and (own.t[own.n > 100] > 1).any()
 
 
+def test_root_and_restaurants_are_sampled_together(spark, docs):
+    """In every state that is kept the root's customers are the tables of the restaurants, and no longer one for each word and context."""
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.lit(True).alias("learn"))
+    table = pitman_yor.contexts_of_words(rows, 5, 3, pitman_yor.hot_words(docs)).cache()
+    kinds = {r.kind: [x.blob for x in table.collect() if x.kind == r.kind] for r in table.collect()}
+    roots = [pitman_yor.Root(b) for b in kinds[pitman_yor.ROOT]]
+    hot = pitman_yor.unpack(kinds[pitman_yor.DOCS][0])[0].reshape(-1, 2)
+    known, states = pitman_yor.sample(table, sum(len(x.words) for x in roots), hot[:, 1])
+    fixed = {r.part: pitman_yor.unpack(r.blob) for r in table.collect() if r.kind == pitman_yor.SEATS}
+    tables = np.zeros(pitman_yor.SAMPLES)
+    for r in known.collect():
+        if r.kind == pitman_yor.SEATS:
+            _, single, size, _, _, _, n = fixed[r.part]
+            kept = pitman_yor.unpack(r.state)
+            assert len(kept) == pitman_yor.SAMPLES and all((t >= 1).all() and (t <= n).all() for t in kept)
+            tables += [single.sum() + t.sum(dtype=float) for t in kept]
+    begin = sum(int(x.n.sum()) for x in roots)
+    assert tables.tolist() == [customers for customers, _, _ in states] and min(tables) > begin
+    assert all(0 < t < customers for customers, t, _ in states)
+
+
 @pytest.mark.parametrize("n", [2, 32, 33, 100, 256, 257, 1000])
 @pytest.mark.parametrize(("others", "parent"), [(0, 0.3), (10, 0.01), (3000, 0.05)])
 def test_seating_is_exact(n, others, parent):
