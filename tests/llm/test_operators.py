@@ -337,6 +337,17 @@ def test_sample_is_smallest(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_inner_is_forward_without_margins():
+    rng = np.random.default_rng(2)
+    net = language_id.ByteNetwork(["a", "b", "c"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["x"] *= 20  # saturated gates too
+    x = rng.integers(0, 257, (9, language_id.WINDOW)).astype(np.int16)
+    for margin in (0, 1, language_id.MARGIN):
+        want = net.forward(x)[margin : language_id.WINDOW - margin]
+        assert np.abs(net.inner(x, margin) - want).max() < 1e-9
+
+
 def test_gradient_of_network():
     net = language_id.ByteNetwork(["a", "b", "c"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
