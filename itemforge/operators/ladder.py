@@ -20,6 +20,8 @@ from itemforge.operators.cut import cut, merged
 SIGNATURE_LEAST, SIGNATURE_RATIO = 4, 0.70
 #: Field number of the runs of digits in a name.
 IN_NAME = -1
+#: Most classes in a slice of a list of postings, about: a task reads some slices.
+SLICE = 1024
 #: Scores that differ by less are equal, as they are and with three digits.
 SLACK, ROUNDED = 1e-9, 1.1e-3
 
@@ -93,84 +95,111 @@ def _posting(field: int, key: Column) -> Column:
 class Index:
     """Candidates of a catalogue by what they can share with a bag of parameters; made once, asked often.
 
-    rows: the distinct candidates (cid, block, attributes, what a comparison needs of each field of keys).
-    postings: each candidate under its value of each number field, and under the runs of digits of its
-    name, which a value that stands in the name must share; all are under the empty run.
+    Candidates that are equal in the fields of keys and in the forms of their names score alike whatever is asked,
+    so that the first of them stands for a class; no list of n best needs more than the first n of a class.
+    rows: the distinct candidates (cid: their class, nth in it), the first n of each class if n is given.
+    classes: what a comparison needs of each field of keys.
+    postings: each class under its value of each number field, and under the runs of digits of its
+    name, which a value that stands in the name must share; all are under the empty run. Long lists are in slices.
     """
 
-    def __init__(self, catalogue: DataFrame, keys: list[str]):
+    def __init__(self, catalogue: DataFrame, keys: list[str], n: int | None = None):
         self.keys = keys
         self.fields = [k for k in keys if k not in scoring.TEXT_FIELDS]
-        own = _distinct(catalogue).withColumn("cid", F.monotonically_increasing_id()).withColumn("c", scoring.flat_attrs(keys))
-        own = own.withColumn("block", F.xxhash64("std", "item_type")).withColumn("theirs", scoring.text_key("c", keys)).withColumn("held", scoring.number_keys("c", keys))
-        self.rows = cut(own, "offered")
+        own = _distinct(catalogue).withColumn("values", F.array(*[field_value(F.col("attrs"), F.lit(k)) for k in keys]).cast("array<string>"))
+        alike = Window.partitionBy("std", "item_type", "values", "forms").orderBy("cand_ord")
+        own = own.withColumn("own_id", F.monotonically_increasing_id()).withColumn("nth", F.row_number().over(alike))
+        own = own.where(F.col("nth") <= n) if n else own
+        self.rows = cut(own.withColumn("cid", F.first("own_id").over(alike)).drop("own_id", "values"), "offered")
+        heads = self.rows.where("nth = 1").withColumn("c", scoring.flat_attrs(keys)).withColumn("block", F.xxhash64("std", "item_type"))
+        heads = heads.select("cid", "block", "cand_ord", "forms", "c", scoring.text_key("c", keys).alias("theirs"), scoring.number_keys("c", keys).alias("held"))
+        self.classes = cut(heads, "classes")
         listed = F.transform("held", lambda v, i: F.when(v.isNotNull(), F.struct(i.cast("int").alias("field"), v.alias("key"))))
         runs = F.transform(F.array_append(F.coalesce("forms.runs", F.array().cast("array<string>")), ""), lambda r: _posting(IN_NAME, r))
         every = F.array_distinct(F.filter(F.concat(listed, runs), lambda x: x.isNotNull()))
-        self.postings = cut(self.rows.select("block", "cid", F.inline(every)), "postings")
-        self.sizes = self.postings.groupBy("block", "field", "key").agg(F.count("*").alias("size"))
+        filed = self.classes.select("block", "cid", "cand_ord", "theirs", "held", "forms", F.inline(every))
+        self.sizes = cut(filed.groupBy("block", "field", "key").agg(F.count("*").alias("size")), "sizes")
+        part = F.pmod(F.hash("cid"), _slices()).alias("part")
+        self.postings = cut(filed.join(self.sizes, ["block", "field", "key"]).select(*filed.columns, part), "postings")
+
+
+def _slices() -> Column:
+    """Slices of a list of postings by its size."""
+    return F.ceil(F.col("size") / SLICE).cast("int")
 
 
 def scored(names: DataFrame, index: Index, n: int = 1) -> DataFrame:
-    """bag, cid, cand_ord, score, exact_count: for each distinct bag of parameters, candidates of its block that hold its n best.
+    """bag, cid, cand_ord, score, exact_count: for each distinct bag of parameters, classes of its block that hold its n best.
 
-    Fields of a bag are taken rarest first. The first one's candidates, with the first candidates of
-    the best texts, give a score that a winner must reach; further fields are taken only while what
+    Bags with equal numbers meet the postings together, and of the classes with equal texts that fit in the same
+    fields only the first n go on to the bags. Number fields are taken rarest first. The first one's classes, with the first
+    classes of the best texts, give a score that a winner must reach; further fields are taken only while what
     the fields not taken yet can add, with all of the texts, still reaches it. Who shares no field that
     was taken and wins all the same can only owe it to its texts, and is then among the first of them.
     """
-    keys, rows, postings, spark = index.keys, index.rows, index.postings, names.sparkSession
+    keys, classes, spark = index.keys, index.classes, names.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     full, of_text = scoring.weight_sums(keys)
     asked = names.select("std", "item_type", "params").distinct().select(_bag_key().alias("bag"), F.xxhash64("std", "item_type").alias("block"), scoring.flat_params(keys).alias("p"))
-    asked = asked.select("*", F.monotonically_increasing_id().alias("id"), scoring.text_key("p", keys).alias("mine"), scoring.number_keys("p", keys).alias("wanted"), scoring.name_keys("p", keys).alias("low"), full.alias("full"), of_text.alias("of_text"))
-    asked = cut(asked, "asked")
+    asked = asked.select("*", scoring.text_key("p", keys).alias("mine"), scoring.number_keys("p", keys).alias("wanted"), scoring.name_keys("p", keys).alias("low"), full.alias("full"), of_text.alias("of_text"))
+    asked = cut(asked.withColumn("numbers", F.md5(F.to_json(F.struct("block", "wanted", "low")))), "asked")
 
-    # what the texts add, once for each two that occur in a block; the first candidates of the best texts
+    # what the texts add, once for each two that occur in a block; the first classes of the best texts
     some = lambda df, key, side: df.groupBy("block", key).agg(F.first(side).alias(side))  # noqa: E731  equal texts by key
-    texts = cut(scoring.text_scores(some(asked, "mine", "p").join(some(rows, "theirs", "c"), "block"), keys), "texts")
+    texts = cut(scoring.text_scores(some(asked, "mine", "p").join(some(classes, "theirs", "c"), "block"), keys), "texts")
     first_of = Window.partitionBy("block", "theirs").orderBy("cand_ord")
-    leaders = rows.select("block", "theirs", "cid", "cand_ord", F.row_number().over(first_of).alias("r")).where(F.col("r") <= n)
+    leaders = classes.select("block", "theirs", "cid", "cand_ord", F.row_number().over(first_of).alias("r")).where(F.col("r") <= n)
     leaders = texts.where("text_gain > 0").join(leaders, ["block", "theirs"])
     if n == 1:
         by_text = Window.partitionBy("block", "mine").orderBy(F.col("text_gain").desc(), F.col("text_exact").desc(), "cand_ord")
         leaders = leaders.withColumn("r", F.row_number().over(by_text)).where("r = 1")
-    by_texts = asked.select("id", "block", "mine").join(leaders.select("block", "mine", "cid"), ["block", "mine"]).select("id", "cid")
+    by_texts = asked.select("numbers", "wanted", "low", "block", "mine").join(leaders.select("block", "mine", "cid"), ["block", "mine"])
+    by_texts = by_texts.dropDuplicates(["numbers", "cid"]).join(classes.select("cid", "cand_ord", "theirs", "held", "forms"), "cid")
 
-    # the fields of each bag, rarest first; a value that stands in a name is sought by its longest run of digits
+    # the number fields, rarest first; a value that stands in a name is sought by its longest run of digits
     run = lambda low: F.coalesce(F.array_max(F.transform(F.filter(F.split(low, "[^0-9.]+"), lambda t: t != ""), lambda t: F.struct(F.length(t), t.alias("t")))).t, F.lit(""))
-    each = asked.select("id", "block", F.posexplode(F.arrays_zip("wanted", "low")).alias("of", "v")).where("v.wanted is not null")
-    each = each.select("id", "block", "of", F.inline(F.array(F.struct(F.col("of").alias("field"), F.col("v.wanted").alias("key")), _posting(IN_NAME, run(F.col("v.low"))))))
+    each = asked.dropDuplicates(["numbers"]).select("numbers", "wanted", "low", "block", F.posexplode(F.arrays_zip("wanted", "low")).alias("of", "v")).where("v.wanted is not null")
+    each = each.select("numbers", "wanted", "low", "block", "of", F.inline(F.array(F.struct(F.col("of").alias("field"), F.col("v.wanted").alias("key")), _posting(IN_NAME, run(F.col("v.low"))))))
     looked = each.join(index.sizes, ["block", "field", "key"])
-    by_size = Window.partitionBy("id").orderBy("size", "of")
-    per_field = looked.groupBy("id", "block", "of").agg(F.sum("size").alias("size"), F.collect_list(F.struct("field", "key")).alias("lists"))
-    per_field = per_field.select("id", "block", F.row_number().over(by_size).alias("place"), F.count("*").over(by_size.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("left"), F.inline("lists"))
+    by_size = Window.partitionBy("numbers").orderBy("total", "of")
+    per_field = looked.groupBy("numbers", "wanted", "low", "block", "of").agg(F.sum("size").alias("total"), F.collect_list(F.struct("field", "key", "size")).alias("lists"))
+    per_field = per_field.select("numbers", "wanted", "low", "block", F.row_number().over(by_size).alias("place"), F.count("*").over(by_size.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("left"), F.inline("lists"))
     looked = cut(per_field, "fields")
 
     def met(taken: DataFrame) -> DataFrame:
-        return taken.select("id", "block", "field", "key").join(postings, ["block", "field", "key"]).select("id", "cid")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        mine = asked.select("id", "block", "mine", "wanted", "low", "full")
+        at = ["block", "field", "key", "part"]
+        sliced = taken.select("numbers", "wanted", "low", "block", "field", "key", F.explode(F.sequence(F.lit(0), _slices() - 1)).alias("part"))
         # a fixed number of partitions: pairs are many and dear where the rows that they come from are few and small
-        each = pairs.repartition(tasks, "id").dropDuplicates(["id", "cid"])
-        both = each.join(mine, "id").join(rows.select("cid", "cand_ord", "theirs", "held", "forms"), "cid").join(texts, ["block", "mine", "theirs"])
-        return scoring.score_pairs(both, len(index.fields)).select("id", "cid", "cand_ord", "score", "exact_count")
-
-    first = cut(judged(met(looked.where("place = 1")).unionByName(by_texts)).where("score > 0"), "scored")
+        return sliced.repartition(tasks, *at).join(index.postings.repartition(tasks, *at), at)
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        """Of classes with equal texts that fit the same numbers in the same fields the first n: they score alike."""
+        like = ["numbers", "theirs", "fits"]
+        fits = pairs.select("numbers", "theirs", scoring.number_fits(len(index.fields)).alias("fits"), "cand_ord", "cid")
+        if n == 1:
+            return fits.groupBy(*like).agg(F.min(F.struct("cand_ord", "cid")).alias("c")).select(*like, "c.*")
+        return fits.distinct().withColumn("r", F.row_number().over(Window.partitionBy(*like).orderBy("cand_ord", "cid"))).where(F.col("r") <= n).drop("r")
+
+    def judged(found: DataFrame) -> DataFrame:
+        both = asked.select("bag", "numbers", "block", "mine", "full").join(found, "numbers").join(texts, ["block", "mine", "theirs"])
+        return scoring.score_fits(both, len(index.fields)).select("bag", "cid", "cand_ord", "score", "exact_count").where("score > 0")
+
+    columns = ["numbers", "wanted", "low", "cid", "cand_ord", "theirs", "held", "forms"]
+    first = cut(kept(met(looked.where("place = 1")).select(*columns).unionByName(by_texts.select(*columns))), "first")
     slack = SLACK if n == 1 else ROUNDED  # lists of several go by rounded scores
-    reached = scoring.best(first, "id", n, shown=False).groupBy("id").agg(F.count("*").alias("n"), F.min("score").alias("last"))
-    reached = asked.select("id", "full", "of_text").join(reached, "id", "left").select("id", F.when(F.col("n") == n, (F.col("last") - slack) * F.col("full")).otherwise(0.0).alias("least"), "of_text")
-    taken = looked.where("place > 1").join(reached, "id").where(F.col("left") + F.col("of_text") >= F.col("least"))
-    more = met(taken).join(first.select("id", "cid"), ["id", "cid"], "left_anti")
-    return first.unionByName(judged(more)).join(asked.select("id", "bag"), "id").drop("id")
+    reached = scoring.best(judged(first), "bag", n, shown=False).groupBy("bag").agg(F.count("*").alias("n"), F.min("score").alias("last"))
+    least = F.when(F.col("n") == n, (F.col("last") - slack) * F.col("full")).otherwise(0.0)
+    needed = asked.select("bag", "numbers", "full", "of_text").join(reached, "bag", "left").groupBy("numbers").agg(F.min(least - F.col("of_text")).alias("needed"))
+    taken = looked.where("place > 1").join(needed, "numbers").where(F.col("left") >= F.col("needed"))
+    return judged(first.unionByName(kept(met(taken).select(*columns))).dropDuplicates(["numbers", "cid"]))
 
 
 def best_candidates(names: DataFrame, index: Index, n: int = 1) -> DataFrame:
     """names with the n best candidates each: cand columns, score, exact_count, rank."""
-    top = scoring.best(scored(names, index, n), "bag", n).drop("cand_ord")
-    held = index.rows.select("cid", "cand_ord", "ens_code", "cand_name", "attrs", "forms")
-    return names.withColumn("bag", _bag_key()).join(top.join(held, "cid"), "bag").drop("bag", "cid")
+    top = scoring.best(scored(names, index, n), "bag", n).drop("cand_ord", "rank")
+    held = index.rows.where(F.col("nth") <= n).select("cid", "cand_ord", "ens_code", "cand_name", "attrs", "forms")
+    top = scoring.best(top.join(held, "cid"), "bag", n)
+    return names.withColumn("bag", _bag_key()).join(top, "bag").drop("bag", "cid")
 
 
 def _coating(params: Column) -> Column:
@@ -216,7 +245,7 @@ def _in_words(names: DataFrame, catalogue: DataFrame, masks: DataFrame, columns:
     exact = exact_names(names, catalogue).withColumn("match_type", F.lit("exact_name")).withColumn("score", F.lit(1.0)).select(*columns[:-2], *none)
     exact = cut(exact, "exact")
     rest = cut(names.join(exact.select("name"), "name", "left_anti"), "rest")
-    index = Index(catalogue, M.param_names(masks))
+    index = Index(catalogue, M.param_names(masks), 1)
     plain = [c for c in columns if c != "match_type"]
     # only a coating that some rule replaces needs the best candidate's material before the next step
     doubtful = rest.where((F.size("params") > 0) & coating.replaceable(_coating(F.col("params"))))

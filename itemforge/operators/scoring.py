@@ -132,20 +132,35 @@ def text_key(struct: str, keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(f"{struct}.p{i}.v") for i, k in enumerate(keys) if k in TEXT_FIELDS], F.lit(0))
 
 
-def score_pairs(pairs: DataFrame, fields: int) -> DataFrame:
-    """pairs (wanted, held: number_keys of both sides; low: name_keys; forms: text.name_forms; text_gain, text_exact, full: sum of weights) with score and exact_count.
+def number_fits(fields: int) -> Column:
+    """array<tinyint>: for each number field of a pair (wanted, held: number_keys of both sides; low: name_keys; forms: text.name_forms) 2 if the values are equal, 1 if the name has it, else 0."""
 
-    The loop over pairs compares short texts only; the comparison of each parameter in detail is made for the pairs that win.
-    """
+    def one(i: Column) -> Column:
+        own = F.get("wanted", i)
+        same = F.coalesce(own == F.get("held", i), F.lit(False))
+        named = F.coalesce(shown_in(F.get("low", i), F.col("forms")), F.lit(False))
+        return F.when(own.isNull(), 0).when(same, 2).when(named, 1).otherwise(0).cast("tinyint")
+
+    return F.array(*[one(F.lit(i)) for i in range(fields)]).cast("array<tinyint>")
+
+
+def score_fits(pairs: DataFrame, fields: int) -> DataFrame:
+    """pairs (fits: number_fits; text_gain, text_exact, full: sum of weights) with score and exact_count."""
     gain, exact = F.col("text_gain"), F.col("text_exact")
     for i in range(fields):
-        own = F.get("wanted", F.lit(i))
-        same = F.coalesce(own == F.get("held", F.lit(i)), F.lit(False))
-        gain = gain + F.when(own.isNull(), 0.0).when(same, 1.0).when(shown_in(F.get("low", F.lit(i)), F.col("forms")), 0.5).otherwise(0.0)
-        exact = exact + same.cast("int")
+        fit = F.get("fits", F.lit(i))
+        gain, exact = gain + fit / 2.0, exact + (fit == 2).cast("int")
     return pairs.withColumns({"score": F.coalesce(F.try_divide(gain, F.col("full")), F.lit(0.0)), "exact_count": exact})
 
 
+def score_pairs(pairs: DataFrame, fields: int) -> DataFrame:
+    """pairs with what number_fits and score_fits read, with score and exact_count.
+
+    The loop over pairs compares short texts only; the comparison of each parameter in detail is made for the pairs that win.
+    """
+    return score_fits(pairs.withColumn("fits", number_fits(fields)), fields).drop("fits")
+
+
 def best(scored: DataFrame, key: str = "name", n: int = 1, shown: bool = True) -> DataFrame:
     """The n best candidates of each name with a score over 0: by score (in a list of several as it is shown, with three digits), number of exact parameters, order in the catalogue."""
     order = rounded(F.col("score"), 3) if shown and n > 1 else F.col("score")

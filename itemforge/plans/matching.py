@@ -93,7 +93,7 @@ def exact_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _best(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
     keys = masks.param_names(masks.seed_masks(spark))
-    return ladder.best_candidates(_parsed(spark, sf_dir).where("params is not null").select("name", "std", "item_type", "params"), ladder.Index(catalogue(spark, sf_dir), keys), n)
+    return ladder.best_candidates(_parsed(spark, sf_dir).where("params is not null").select("name", "std", "item_type", "params"), ladder.Index(catalogue(spark, sf_dir), keys, n), n)
 
 
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:

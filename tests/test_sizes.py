@@ -3,6 +3,7 @@
 import oracle
 from pyspark.sql import functions as F
 
+from itemforge.operators import ladder
 from itemforge.operators.cut import cut, scope
 from itemforge.plans import wide
 
@@ -25,3 +26,17 @@ def test_mask_checks_search_each_text_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?iu)^болт") == 1 + 2 * len(wide.WIDE_MASK[3])
     assert "Repartition" in plan and "Generate inline" in plan
+
+
+def test_equal_candidates_are_one_class(spark):
+    """Rows that differ in fields that no mask asks for are scored and filed once, and the first of them is found."""
+    bag = "array<struct<k: string, v: string>>"
+    attrs = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in (("диаметр", F.col("id") % 2), ("покрытие", F.lit("Кд")), ("масса", F.col("id")))])
+    cat = spark.range(600).select(F.col("id").alias("ens_code"), F.concat(F.lit("Болт М"), (F.col("id") % 2).cast("string")).alias("cand_name"), F.lit("s").alias("std"), F.lit("t").alias("item_type"), attrs.alias("attrs"), (F.lit(600) - F.col("id")).alias("cand_ord"))
+    names = spark.createDataFrame([("a", "s", "t", [("диаметр", "1"), ("покрытие", "Кд")]), ("b", "s", "t", [("диаметр", "1"), ("покрытие", "Кд6")])], f"name string, std string, item_type string, params {bag}")
+    with scope(spark):
+        index = ladder.Index(cat, ["диаметр", "покрытие"], 3)
+        assert index.postings.count() == 2 * 3 and index.rows.count() == 2 * 3
+        assert {(r.name, r["rank"], r.ens_code) for r in ladder.best_candidates(names, index, 3).collect()} == {(n, i, 601 - 2 * i) for n in "ab" for i in (1, 2, 3)}
+        found = ladder.scored(names, index)
+        assert found.count() == 2  # a class for each bag, not 300 candidates
