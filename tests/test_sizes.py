@@ -3,7 +3,7 @@
 import oracle
 from pyspark.sql import functions as F
 
-from itemforge.operators import ladder
+from itemforge.operators import ladder, tfidf
 from itemforge.operators.cut import cut, scope
 from itemforge.plans import wide
 
@@ -40,3 +40,16 @@ def test_equal_candidates_are_one_class(spark):
         assert {(r.name, r["rank"], r.ens_code) for r in ladder.best_candidates(names, index, 3).collect()} == {(n, i, 601 - 2 * i) for n in "ab" for i in (1, 2, 3)}
         found = ladder.scored(names, index)
         assert found.count() == 2  # a class for each bag, not 300 candidates
+
+
+def test_nearest_texts_of_many_blocks(spark, monkeypatch):
+    """Blocks of a few texts give what one block gives, and no row for each two texts that share a gram."""
+    texts = spark.range(90).select("id", F.concat(F.lit("болт м"), (F.col("id") % 10).cast("string"), F.lit("х"), F.col("id").cast("string")).alias("text"))
+    rows = lambda: {(r.id, r.other, r["rank"], round(r.similarity, 9)) for r in tfidf.nearest(texts, 4).collect()}
+    with scope(spark):
+        whole = rows()
+        monkeypatch.setattr(tfidf, "QUERIES", 20)
+        monkeypatch.setattr(tfidf, "TEXTS", 7)
+        assert rows() == whole and len(whole) == 360
+        plan = tfidf.nearest(texts, 4)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
